@@ -7,15 +7,18 @@ most one difference, so of its subsets of n2 - k2 = 1 second-level partitions at
 content, hashed, is the shared signature. A pair meets in the band of its smaller set, so a set signs for its
 own band and the one below.
 
-No pair is lost, and none is enumerated without need:
+No pair is lost, and few are looked at without need:
 
 * Equal sets are one class and signed once.
 * Signatures of empty partitions would gather strangers. A set with more than k partitions in use shares one of
   those with each partner, so only sets below that sign their empty partitions too.
-* Shingles in many documents (found on a bounded sample; the choice affects speed alone) are left out of the
-  partitions first. Sets that then have too few partitions in use sign with all their shingles as well.
-* The members of a signature are compared with one hub, then with another; components are formed, and only pairs
-  that share a signature but lie in different components are then compared one by one.
+* A set with u > k partitions in use shares at least u - k signatures with each partner. One that shares fewer with
+  all others together has no partner. Any other keeps its rarest signatures only: without the u - k - 1
+  most frequent ones, two partners still have one in common (the prefix filter, with signatures as tokens).
+* Signatures that the same sets have count as one.
+* Each set is compared with one hub of its signatures, then the members of each signature with its hub, then with
+  a second one; components are formed in between, and only pairs that share a signature but lie in different components
+  are compared further, at last one by one, those that parity sketches do not show to be too far apart.
 
 Every candidate is checked on its whole sets, in integers.
 """
@@ -26,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_batches, materialize, mix, shingle_hashes, shuffle_width
 
-#: Share of partitions above the k + 1 that the pigeonhole principle needs, as some partitions are empty.
-SPARE = 1.12
-#: Documents, by hash, on which frequent shingles are looked for, and in what share of them these must be.
-FREQUENT_SAMPLE, FREQUENT_SHARE = 4096, 0.004
+#: Share of partitions above the k + 1 that the pigeonhole principle needs: the more, the more frequent signatures can be left out.
+SPARE = 1.25
+#: Elements of sets in a round of numpy work.
+ELEMENTS = 1 << 20
+#: 64-bit words in a set's parity sketch, which shows that most pairs are too far apart before their sets are brought together.
+SKETCH = 16
 #: Signatures in a group that one task sorts.
 BUCKET = 1_000_000
-#: Candidates' ids up to this count are broadcast (8 bytes each) to pick their texts; beyond it a shuffled join does.
+#: Candidates' ids up to this count are broadcast (16 bytes each) to pick their texts; beyond it a shuffled join does.
 BROADCAST_IDS = 1_000_000
 
 
@@ -51,151 +56,151 @@ def bands(top: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return last, (den - num) * (last + last * den // num) // (den + num)
 
 
-def signatures(sets: list[np.ndarray], frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets, and the place in the list of the set of each."""
+def signatures(sets: list[np.ndarray], num: int, den: int, needs_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the sets' own bands, then for those below: how many signatures each set shares with a partner at least, the signatures, and the place in the list of the set of each."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    if not sizes.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    rare = np.ones(len(flat), bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-        rare = frequent[at] != flat
-    last, most = bands(int(sizes.max()), num, den)
-    out_s, out_o = [], []
-    value = mix(flat, 11)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    last, most = bands(int(sizes.max(initial=1)), num, den)
     own = np.searchsorted(last, np.maximum(sizes, 1))
     for band in (own, own - 1):
-        ok = (band >= 0) & (sizes > 0)
         at = np.maximum(band, 0)
         k = most[at]
-        ok &= (k > 0) & (sizes <= last[at] * den // num)  # k = 0: equal sets only, which are one class already
+        ok = (band >= 0) & (sizes > 0) & (k > 0) & (sizes <= last[at] * den // num)  # k = 0: equal sets only, which are one class already
         parts = np.where(ok, 2 * np.ceil(SPARE * (k + 1) / 2).astype(np.int64), 0)
         start = np.cumsum(parts) - parts
+        here = ok[owner]
+        element, of = flat[here], owner[here]
+        where = start[of] + (mix(element ^ mix(at[of].astype(np.uint64), 31), 37) % parts[of].astype(np.uint64)).astype(np.int64)
+        used = np.zeros(int(parts.sum()), bool)
+        used[where] = True
         signed = np.repeat(np.arange(len(sets)), parts)
-        place = (np.arange(parts.sum()) - np.repeat(start, parts)).astype(np.uint64)
+        in_use = np.bincount(signed[used], minlength=len(sets))
+        need = np.where(ok, np.maximum(in_use - k, 1), 0)
+        if needs_only:
+            yield need, element[:0], of[:0]
+            continue
+        content = np.zeros(len(used), dtype=np.uint64)
+        np.add.at(content, where, mix(element, 11))
+        emit = used | (ok & (in_use <= k))[signed]
+        place = (np.arange(len(used)) - np.repeat(start, parts)).astype(np.uint64)
         base = mix(mix(at[signed].astype(np.uint64), 23) ^ place, 29)
-        for mode, chosen in ((0, rare), (1, np.ones(len(flat), bool))):
-            if mode:
-                few = np.bincount(signed[used], minlength=len(sets)) <= k  # noqa: F821  too few partitions in use by rare shingles
-                few &= ok
-                if not few.any():
-                    break
-                chosen = few[owner]
-            else:
-                chosen = chosen & ok[owner]
-            where = start[owner[chosen]] + (mix(flat[chosen] ^ mix(at[owner[chosen]].astype(np.uint64), 31), 37) % parts[owner[chosen]].astype(np.uint64)).astype(np.int64)
-            content = np.zeros(int(parts.sum()), dtype=np.uint64)
-            np.add.at(content, where, value[chosen])
-            used = np.zeros(int(parts.sum()), bool)
-            used[where] = True
-            emit = used
-            if mode:
-                still = few & (np.bincount(signed[used], minlength=len(sets)) <= k)
-                emit = used | still[signed]
-            out_s.append(mix(mix(content[emit], 41 + mode) ^ base[emit], 43))
-            out_o.append(signed[emit])
-    return np.concatenate(out_s), np.concatenate(out_o)
+        yield need, mix(mix(content[emit], 41) ^ base[emit], 43), signed[emit]
 
 
 def set_key(s: np.ndarray, seed: int) -> int | None:
     return int(mix(s, seed).sum(dtype=np.uint64).view(np.int64)) if len(s) else None
 
 
-def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit key of the set; null keys for empty sets."""
+def rounds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """doc_id, text_key and shingles of rows (doc_id, text_key, text), about ELEMENTS shingles at a time."""
+    ids, keys, sets, held = [], [], [], 0
+    for batch in batches:
+        for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids.append(doc)
+            keys.append(key)
+            sets.append(shingle_hashes(text, width))
+            held += len(sets[-1])
+            if held >= ELEMENTS:
+                yield ids, keys, sets
+                ids, keys, sets, held = [], [], [], 0
+    if ids:
+        yield ids, keys, sets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, one, two = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(text, width)
-                n.append(len(s))
-                one.append(set_key(s, 3))
-                two.append(set_key(s, 5))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "n_shingles", "k1", "k2"])
-
-    return map_batches(docs, run, "doc_id long, n_shingles long, k1 long, k2 long")
 
-
-def frequent_shingles(docs: DataFrame, width: int, total: int) -> np.ndarray:
-    """Shingles in FREQUENT_SHARE of a bounded sample of documents, by hash of the id: at most 1 / FREQUENT_SHARE sets' worth."""
-    share = min(1.0, FREQUENT_SAMPLE / max(total, 1))
-    sample = docs.where(F.expr(f"pmod(xxhash64(doc_id, 17), 1000000) < {int(share * 1_000_000) + 1}"))
+def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, a 128-bit key of the set (null for empty sets), and what it needs to share in its own band and the one below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
-            if sets and sum(map(len, sets)):
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        for ids, keys, sets in rounds(batches, width):
+            (own, _, _), (below, _, _) = signatures(sets, num, den, needs_only=True)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int64()) for x in (ids, keys, [len(s) for s in sets], [set_key(s, 3) for s in sets], [set_key(s, 5) for s in sets])), pa.array(own.astype(np.int32)), pa.array(below.astype(np.int32))],
+                ["doc_id", "text_key", "n_shingles", "k1", "k2", "need_0", "need_1"],
+            )
 
-    least = max(8, int(FREQUENT_SHARE * min(total, FREQUENT_SAMPLE)))
-    found = map_batches(sample, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
-    got = [r.h for r in found.toLocalIterator()]
-    return np.sort(np.array(got, dtype=np.int64).view(np.uint64))
+    return map_batches(docs, run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, need_0 int, need_1 int")
 
 
-def shared_signatures(docs: DataFrame, width: int, frequent: np.ndarray, buckets: int, num: int, den: int) -> DataFrame:
-    """(sig, doc): the signatures that two or more of docs have, with the keys (k1) of the sets that have them.
+def shared_signatures(docs: DataFrame, width: int, buckets: int, num: int, den: int) -> DataFrame:
+    """(sig, doc, below): the signatures that two or more of docs have, with the keys (k1) of the sets that have them, and whether it is for the band below.
 
     A task first looks for repeats among its own rows: of those one goes on to the signature's bucket and the others
-    go, by document, past it. So a bucket gets a signature once from each batch however many documents share it.
+    go, by document, past it. So a bucket gets a signature once from each round however many documents share it.
     """
-    small = 1 << 22  # elements in a round of numpy work
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            sig, owner = signatures(sets, frequent, num, den)
-            doc = np.array(ids, dtype=np.int64)[owner]
+        for _, _, sets in rounds(batches, width):
+            ids = np.array([set_key(s, 3) or 0 for s in sets], dtype=np.int64)
+            (_, own, own_of), (_, low, low_of) = signatures(sets, num, den)
+            sig, doc = np.concatenate([own, low]), ids[np.concatenate([own_of, low_of])]
+            flag = np.repeat(np.array([0, 4], np.uint8), [len(own), len(low)])  # 4: for the band below
             order = np.argsort(sig, kind="stable")
             same = np.zeros(len(sig), bool)
             same[order[1:]] = sig[order[1:]] == sig[order[:-1]]
-            flag = np.where(same, 2, 0).astype(np.uint8)  # 2: known to be shared, goes past
+            flag[same] |= 2  # known to be shared, goes past
             first = np.zeros(len(sig), bool)
             first[order[:-1]] = same[order[1:]] & ~same[order[:-1]]
-            flag[first] = 1  # 1: known to be shared, stands for this batch
+            flag[first] |= 1  # known to be shared, stands for this round
             to = np.where(same, mix(doc.view(np.uint64), 47), mix(sig, 53)) % np.uint64(buckets)
             by = np.argsort(to, kind="stable")
             sig, doc, flag, to = sig[by], doc[by], flag[by], to[by]
             cut = np.flatnonzero(np.diff(to)) + 1
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(to[np.r_[0, cut]].astype(np.int32) if len(to) else [], pa.int32()), *(pa.array([p.tobytes() for p in np.split(x, cut)] if len(to) else [], pa.binary()) for x in (sig, doc, flag))], ["bucket", "sig", "doc", "flag"]
             )
 
-        ids, sets, held = [], [], 0
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                sets.append(shingle_hashes(text, width))
-                ids.append(set_key(sets[-1], 3))
-                held += len(sets[-1])
-                if held >= small:
-                    yield pack(ids, sets)
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield pack(ids, sets)
-
     def meet(table: pa.Table) -> pa.Table:
         sig, doc, flag = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("sig", np.uint64), ("doc", np.int64), ("flag", np.uint8)))
-        keep = flag > 0
-        here = np.flatnonzero(flag < 2)
+        keep = (flag & 3) > 0
+        here = np.flatnonzero((flag & 2) == 0)
         order = here[np.argsort(sig[here], kind="stable")]
         same = sig[order[1:]] == sig[order[:-1]]
         keep[order[1:]] |= same
         keep[order[:-1]] |= same
-        return pa.table({"sig": sig[keep].view(np.int64), "doc": doc[keep]})
+        return pa.table({"sig": sig[keep].view(np.int64), "doc": doc[keep], "below": (flag[keep] & 4) > 0})
 
     signed = map_batches(docs, sign, "bucket int, sig binary, doc binary, flag binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long")
+    return signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long, below boolean")
+
+
+def rare_signatures(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, doc, n): of each set that shares enough signatures with others, the rarest ones that its partners cannot all miss."""
+    often = shared.groupBy("sig").agg(F.count("*").alias("often"))
+    rows = shared.join(often, "sig").join(classes.select("doc", "n", "need_0", "need_1"), "doc").withColumn("need", F.when(F.col("below"), F.col("need_1")).otherwise(F.col("need_0")))
+    by = Window.partitionBy("doc", "below")
+    rows = rows.withColumn("place", F.row_number().over(by.orderBy("often", "sig"))).withColumn("held", F.count("*").over(by))
+    return rows.where("place <= held - need + 1").select("sig", "doc", "n")
+
+
+def distinct_groups(members: DataFrame) -> DataFrame:
+    """members without signatures that only one set has left, and with one signature of those that the same sets have."""
+    groups = members.groupBy("sig").agg(F.count("*").alias("held"), F.expr("bit_xor(xxhash64(doc))").alias("x"), F.expr("sum(pmod(xxhash64(doc, 1), 1099511627776))").alias("y"))
+    return members.join(groups.where("held > 1").groupBy("held", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+
+
+def still_open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (sig, doc, n, component) with the components as they are now, of signatures whose sets lie in more than one."""
+    rows = rows.drop("component").join(parts.selectExpr("node doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    return rows.join(mixed, "sig").select("sig", "doc", "n", "component")
+
+
+def sketch(s: np.ndarray) -> list[int]:
+    """64 * SKETCH parities: bit i is set if an odd number of the set's elements falls on it. Sets that differ in d elements differ in d bits at most."""
+    bits = np.bincount((mix(s, 59) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc (the set's key), shingles and sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for t in batch.column(1).to_pylist() if len(s := shingle_hashes(t, width))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s, 3) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
+        for _, _, sets in rounds(batches, width):
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s, 3) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles", "sketch"])
 
-    return map_batches(docs, run, "doc long, shingles binary")
+    return map_batches(docs, run, "doc long, shingles binary, sketch array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -219,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Each row's doc_id, n_shingles and component_id: the smallest doc_id reachable by links den * |x & y| >= num * |x | y|.
+    """Each row's doc_id, n_shingles and component_id: the smallest doc_id reachable by links den * |x & y| >= num * |x | y|; and text_key, a hash of its text.
 
     docs needs doc_id and text; other columns are left aside. Null and empty texts, and texts without words, have
     n_shingles 0 and link with nothing. Rows with the same set are in one component, and repeated rows come
@@ -227,49 +232,68 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = materialize(features(docs, width))
-    total, volume = feats.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    #: A class is known by its key k1, here doc; first is its smallest doc_id.
-    classes = materialize(feats.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first")).selectExpr("k1 doc", "k2", "n_shingles n", "first"))
-    frequent = frequent_shingles(docs, width, total)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    feats = materialize(features(docs, width, num, den))
+    total, volume, ids = feats.agg(F.count("doc_id"), F.coalesce(F.sum("n_shingles"), F.lit(0)), F.countDistinct("doc_id")).first()
+    #: A class is known by its key k1, here doc; first is its first row.
+    grouped = feats.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
+    classes = grouped.agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("need_0").alias("need_0"), F.first("need_1").alias("need_1"))
+    classes = materialize(classes.selectExpr("k1 doc", "k2", "n_shingles n", "first.doc_id", "first.text_key", "need_0", "need_1"))
     buckets = max(volume // BUCKET, 2 * shuffle_width(spark))
-    members = shared_signatures(pick(docs, classes.select("first"), total), width, frequent, buckets, num, den)
-    members = materialize(members.distinct().join(classes.select("doc", "n"), "doc"))
-    candidates = classes.join(members.select("doc").distinct(), "doc", "left_semi").select("first")
-    sets = materialize(shingle_sets(pick(docs, candidates, total), width).dropDuplicates(["doc"]))
+    once = (lambda df, *by: df) if ids == total else (lambda df, *by: df.dropDuplicates([*by]))  # a class is read once unless ids repeat
+    shared = materialize(once(shared_signatures(pick(docs, classes, total), width, buckets, num, den), "sig", "doc", "below"))
+    members = materialize(distinct_groups(rare_signatures(shared, classes)))
+    candidates = classes.join(members.select("doc").distinct(), "doc", "left_semi")
+    sets = materialize(once(shingle_sets(pick(docs, candidates, total), width), "doc"))
 
     fits = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    order = lambda df: df.selectExpr("least(doc, other) a", "greatest(doc, other) b").distinct()
-
-    def star(rows: DataFrame, by: str) -> DataFrame:
-        hubs = rows.groupBy("sig").agg(F.expr(f"min(struct({by} p, doc other, n m))").alias("h")).select("sig", "h.other", "h.m")
-        return order(rows.join(materialize(hubs), "sig").where("doc <> other").where(fits))
-
-    tried = materialize(star(members, "xxhash64(doc)"))
-    links = materialize(verified(tried, sets, num, den))
-    for step in ("hub", "rest"):
-        parts = components(links)
-        placed = members.join(parts.selectExpr("node doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-        open_rows = materialize(placed.join(materialize(mixed), "sig"))
-        if step == "hub":
-            more = star(open_rows, "xxhash64(doc, sig)")
-        else:  # what the hubs left: pairs across components only
-            other = open_rows.selectExpr("sig", "doc other", "n m", "component oc")
-            more = order(open_rows.join(other, "sig").where("doc < other and component <> oc").where(fits))
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(more)
-        links = links.union(materialize(verified(more, sets, num, den)))
+    differ = f"{' + '.join(f'bit_count(sketch[{i}] ^ drawn[{i}])' for i in range(SKETCH))} <= ({den - num} * (n + m)) div {den + num}"
+    rows = members.withColumn("component", F.col("doc"))
+    tried = links = None
+    for step in ("nearest", "hub", "hub", "rest"):
+        if links is not None:
+            rows = materialize(still_open(rows, components(links)))
+        hubs = rows.groupBy("sig").agg(F.expr("min(struct(xxhash64(doc) p, doc other, n m, component oc))").alias("h")).select("sig", "h.*")
+        if step == "rest":  # what the hubs left, one by one
+            drawn = rows.join(sets.select("doc", "sketch"), "doc")
+            pairs = drawn.join(drawn.selectExpr("sig", "doc other", "n m", "component oc", "sketch drawn"), "sig").where("doc < other and component <> oc").where(fits).where(differ)
+        else:
+            met = rows.join(hubs, "sig").where("doc <> other")
+            pairs = met.where("component <> oc").where(fits)
+            if step == "nearest":  # each set with one hub only: most of a group of copies comes together here
+                pairs = pairs.groupBy("doc").agg(F.expr("min(struct(p, other))").alias("h")).selectExpr("doc", "h.other")
+            else:  # done with the hubs
+                rows = met.select("sig", "doc", "n", "component")
+        pairs = pairs.selectExpr("least(doc, other) a", "greatest(doc, other) b").distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = materialize(verified(pairs, sets, num, den))
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
     parts = materialize(components(links).selectExpr("node doc", "component"))
     named = classes.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    lowest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")))
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.join(lowest, "component").select("doc", "k2", "n", "component_id"))
     known = feats.doc_id.isNotNull() & (feats.k1 == named.doc) & (feats.k2 == named.k2) & (feats.n_shingles == named.n)
-    return feats.join(named, known, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return feats.join(named, known, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
 
 def pick(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """doc_id and text of the rows of docs whose id is in ids: at most count ids, broadcast up to BROADCAST_IDS, and shuffled with the texts beyond."""
-    ids = ids.toDF("doc_id")
-    return docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("doc_id", "text")
+    """doc_id, text_key and text of the rows of docs that are in ids: at most count ids, broadcast up to BROADCAST_IDS, and shuffled with the texts beyond."""
+    ids = ids.select("doc_id", "text_key")
+    return docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text")
+
+
+def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each component of joined (from ngram_jaccard_join) the row with the smallest doc_id.
+
+    Rows that link with nothing stay, among them all without words or without doc_id. Of rows that repeat an id and
+    a text with words, one stays. All columns of docs come back.
+    """
+    keys = ["doc_id", "text_key"]
+    kept = joined.where("doc_id is null or doc_id = component_id").groupBy(*keys).agg(F.expr("case when max(n_shingles) > 0 and first(doc_id) is not null then count(*) else 1 end").alias("copies"))
+    kept = materialize(kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
+    most = kept.count()
+    kept = F.broadcast(kept) if most <= BROADCAST_IDS else kept
+    names = docs.columns
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key")))
+    again = rows.where("copies > 1").dropDuplicates(["_id", "_key"])
+    return rows.where("copies = 1").select(*names).unionByName(again.select(*names))
