@@ -32,6 +32,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 #: Feature places, and documents of each language in the training sample: the bound of the fitted sample.
 PLACES, MAX_PER_LANGUAGE = 1 << 13, 1500
 EPOCHS, C = 12, 8.0
+#: Least score of a document whose language counts as known.
+KNOWN = 0.35
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -153,3 +155,15 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(docs, run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = KNOWN) -> DataFrame:
+    """docs, all columns and repeated rows, without the documents of no language (`und`) or of a score below least."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

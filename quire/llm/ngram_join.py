@@ -288,12 +288,12 @@ def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     Rows that link with nothing stay, among them all without words or without doc_id. Of rows that repeat an id and
     a text with words, one stays. All columns of docs come back.
     """
-    keys = ["doc_id", "text_key"]
-    kept = joined.where("doc_id is null or doc_id = component_id").groupBy(*keys).agg(F.expr("case when max(n_shingles) > 0 and first(doc_id) is not null then count(*) else 1 end").alias("copies"))
-    kept = materialize(kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
-    most = kept.count()
-    kept = F.broadcast(kept) if most <= BROADCAST_IDS else kept
-    names = docs.columns
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key")))
-    again = rows.where("copies > 1").dropDuplicates(["_id", "_key"])
-    return rows.where("copies = 1").select(*names).unionByName(again.select(*names))
+    names, own = docs.columns, "kept_"
+    while any(c.lower().startswith(own) for c in names):
+        own += "_"
+    words = "max(n_shingles) > 0 and doc_id is not null"
+    kept = joined.where("doc_id is null or doc_id = component_id").groupBy("doc_id", "text_key").agg(F.expr(f"case when {words} then count(*) else 1 end").alias("copies"))
+    kept = materialize(kept.select(*(F.col(c).alias(own + c) for c in kept.columns)))
+    rows = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, docs["doc_id"].cast("long").eqNullSafe(F.col(own + "doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col(own + "text_key")))
+    again = rows.where(F.col(own + "copies") > 1).dropDuplicates([own + "doc_id", own + "text_key"])
+    return rows.where(F.col(own + "copies") == 1).select(*names).unionByName(again.select(*names))

@@ -142,6 +142,24 @@ def scan_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return map_batches(docs, run, "doc_id long, secrets array<struct<kind: string, start: int, end: int>>, redacted string")
 
 
+def redacted_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs, all columns and rows, with the secrets of each text replaced, and n_chars (if there) of a changed text counted anew."""
+    model, names = fit(docs) if model is None else model, docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            new = [redact(t, model.spans(t)) for t in old]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if chars is not None:
+                columns[chars] = pa.array([n if t is u or t == u else len(u) for n, t, u in zip(columns[chars].to_pylist(), old, new, strict=True)], batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str | None:
     if not spans:
         return text

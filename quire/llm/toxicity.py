@@ -190,3 +190,14 @@ def toxicity_scores(docs: DataFrame, index: Index) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(docs, run, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
+
+
+def keep_clean(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
+    """docs, all columns and repeated rows, without the documents whose score is threshold or more."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
