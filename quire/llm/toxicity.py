@@ -27,8 +27,9 @@ from .common import map_batches, words_of
 MAX_EXAMPLES = 4096
 #: Neighbours that vote, and examples in a block.
 K, BLOCK = 25, 32
-#: Chi-squared a word needs (one degree of freedom: p < 1e-6), in how many examples it must be, and words kept.
-LEAST_CHI2, LEAST_DF, MAX_WORDS = 24.0, 5, 2048
+#: Chi-squared a word needs (one degree of freedom: p < 1e-6), how many times likelier it must be in class 1, in how many examples it must be, and words kept.
+#: Significance grows with the sample; the ratio does not, and keeps common words out at every size.
+LEAST_CHI2, LEAST_RATIO, LEAST_DF, MAX_WORDS = 24.0, 2.0, 5, 2048
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>*#$%&@|-_~`"
 
@@ -129,7 +130,7 @@ def fit(examples: list[tuple[int, str | None, int]], share: float | None = None)
         a, b = df[1][w], df[0][w]
         if a + b >= LEAST_DF and a + b < n:
             chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (n - a - b))
-            if chi2 >= LEAST_CHI2 and a / pos > b / neg:
+            if chi2 >= LEAST_CHI2 and a / pos >= LEAST_RATIO * b / neg:
                 scored.append((-chi2, w))
     kept = [w for _, w in sorted(scored)[:MAX_WORDS]]
     out.words = {w: i for i, w in enumerate(sorted(kept))}
