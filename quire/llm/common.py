@@ -81,23 +81,26 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
 # --- components -----------------------------------------------------------------------------------------
 
 
+def _star(pairs: DataFrame) -> DataFrame:
+    """A large-star step and a small-star step over pairs (a, b), a > b."""
+    both = pairs.union(pairs.selectExpr("b a", "a b"))
+    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = pairs.selectExpr("b u", "a v").join(lowest.withColumnRenamed("a", "u"), "u").selectExpr("v a", "m b")  # v > u
+    pairs = large.union(lowest.where("m < a").selectExpr("a", "m b")).where("a > b").distinct()
+    lowest = pairs.groupBy("a").agg(F.min("b").alias("m"))
+    small = pairs.join(lowest, "a").where("b > m").selectExpr("b a", "m b")
+    return small.union(lowest.selectExpr("a", "m b")).distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) as (node, component): alternating large-star and small-star steps.
 
     component is the smallest node reachable. Nodes without an edge do not appear. Each step is a min by key and
     a join, both distributed; a hub's row count is pre-aggregated by the min and split by the skew join.
     """
-    pairs = materialize(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
-    state = None
+    pairs, state = edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), None
     for _ in range(max_rounds):
-        both = pairs.union(pairs.selectExpr("b a", "a b"))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = pairs.selectExpr("b u", "a v").join(lowest.withColumnRenamed("a", "u"), "u").selectExpr("v a", "m b")  # v > u
-        own = lowest.where("m < a").selectExpr("a", "m b")
-        pairs = large.union(own).where("a > b").distinct()
-        lowest = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        small = pairs.join(lowest, "a").where("b > m").selectExpr("b a", "m b")
-        pairs = materialize(small.union(lowest.selectExpr("a", "m b")).distinct())
+        pairs = materialize(_star(pairs))
         now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first()
         if now == state:
             break

@@ -37,7 +37,7 @@ from .common import components, map_batches, materialize, mix, shingle_hashes, s
 #: Share of partitions above the k + 1 that the pigeonhole principle needs: the more, the more frequent signatures can be left out.
 SPARE = 1.25
 #: Elements of sets in a round of numpy work.
-ELEMENTS = 1 << 20
+ELEMENTS = 1 << 18
 #: 64-bit words in a set's parity sketch, which shows that most pairs are too far apart before their sets are brought together.
 SKETCH = 16
 #: Signatures in a group that one task sorts.
@@ -268,7 +268,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = materialize(verified(pairs, sets, num, den))
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-    parts = materialize(components(links).selectExpr("node doc", "component"))
+    parts = components(links).selectExpr("node doc", "component")
     named = classes.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.join(lowest, "component").select("doc", "k2", "n", "component_id"))

@@ -119,12 +119,11 @@ def fit(examples: list[tuple[int, str | None, int]], share: float | None = None)
         return out
     examples = sorted(examples, key=lambda e: (e[0], e[2], e[1] or ""))
     labels = np.array([e[2] for e in examples], dtype=np.float64)
-    counted = [tokens(e[1]) for e in examples]
     pos, neg = max(labels.sum(), 1e-9), max((1 - labels).sum(), 1e-9)
     out.prior = float(labels.mean() if share is None else share)
     df: list[Counter] = [Counter(), Counter()]
-    for c, y in zip(counted, labels, strict=True):
-        df[int(y)].update(c.keys())
+    for e, y in zip(examples, labels, strict=True):
+        df[int(y)].update(tokens(e[1]).keys())
     n, scored = len(examples), []
     for w in df[0].keys() | df[1].keys():
         a, b = df[1][w], df[0][w]
@@ -135,6 +134,8 @@ def fit(examples: list[tuple[int, str | None, int]], share: float | None = None)
     kept = [w for _, w in sorted(scored)[:MAX_WORDS]]
     out.words = {w: i for i, w in enumerate(sorted(kept))}
     out.idf = np.array([np.log((1 + n) / (1 + df[0][w] + df[1][w])) + 1 for w in out.words])
+    del df, scored
+    counted = [Counter({w: n for w, n in tokens(e[1]).items() if w in out.words}) for e in examples]  # read again: all words of all examples are much to hold
     # Documents with the same leading word stand together, so that block maxima are sharp.
     vectors = [out.vector(c) for c in counted]
     order = sorted(range(n), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else 1 << 30, i))
