@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.syntax import SyntaxFault, statements
 from .state import advance, apply_matrix, multiply, number_advance, so_far, text_cursor
@@ -77,15 +78,21 @@ def content_rows(content: bytes | None) -> Iterator[dict]:
 def content_ops(contents: DataFrame, *keys: str) -> DataFrame:
     """The ops of contents (keys and content, binary), in order of op_idx and sub_idx. A malformed stream ends with a row that has an error."""
     schema = ", ".join(f"`{k}` {contents.schema[k].dataType.simpleString()}" for k in keys)
+    contents_schema = to_arrow_schema(contents.select(*keys).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.schema([*contents_schema, *_OPS])
+        rows: list[dict] = []
         for batch in batches:
             for j in range(batch.num_rows):
-                rows = list(content_rows(batch.column(len(keys))[j].as_py()))
-                for at in range(0, len(rows), 10_000):
-                    part = pa.RecordBatch.from_pylist(rows[at : at + 10_000], _OPS)
-                    same = [pa.array([batch.column(i)[j].as_py()] * part.num_rows, batch.schema.field(i).type) for i in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*same, *part.columns], [*keys, *_OPS.names])
+                same = {k: batch.column(i)[j].as_py() for i, k in enumerate(keys)}
+                for row in content_rows(batch.column(len(keys))[j].as_py()):
+                    rows.append(same | row)
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, whole)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, whole)
 
     return contents.select(*keys, F.col("content").cast("binary")).mapInArrow(run, f"{schema}, {OPS}")
 

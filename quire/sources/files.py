@@ -19,6 +19,8 @@ from .syntax import SyntaxFault, statements, value_at
 
 #: Largest file that is scanned.
 MAX_FILE = 1 << 30
+#: Bytes of files whose objects go back in one batch.
+ROUND = 1 << 23
 _START = re.compile(rb"startxref[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+%%EOF")
 _VERSION = re.compile(rb"%PDF-(\d\.\d)|%!PS-Adobe-\d\.\d PDF-(\d\.\d)")
 _SECTION = re.compile(rb"[\x00\t\n\x0c\r ]*(\d+)[ \t]+(\d+)[ \t]*[\r\n]+")
@@ -203,9 +205,16 @@ def scan_files(files: DataFrame) -> DataFrame:
     """A row for each of files (path, content): see SCANNED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_pylist([{"path": path.as_py()} | scan_content(content.as_py())], _ROW)
+                rows.append({"path": path.as_py()} | scan_content(content.as_py()))
+                size += len(content.as_buffer() or b"") if content.is_valid else 0
+                if size > ROUND or len(rows) >= 256:
+                    yield pa.RecordBatch.from_pylist(rows, _ROW)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ROW)
 
     return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, SCANNED)
 
