@@ -166,4 +166,4 @@ def keep_known(docs: DataFrame, model: Model, least: float = KNOWN) -> DataFrame
             got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -157,7 +157,7 @@ def redacted_documents(docs: DataFrame, model: Model | None = None) -> DataFrame
                 columns[chars] = pa.array([n if t is u or t == u else len(u) for n, t, u in zip(columns[chars].to_pylist(), old, new, strict=True)], batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str | None:

@@ -202,4 +202,4 @@ def keep_clean(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
