@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index, weighted votes.
 
 Fitting: a bounded sample of labelled documents (MAX_EXAMPLES of each class, by hash of the id) gives the examples.
-The vocabulary holds the words whose presence tells the classes apart (chi-squared test), so an example's vector is
-short and a word that says nothing adds no noise. Examples are dealt into blocks; for each word and block the index
-keeps the greatest weight. A query reads blocks in descending order of the bound that these give and stops
-when no block can hold a better neighbour than the K found: the neighbours are exact.
+Every word of the whole text of an example enters its vector; how many documents hold a word is counted over all
+documents. Examples are dealt into blocks; for each word the index keeps its postings and, for each block, the
+greatest weight. A query reads the blocks of greatest bound first and then every block that could still hold a better
+neighbour than the K found: the neighbours are exact.
 
 Scoring: votes weighted by cosine give a raw score. It is calibrated by a monotone curve that was fitted on the
 examples themselves, each scored without its own vote.
@@ -27,9 +27,10 @@ from .common import map_batches, words_of
 MAX_EXAMPLES = 4096
 #: Neighbours that vote, and examples in a block.
 K, BLOCK = 25, 32
-#: Chi-squared a word needs (one degree of freedom: p < 1e-6), how many times likelier it must be in class 1, in how many examples it must be, and words kept.
-#: Significance grows with the sample; the ratio does not, and keeps common words out at every size.
-LEAST_CHI2, LEAST_RATIO, LEAST_DF, MAX_WORDS = 24.0, 2.0, 5, 2048
+#: A word in more than this share of the places has a dense row in place of postings: the same weights, added faster.
+DENSE_SHARE = 1 / 8
+#: What reading a weight by example costs, reading one by word costing 1.
+BY_EXAMPLE = 3
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>*#$%&@|-_~`"
 
@@ -40,51 +41,106 @@ def tokens(text: str | None) -> Counter:
     return counts
 
 
+class Weights:
+    """Weights by word and place, as postings by word; dense rows for words that are nearly everywhere."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray, values: np.ndarray, n_words: int, width: int):
+        order = np.lexsort((places, words))
+        words, self.places, self.values, self.width = words[order], places[order].astype(np.int64), values[order].astype(np.float32), width
+        self.starts = np.searchsorted(words, np.arange(n_words + 1))
+        often = np.flatnonzero(np.diff(self.starts) > DENSE_SHARE * width)
+        self.row_of = np.full(n_words, -1, np.int32)
+        self.row_of[often] = np.arange(len(often))
+        self.rows = self[often]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """Dense rows of the words at these places."""
+        out = np.zeros((len(at), self.width), np.float32)
+        for i, w in enumerate(at):
+            out[i, self.places[self.starts[w] : self.starts[w + 1]]] = self.values[self.starts[w] : self.starts[w + 1]]
+        return out
+
+    def dot(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """By place, the sum of the words' weights there times those given."""
+        row = self.row_of[at]
+        far = row < 0
+        start, end = self.starts[at[far]], self.starts[at[far] + 1]
+        total = weight[~far].astype(np.float32) @ self.rows[row[~far]]
+        spans = [slice(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if not spans:
+            return total.astype(np.float64)
+        values = np.repeat(weight[far].astype(np.float32), end - start) * np.concatenate([self.values[x] for x in spans])
+        return total + np.bincount(np.concatenate([self.places[x] for x in spans]), values, minlength=self.width)
+
+    def reads(self, at: np.ndarray) -> int:
+        """Weights that dot() reads."""
+        return int((self.starts[at + 1] - self.starts[at]).sum())
+
+
 @dataclass
 class Index:
-    """Examples' vectors by word (postings), and block maxima by word."""
+    """Examples' vectors by word (postings) and by example, and block maxima by word."""
 
     words: dict[bytes, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    #: Weights of words in examples; dense[at] gives rows of a words by examples table, which is never held whole.
+    dense: Weights | None = None
+    block_max: Weights | None = None
+    #: The same weights by example: example i's are starts[i] to starts[i + 1].
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Places and unit-length weights of a text's words."""
-        found = [(self.words[w], n) for w, n in counts.items() if w in self.words] if len(self.words) < len(counts) * 4 else [(i, counts[w]) for w, i in self.words.items() if w in counts]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, n = np.array(found).T
+        """Places and unit-length weights of a text's words; words of no example have none."""
+        at = np.fromiter((self.words.get(w, -1) for w in counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))[at >= 0]
+        at = at[at >= 0]
+        if not len(at):
+            return at, n
         weight = (1 + np.log(n)) * self.idf[at]
         return at, weight / np.linalg.norm(weight)
 
+    def cosines(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of these blocks, and their cosines with the query, a weight by word."""
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[rows < len(self.labels)]
+        size = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(size)
+        entry = np.arange(ends[-1]) + np.repeat(self.starts[rows] - (ends - size), size)
+        return rows, np.add.reduceat(query[self.places[entry]] * self.values[entry], ends - size)
+
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, and these cosines; ties go to the lower place. without: left out."""
-        bound = weight @ self.block_max[at]
+        bound = self.block_max.dot(at, weight)
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        query = np.zeros(len(self.words), np.float32)
+        query[at] = weight
         best, score, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        step = max(1, 2 * k // BLOCK)
-        for i in range(0, len(order), step):
-            blocks = order[i : i + step]
-            if bound[blocks[0]] <= worst + 1e-12 and len(best) >= k or bound[blocks[0]] <= 0:
-                if bound[blocks[0]] < worst or bound[blocks[0]] <= 0:
-                    break
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.labels)]
-            rows = rows[rows != without]
-            cosine = weight @ self.dense[np.ix_(at, rows)]
-            best, score = np.r_[best, rows[cosine > 0]], np.r_[score, cosine[cosine > 0]]
+        first = max(1, 2 * k // BLOCK)
+        for blocks in (order[:first], order[first:]):
+            blocks = blocks[bound[blocks] >= worst - 1e-5]  # single precision
+            if not len(blocks):
+                break
+            held = self.starts[np.minimum((blocks + 1) * BLOCK, len(self.labels))] - self.starts[blocks * BLOCK]
+            if BY_EXAMPLE * held.sum() <= self.dense.reads(at):
+                rows, cosine = self.cosines(blocks, query)
+            else:  # the words' postings in all blocks are read faster
+                rows, cosine = np.arange(len(self.labels)), self.dense.dot(at, weight)
+                best, score = best[:0], score[:0]
+            keep = (cosine > max(worst - 1e-5, 0)) & (rows != without)
+            best, score = np.r_[best, rows[keep]], np.r_[score, cosine[keep]]
             keep = np.lexsort((best, -score))[:k]
             best, score = best[keep], score[keep]
             worst = score[-1] if len(score) == k else 0.0
         return best, score
 
-    def raw(self, counts: Counter, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, weight = self.vector(counts)
+    def raw_of(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         if not len(at) or not len(self.labels):
             return -1.0, np.zeros(0, np.int64), np.zeros(0)
         best, cosine = self.nearest(at, weight, K, without)
@@ -94,7 +150,7 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Calibrated score, and the evidence: the ids of the voting examples and their cosines."""
-        raw, best, cosine = self.raw(tokens(text))
+        raw, best, cosine = self.raw_of(*self.vector(tokens(text)))
         x, y = self.curve
         p = float(np.interp(raw, x, y)) if len(x) else self.prior
         return min(1.0, max(0.0, p)), self.ids[best].tolist(), cosine.tolist()
@@ -112,42 +168,41 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] for p in pools])
 
 
-def fit(examples: list[tuple[int, str | None, int]], share: float | None = None) -> Index:
-    """The index of examples (id, text, label). share: of label 1 among all labelled rows, if the examples' own differs."""
+def fit(examples: list[tuple[int, str | None, int]], share: float | None = None, held: tuple[int, dict[bytes, int]] | None = None) -> Index:
+    """The index of examples (id, text, label). share: of label 1 among all labelled rows, if the examples' own differs.
+
+    held: how many documents there are, and how many of them hold each word; the examples' own if not given.
+    """
     out = Index()
     if not examples:
         return out
     examples = sorted(examples, key=lambda e: (e[0], e[2], e[1] or ""))
     labels = np.array([e[2] for e in examples], dtype=np.float64)
-    pos, neg = max(labels.sum(), 1e-9), max((1 - labels).sum(), 1e-9)
     out.prior = float(labels.mean() if share is None else share)
-    df: list[Counter] = [Counter(), Counter()]
-    for e, y in zip(examples, labels, strict=True):
-        df[int(y)].update(tokens(e[1]).keys())
-    n, scored = len(examples), []
-    for w in df[0].keys() | df[1].keys():
-        a, b = df[1][w], df[0][w]
-        if a + b >= LEAST_DF and a + b < n:
-            chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (n - a - b))
-            if chi2 >= LEAST_CHI2 and a / pos >= LEAST_RATIO * b / neg:
-                scored.append((-chi2, w))
-    kept = [w for _, w in sorted(scored)[:MAX_WORDS]]
-    out.words = {w: i for i, w in enumerate(sorted(kept))}
-    out.idf = np.array([np.log((1 + n) / (1 + df[0][w] + df[1][w])) + 1 for w in out.words])
-    del df, scored
-    counted = [Counter({w: n for w, n in tokens(e[1]).items() if w in out.words}) for e in examples]  # read again: all words of all examples are much to hold
+    df: Counter = Counter()
+    for e in examples:
+        df.update(tokens(e[1]).keys())
+    total, df = held or (len(examples), df)
+    out.words = {w: i for i, w in enumerate(sorted(df))}
+    out.idf = np.array([np.log((1 + total) / (1 + df[w])) + 1 for w in out.words])
+    del df
     # Documents with the same leading word stand together, so that block maxima are sharp.
-    vectors = [out.vector(c) for c in counted]
-    order = sorted(range(n), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else 1 << 30, i))
-    order = [i for i in order if len(vectors[i][0])]
+    vectors = [out.vector(tokens(e[1])) for e in examples]  # read again: all words of all examples are much to hold
+    order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
     out.labels, out.ids = labels[order], np.array([examples[i][0] for i in order], dtype=np.int64)
-    out.dense = np.zeros((len(out.words), len(order)), np.float32)
-    for j, i in enumerate(order):
-        out.dense[vectors[i][0], j] = vectors[i][1]
-    starts = np.arange(0, len(order), BLOCK)
-    out.block_max = np.maximum.reduceat(out.dense, starts, axis=1) if len(order) else np.zeros((len(out.words), 0), np.float32)
+    sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+    out.starts = np.r_[0, np.cumsum(sizes)]
+    if order:
+        out.places = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
+        out.values = np.concatenate([vectors[i][1] for i in order]).astype(np.float32)
+    rows = np.repeat(np.arange(len(order)), sizes)
+    out.dense = Weights(out.places, rows, out.values, len(out.words), len(order))
+    by_block = np.lexsort((rows // BLOCK, out.places))
+    first = np.flatnonzero(np.diff(out.places[by_block] * np.int64(len(order) + 1) + rows[by_block] // BLOCK, prepend=-1))
+    top = np.maximum.reduceat(out.values[by_block], first) if len(first) else out.values
+    out.block_max = Weights(out.places[by_block][first], rows[by_block][first] // BLOCK, top, len(out.words), -(-len(order) // BLOCK))
     place = {i: j for j, i in enumerate(order)}
-    raw = np.array([out.raw(c, place.get(i, -1))[0] for i, c in enumerate(counted)])
+    raw = np.array([out.raw_of(*v, place.get(i, -1))[0] for i, v in enumerate(vectors)])
     weight = np.where(labels > 0, out.prior / max(labels.mean(), 1e-9), (1 - out.prior) / max(1 - labels.mean(), 1e-9))
     out.curve = isotonic(raw, labels, np.maximum(weight, 1e-9))
     return out
@@ -167,19 +222,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, seed: int = 7) -> tuple[Da
     return rows.select("doc_id", "text", "toxic"), count.get(1, 0) / sum(count.values())
 
 
+def documents_with(docs: DataFrame, words: list[bytes]) -> tuple[int, dict[bytes, int]]:
+    """How many documents there are, and how many of them hold each of words."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # the examples' words: MAX_EXAMPLES bounds them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n = shared.value, np.zeros(len(words) + 1, np.int64)  # the last counts documents
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n[[place[w] for w in tokens(text) if w in place]] += 1
+            n[-1] += batch.num_rows
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
+
+    counts = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(len(words) + 1, np.int64)
+    n[counts.word.to_numpy(np.int64)] = counts.n
+    return int(n[-1]), dict(zip(words, n.tolist(), strict=False))
+
+
 def fit_on(docs: DataFrame, labels: DataFrame) -> Index:
+    """The index of a sample of the labelled documents, with words counted over all of docs."""
     rows, share = training_rows(docs, labels)
-    return fit([(r.doc_id, r.text, r.toxic) for r in rows.collect()], share)
+    examples = [(r.doc_id, r.text, r.toxic) for r in rows.collect()]
+    words = sorted({w for e in examples for w in tokens(e[1])})
+    return fit(examples, share, documents_with(docs, words) if words else None)
 
 
 def toxicity_scores(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score (0 to 1), evidence_ids and evidence_cosines for each row of docs.
 
     docs needs doc_id and text; other columns are left aside. Null and empty texts, and texts without a word
-    of the vocabulary, get the rate of label 1 among such examples and no evidence. Without examples all scores are 0.
+    of an example, get the rate of label 1 among such examples and no evidence. Without examples all scores are 0.
     Repeated rows come back as often as given; ties between examples go to the lower place in the index.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES and MAX_WORDS bound it
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

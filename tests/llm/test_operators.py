@@ -262,6 +262,23 @@ def test_nearest_examples_are_exact():
             assert np.allclose(-cosine, [c for c, _ in want], atol=1e-6)
 
 
+def test_toxicity_keeps_every_example_and_word(spark):
+    """Examples of both classes, all their words, and word counts over all documents, labelled or not."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"c{j}" for j in range(200)], 20)) + f" own{i}" + " bad" * (i % 3 == 0) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, "c0 c0 own1") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    index = toxicity.fit_on(docs, labels)
+    assert sorted(index.ids.tolist()) == list(range(300)) and set(index.words) == {w for t in texts for w in t.encode().split()}
+    assert np.isclose(index.idf[index.words[b"own1"]], np.log(351 / 52) + 1) and np.isclose(index.idf[index.words[b"own2"]], np.log(351 / 2) + 1)
+    every = np.stack([index.dense[np.array([w])][0] for w in range(len(index.words))])
+    for text in texts[:60]:
+        at, weight = index.vector(toxicity.tokens(text))
+        best, cosine = index.nearest(at, weight, toxicity.K)
+        assert np.isclose(cosine[0], 1, atol=1e-5) and np.allclose(cosine, np.sort(weight @ every[at])[::-1][: toxicity.K], atol=1e-5)
+    assert {0, 1} == set(index.labels[best].tolist())
+
+
 def test_toxicity_on_awkward_rows(awkward, empty, spark):
     labels = spark.createDataFrame([(1, 1), (3, None), (7, 0), (None, 1), (7, 0)], "doc_id long, toxic int")
     for index in (toxicity.fit_on(awkward, labels), toxicity.fit_on(empty, labels), toxicity.fit_on(awkward, labels.where("false"))):
