@@ -1,8 +1,8 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
 
 A rotation of the principal axes is learned on a bounded sample so that the signs of the rotated coordinates make
-balanced binary codes. A code is cut into chunks, one table each; vectors of a label meet in a table where their
-chunks differ in at most one bit. Candidates within a Hamming radius are reranked by the cosine of the original
+balanced binary codes. A code is cut into chunks, one table each, the more the smaller its label is; vectors of a label
+meet in a table where their chunks differ in at most one bit, or two if chunks are wider than 8 bits. Candidates within a Hamming radius are reranked by the cosine of the original
 vectors in double precision.
 """
 
@@ -75,6 +75,16 @@ def chunks_for(rows: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def tables(rows: F.Column) -> F.Column:
+    """Array of (t, bits, chunk, probes) of a code, one for each table of a label with so many rows."""
+    chosen = None
+    for bits in range(16, 7, -1):
+        cut = chunks_for(1 << bits)
+        part = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(b).alias("bits"), F.expr(f"shiftrightunsigned(code, {s}) & {(1 << b) - 1}").alias("chunk"), F.lit(1 if b <= 8 else 2).alias("probes")) for t, (s, b) in enumerate(cut)))
+        chosen = part if chosen is None else F.when(rows <= 1 << bits, part).otherwise(chosen)
+    return chosen
+
+
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label).
 
@@ -107,12 +117,13 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), batch.column(3), pa.array(out)], ["id", "label", "dim", "code"])
 
     coded = materialize(map_batches(groups.select("id", "embedding", "label", "dim"), code, "id long, label string, dim int, code long"))
-    per_label = coded.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    tables = chunks_for(per_label)
-    part = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(b).alias("bits"), F.expr(f"shiftrightunsigned(code, {s}) & {(1 << b) - 1}").alias("chunk")) for t, (s, b) in enumerate(tables)))
-    index = coded.select("id", "label", "dim", "code", F.inline(part))
-    probe = index.select(F.col("id").alias("other"), F.col("code").alias("theirs"), "label", "dim", "t", F.explode(F.expr("concat(array(chunk), transform(sequence(0, bits - 1), i -> chunk ^ shiftleft(1L, i)))")).alias("chunk"))
-    near = index.join(probe, ["label", "dim", "t", "chunk"]).where(F.expr(f"id < other and bit_count(code ^ theirs) <= {RADIUS}"))
+    sizes = coded.groupBy("label").agg(F.count("*").alias("rows"))
+    parts = coded.join(sizes, "label").select("id", "label", "dim", "code", F.inline(tables(F.col("rows"))))
+    # Bits are flipped on one side for a distance of one, on both for two, the lower bit first: a pair meets once a table.
+    flips = "concat(array(struct(-1 as {0}, chunk as met)), transform(sequence(0, bits - 1), i -> struct(i as {0}, chunk ^ shiftleft(1L, i) as met)))"
+    index = parts.select("id", "code", "label", "dim", "t", F.inline(F.expr(f"if(probes = 2, {flips.format('mine')}, array(struct(-1 as mine, chunk as met)))")))
+    probe = parts.select(F.col("id").alias("other"), F.col("code").alias("theirs"), "label", "dim", "t", F.inline(F.expr(flips.format("flipped"))))
+    near = index.join(probe, ["label", "dim", "t", "met"]).where(f"id < other and (mine < flipped or mine = -1 and flipped = -1) and bit_count(code ^ theirs) <= {RADIUS}")
     pairs = near.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     one, two = groups.selectExpr("id a", "embedding x"), groups.selectExpr("id b", "embedding y")
 

@@ -166,6 +166,31 @@ def test_embeddings_against_brute_force(spark, data):
     assert sum(got.values()) >= 0.95 * sum(want.values())
 
 
+def test_embeddings_recall_at_every_size_of_a_label(spark, tmp_path):
+    """A label for each number of tables, pairs of cosine 0.93 to 0.95 in all of them."""
+    import pandas as pd
+
+    rng, frames, want = np.random.default_rng(8), [], {}
+    for size in (200, 1000, 2500, 6000, 33_000):
+        one = rng.normal(size=(size // 2, 64))
+        one /= np.linalg.norm(one, axis=1, keepdims=True)
+        side = rng.normal(size=one.shape)
+        side -= (side * one).sum(axis=1, keepdims=True) * one
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        c = rng.uniform(0.931, 0.95, (size // 2, 1))
+        rows = np.concatenate([one, c * one + np.sqrt(1 - c**2) * side])
+        want[size] = sum(int((rows[i : i + 1000] @ rows.T >= 0.93).sum()) for i in range(0, size, 1000)) - size  # brute force
+        frames.append(pd.DataFrame({"vec_id": np.arange(size) + size * 1000, "embedding": list(rows), "label": str(size)}))
+    assert len({len(embed_dedup.chunks_for(n)) for n in want}) == len(want)
+    pd.concat(frames).to_parquet(tmp_path / "vectors.parquet")
+    vectors = spark.read.parquet(f"file://{tmp_path}/vectors.parquet")
+    ids = {size: range(size * 1000, size * 1000 + size) for size in want}
+    linked = dict.fromkeys(want, 0)
+    for r in embed_dedup.embedding_dedup(vectors).where("n_links > 0").collect():
+        linked[next(size for size, own in ids.items() if r.vec_id in own)] += r.n_links
+    assert all(0.95 * want[size] <= linked[size] <= want[size] for size in want), (linked, want)
+
+
 def test_embeddings_on_awkward_rows(spark):
     rows = [(1, [1.0, 0.0], 1, 0), (2, [2.0, 0.0], 1, 0), (2, [2.0, 0.0], 1, 0), (3, [0.0, 0.0], 1, 0), (4, None, 1, 0), (5, [1.0, None], 1, 0), (6, [float("nan"), 1.0], 1, 0), (7, [1.0, 0.0], None, 0), (8, [1.0, 0.0, 0.0], 1, 0), (9, [], 1, 0), (None, [1.0, 0.0], 1, 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, code int")
