@@ -1,10 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index, weighted votes.
 
-Fitting: a bounded sample of labelled documents (MAX_EXAMPLES of each class, by hash of the id) gives the examples.
-Every word of the whole text of an example enters its vector; how many documents hold a word is counted over all
-documents. Examples are dealt into blocks; for each word the index keeps its postings and, for each block, the
-greatest weight. A query reads the blocks of greatest bound first and then every block that could still hold a better
-neighbour than the K found: the neighbours are exact.
+Fitting: a bounded sample of labelled documents gives the examples (MAX_EXAMPLES of each class and MAX_POSTINGS words
+of all examples, by hash). Every word of the whole text of an example enters its vector; how many documents hold a
+word is counted over all documents. A word weighs (1 + ln tf) * idf * rf. rf, the relevance frequency of
+text categorisation, is log2(2 + a / max(1, c)) for a word that a examples of label 1 and c of label 0 hold: without it,
+the few words that make a text toxic hardly count among all the others, and half of the toxic texts are missed.
+
+The index keeps postings by word. Lists of words that few examples hold are read whole. Long lists are kept by block
+of examples with each block's greatest weight; what a block can reach at most is known before its weights are read,
+so blocks that hold no better neighbour than the K found are skipped: the neighbours are exact.
 
 Scoring: votes weighted by cosine give a raw score. It is calibrated by a monotone curve that was fitted on the
 examples themselves, each scored without its own vote.
@@ -12,148 +16,137 @@ examples themselves, each scored without its own vote.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, words_of
+from .common import map_batches, materialize, words_of
 
-#: Documents of each class that serve as examples, at most: the bound of the fitted sample.
-MAX_EXAMPLES = 4096
+#: Documents of each class that serve as examples, at most about, and distinct words of all examples: the bounds of the fitted sample.
+MAX_EXAMPLES, MAX_POSTINGS = 4096, 6_000_000
 #: Neighbours that vote, and examples in a block.
 K, BLOCK = 25, 32
-#: A word in more than this share of the places has a dense row in place of postings: the same weights, added faster.
-DENSE_SHARE = 1 / 8
-#: What reading a weight by example costs, reading one by word costing 1.
-BY_EXAMPLE = 3
+#: A word that more than this share of the examples hold has a long list, which is kept by block.
+LONG_SHARE = 1 / 8
+#: Texts scored together, and blocks read before the first bound is known.
+TOGETHER, FIRST = 64, 4
+#: Above this share of blocks left, all are read at once.
+MANY = 1 / 4
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>*#$%&@|-_~`"
+SLACK = 1e-5  # of single precision
+
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-def tokens(text: str | None) -> Counter:
-    counts = Counter(w.strip(EDGES) for w in words_of(text))
-    counts.pop(b"", None)
-    return counts
-
-
-class Weights:
-    """Weights by word and place, as postings by word; dense rows for words that are nearly everywhere."""
-
-    def __init__(self, words: np.ndarray, places: np.ndarray, values: np.ndarray, n_words: int, width: int):
-        order = np.lexsort((places, words))
-        words, self.places, self.values, self.width = words[order], places[order].astype(np.int64), values[order].astype(np.float32), width
-        self.starts = np.searchsorted(words, np.arange(n_words + 1))
-        often = np.flatnonzero(np.diff(self.starts) > DENSE_SHARE * width)
-        self.row_of = np.full(n_words, -1, np.int32)
-        self.row_of[often] = np.arange(len(often))
-        self.rows = self[often]
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        """Dense rows of the words at these places."""
-        out = np.zeros((len(at), self.width), np.float32)
-        for i, w in enumerate(at):
-            out[i, self.places[self.starts[w] : self.starts[w + 1]]] = self.values[self.starts[w] : self.starts[w + 1]]
-        return out
-
-    def dot(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """By place, the sum of the words' weights there times those given."""
-        row = self.row_of[at]
-        far = row < 0
-        start, end = self.starts[at[far]], self.starts[at[far] + 1]
-        total = weight[~far].astype(np.float32) @ self.rows[row[~far]]
-        spans = [slice(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        if not spans:
-            return total.astype(np.float64)
-        values = np.repeat(weight[far].astype(np.float32), end - start) * np.concatenate([self.values[x] for x in spans])
-        return total + np.bincount(np.concatenate([self.places[x] for x in spans]), values, minlength=self.width)
-
-    def reads(self, at: np.ndarray) -> int:
-        """Weights that dot() reads."""
-        return int((self.starts[at + 1] - self.starts[at]).sum())
+def bag(text: str | None) -> Vector:
+    """Sorted hashes of a text's distinct words, and how often each is there."""
+    words = [w.strip(EDGES) for w in words_of(text)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, filter(None, words)), np.uint64), return_counts=True)
 
 
 @dataclass
 class Index:
-    """Examples' vectors by word (postings) and by example, and block maxima by word."""
-
-    words: dict[bytes, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Weights of words in examples; dense[at] gives rows of a words by examples table, which is never held whole.
-    dense: Weights | None = None
-    block_max: Weights | None = None
-    #: The same weights by example: example i's are starts[i] to starts[i + 1].
+    """Examples' unit vectors: postings of words with short lists, blocks of long ones with block maxima."""
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Short lists: word w's examples and weights are at starts[w] to starts[w + 1]; none for a long list.
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    #: Long lists: the row of each word (-1: short), weights by (row, example), and maxima by (row, block).
+    row_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, words: np.ndarray, counts: np.ndarray) -> Vector:
         """Places and unit-length weights of a text's words; words of no example have none."""
-        at = np.fromiter((self.words.get(w, -1) for w in counts), np.int64, len(counts))
-        n = np.fromiter(counts.values(), np.float64, len(counts))[at >= 0]
-        at = at[at >= 0]
-        if not len(at):
-            return at, n
-        weight = (1 + np.log(n)) * self.idf[at]
-        return at, weight / np.linalg.norm(weight)
-
-    def cosines(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of these blocks, and their cosines with the query, a weight by word."""
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        rows = rows[rows < len(self.labels)]
-        size = self.starts[rows + 1] - self.starts[rows]
-        ends = np.cumsum(size)
-        entry = np.arange(ends[-1]) + np.repeat(self.starts[rows] - (ends - size), size)
-        return rows, np.add.reduceat(query[self.places[entry]] * self.values[entry], ends - size)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, and these cosines; ties go to the lower place. without: left out."""
-        bound = self.block_max.dot(at, weight)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        query = np.zeros(len(self.words), np.float32)
-        query[at] = weight
-        best, score, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        first = max(1, 2 * k // BLOCK)
-        for blocks in (order[:first], order[first:]):
-            blocks = blocks[bound[blocks] >= worst - 1e-5]  # single precision
-            if not len(blocks):
-                break
-            held = self.starts[np.minimum((blocks + 1) * BLOCK, len(self.labels))] - self.starts[blocks * BLOCK]
-            if BY_EXAMPLE * held.sum() <= self.dense.reads(at):
-                rows, cosine = self.cosines(blocks, query)
-            else:  # the words' postings in all blocks are read faster
-                rows, cosine = np.arange(len(self.labels)), self.dense.dot(at, weight)
-                best, score = best[:0], score[:0]
-            keep = (cosine > max(worst - 1e-5, 0)) & (rows != without)
-            best, score = np.r_[best, rows[keep]], np.r_[score, cosine[keep]]
-            keep = np.lexsort((best, -score))[:k]
-            best, score = best[keep], score[keep]
-            worst = score[-1] if len(score) == k else 0.0
-        return best, score
-
-    def raw_of(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(at) or not len(self.labels):
-            return -1.0, np.zeros(0, np.int64), np.zeros(0)
-        best, cosine = self.nearest(at, weight, K, without)
-        if not len(best):
-            return -1.0, best, cosine
-        return float((cosine * self.labels[best]).sum() / cosine.sum()), best, cosine
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        at = at[known]
+        weight = (1 + np.log(counts[known])) * self.weight[at]
+        return at, weight / max(np.sqrt(weight @ weight), 1e-300)
+
+    def nearest(self, vectors: list[Vector], k: int = K, without: list[int] | None = None) -> Iterator[Vector]:
+        """For each vector the k examples of greatest cosine above 0, and these cosines; ties go to the lower place. without: an example left out of each."""
+        width, blocks = len(self.labels), self.tops.shape[1]
+        if not width:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
+            return
+        first = min(max(FIRST, -(-2 * k // BLOCK)), blocks)
+        by_block = self.rows.reshape(len(self.rows), blocks, BLOCK)
+        for begin in range(0, len(vectors), TOGETHER):
+            part = vectors[begin : begin + TOGETHER]
+            short, long = np.zeros((len(part), blocks * BLOCK), np.float32), np.zeros((len(part), len(self.rows)), np.float32)
+            for i, (at, weight) in enumerate(part):
+                row = self.row_of[at]
+                long[i, row[row >= 0]] = weight[row >= 0]
+                start, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+                if total := int(size.sum()):
+                    entry = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+                    short[i] = np.bincount(self.places[entry], self.values[entry] * np.repeat(weight, size), minlength=blocks * BLOCK)
+            bound = short.reshape(len(part), blocks, BLOCK).max(axis=2) + long @ self.tops
+            whole: list[int] = []
+            found: dict[int, Vector] = {}
+            for i in range(len(part)):
+                left_out = without[begin + i] if without else -1
+                ahead = np.argpartition(-bound[i], first - 1)[:first]
+                best = self._pick(*self._read(by_block, short[i], long[i], ahead), k, left_out)
+                worst = best[1][-1] if len(best[0]) == k else 0.0
+                more = bound[i] >= max(worst - SLACK, SLACK)
+                more[ahead] = True
+                if more.sum() > MANY * blocks:
+                    whole.append(i)
+                elif more.sum() > first:
+                    found[i] = self._pick(*self._read(by_block, short[i], long[i], np.flatnonzero(more)), k, left_out)
+                else:
+                    found[i] = best
+            if whole:
+                cosines = short[whole] + long[whole] @ self.rows
+                for i, cosine in zip(whole, cosines, strict=True):
+                    found[i] = self._pick(np.arange(width), cosine[:width], k, without[begin + i] if without else -1)
+            yield from (found[i] for i in range(len(part)))
+
+    def _read(self, by_block: np.ndarray, short: np.ndarray, long: np.ndarray, blocks: np.ndarray) -> Vector:
+        """Examples of these blocks, and their cosines."""
+        cosine = short.reshape(-1, BLOCK)[blocks] + np.einsum("w,wbe->be", long, by_block[:, blocks])
+        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), cosine.ravel()
+
+    @staticmethod
+    def _pick(rows: np.ndarray, cosine: np.ndarray, k: int, without: int) -> Vector:
+        cosine = np.round(cosine.astype(np.float64), 6)  # copies tie, however their weights were added
+        if len(rows) > 4 * k:
+            least = np.partition(cosine, len(rows) - k - 1)[len(rows) - k - 1]  # one more than k: one may be left out
+            rows, cosine = rows[cosine >= least], cosine[cosine >= least]
+        keep = (cosine > 0) & (rows != without)
+        rows, cosine = rows[keep], cosine[keep]
+        order = np.lexsort((rows, -cosine))[:k]
+        return rows[order], cosine[order]
+
+    def raws(self, vectors: list[Vector], without: list[int] | None = None) -> Iterator[tuple[float, Vector]]:
+        """Vote of the nearest examples (-1: there are none), and these."""
+        for best, cosine in self.nearest(vectors, K, without):
+            yield (float((cosine * self.labels[best]).sum() / cosine.sum()) if len(best) else -1.0), (best, cosine)
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
         """Calibrated score, and the evidence: the ids of the voting examples and their cosines."""
-        raw, best, cosine = self.raw_of(*self.vector(tokens(text)))
         x, y = self.curve
-        p = float(np.interp(raw, x, y)) if len(x) else self.prior
-        return min(1.0, max(0.0, p)), self.ids[best].tolist(), cosine.tolist()
+        for raw, (best, cosine) in self.raws([self.vector(*bag(t)) for t in texts]):
+            p = float(np.interp(raw, x, y)) if len(x) else self.prior
+            yield min(1.0, max(0.0, p)), self.ids[best].tolist(), cosine.tolist()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,100 +161,132 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] for p in pools])
 
 
-def fit(examples: list[tuple[int, str | None, int]], share: float | None = None, held: tuple[int, dict[bytes, int]] | None = None) -> Index:
-    """The index of examples (id, text, label). share: of label 1 among all labelled rows, if the examples' own differs.
-
-    held: how many documents there are, and how many of them hold each word; the examples' own if not given.
-    """
-    out = Index()
-    if not examples:
-        return out
-    examples = sorted(examples, key=lambda e: (e[0], e[2], e[1] or ""))
-    labels = np.array([e[2] for e in examples], dtype=np.float64)
-    out.prior = float(labels.mean() if share is None else share)
-    df: Counter = Counter()
-    for e in examples:
-        df.update(tokens(e[1]).keys())
-    total, df = held or (len(examples), df)
-    out.words = {w: i for i, w in enumerate(sorted(df))}
-    out.idf = np.array([np.log((1 + total) / (1 + df[w])) + 1 for w in out.words])
-    del df
-    # Documents with the same leading word stand together, so that block maxima are sharp.
-    vectors = [out.vector(tokens(e[1])) for e in examples]  # read again: all words of all examples are much to hold
-    order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-    out.labels, out.ids = labels[order], np.array([examples[i][0] for i in order], dtype=np.int64)
-    sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
-    out.starts = np.r_[0, np.cumsum(sizes)]
-    if order:
-        out.places = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
-        out.values = np.concatenate([vectors[i][1] for i in order]).astype(np.float32)
-    rows = np.repeat(np.arange(len(order)), sizes)
-    out.dense = Weights(out.places, rows, out.values, len(out.words), len(order))
-    by_block = np.lexsort((rows // BLOCK, out.places))
-    first = np.flatnonzero(np.diff(out.places[by_block] * np.int64(len(order) + 1) + rows[by_block] // BLOCK, prepend=-1))
-    top = np.maximum.reduceat(out.values[by_block], first) if len(first) else out.values
-    out.block_max = Weights(out.places[by_block][first], rows[by_block][first] // BLOCK, top, len(out.words), -(-len(order) // BLOCK))
-    place = {i: j for j, i in enumerate(order)}
-    raw = np.array([out.raw_of(*v, place.get(i, -1))[0] for i, v in enumerate(vectors)])
-    weight = np.where(labels > 0, out.prior / max(labels.mean(), 1e-9), (1 - out.prior) / max(1 - labels.mean(), 1e-9))
-    out.curve = isotonic(raw, labels, np.maximum(weight, 1e-9))
+def build(examples: list[tuple[int, int, int, Vector]], words: np.ndarray, held: np.ndarray, total: int, share: float) -> Index:
+    """The index of examples (key, id, label, bag), without its curve. words: sorted; held: how many of total documents hold each. share: of label 1 among all labelled rows."""
+    out = Index(words=words, prior=share)
+    examples = sorted(examples, key=lambda e: e[0])
+    labels, at = np.array([e[2] for e in examples]), [np.searchsorted(words, e[3][0]) for e in examples]
+    relevant = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(a for a, y in zip(at, labels, strict=True) if y == label)]), minlength=len(words)) for label in (1, 0)]
+    out.weight = np.log((1 + total) / (1 + np.minimum(held, total))) * np.log2(2 + relevant[0] / np.maximum(1, relevant[1])) + 1e-9
+    vectors = [out.vector(*e[3]) for e in examples]
+    # Examples of a label with the same leading word stand together, so that block maxima are sharp.
+    order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), i))
+    out.labels, out.ids, out.keys = labels[order].astype(np.float64), np.array([examples[i][1] for i in order], np.int64), np.array([examples[i][0] for i in order], np.int64)
+    blocks = -(-len(order) // BLOCK)
+    place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+    word = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+    value = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if order else np.zeros(0, np.float32)
+    often = np.flatnonzero(np.bincount(word, minlength=len(words)) > LONG_SHARE * len(order))
+    out.row_of = np.full(len(words), -1, np.int32)
+    out.row_of[often] = np.arange(len(often))
+    out.rows = np.zeros((len(often), blocks * BLOCK), np.float32)
+    row = out.row_of[word]
+    out.rows[row[row >= 0], place[row >= 0]] = value[row >= 0]
+    out.tops = out.rows.reshape(len(often), blocks, BLOCK).max(axis=2, initial=0)
+    word, place, value = word[row < 0], place[row < 0], value[row < 0]
+    by = np.lexsort((place, word))
+    out.starts, out.places, out.values = np.searchsorted(word[by], np.arange(len(words) + 1)), place[by].astype(np.int32), value[by]
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, seed: int = 7) -> tuple[DataFrame, float | None]:
-    """(doc_id, text, toxic) of at most about MAX_EXAMPLES documents of each class, and the share of class 1 among all."""
-    labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    count = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    if not count:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text string, toxic int"), None
+def training_rows(docs: DataFrame, labels: DataFrame, seed: int = 7) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic) of at most about MAX_EXAMPLES documents of each class, and the share of class 1 among all labels.
+
+    Of a document that is labelled more than once, the greatest label counts.
+    """
+    labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    count = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}  # two rows
     cut = F.lit(0)
     for y, n in count.items():
         cut = F.when(F.col("toxic") == y, int(min(1.0, MAX_EXAMPLES / n) * 1_000_000)).otherwise(cut)
     chosen = labels.where(F.expr(f"pmod(xxhash64(doc_id, {seed}), 1000000)") < cut)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most MAX_EXAMPLES of a class
-    return rows.select("doc_id", "text", "toxic"), count.get(1, 0) / sum(count.values())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most MAX_EXAMPLES of a class
+    return rows.select("doc_id", "text", "toxic"), count.get(1, 0) / max(1, sum(count.values()))
 
 
-def documents_with(docs: DataFrame, words: list[bytes]) -> tuple[int, dict[bytes, int]]:
-    """How many documents there are, and how many of them hold each of words."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # the examples' words: MAX_EXAMPLES bounds them
+def bags_of(rows: DataFrame) -> DataFrame:
+    """key, doc_id, toxic, words and counts (little-endian) of rows (doc_id, text, toxic); rows that repeat come once, at most about MAX_POSTINGS words in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, n = shared.value, np.zeros(len(words) + 1, np.int64)  # the last counts documents
+        for batch in batches:
+            got = [bag(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x.astype("<u8").tobytes() for x in column], pa.binary()) for column in (list(zip(*got, strict=True)) or [(), ()]))], ["doc_id", "toxic", "words", "counts"])
+
+    bags = map_batches(rows, run, "doc_id long, toxic int, words binary, counts binary").withColumn("key", F.xxhash64("doc_id", "toxic", "words", "counts"))
+    bags = materialize(bags.dropDuplicates(["key"]))
+    held = bags.agg(F.coalesce(F.sum(F.expr("octet_length(words) div 8")), F.lit(0))).first()[0]
+    return bags if held <= MAX_POSTINGS else bags.where(F.expr(f"pmod(xxhash64(key, 11), 1000000) < {int(MAX_POSTINGS / held * 1_000_000)}"))
+
+
+def vectors_in(batch: pa.RecordBatch) -> list[Vector]:
+    return [(np.frombuffer(w, "<u8"), np.frombuffer(n, "<u8")) for w, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+
+
+def documents_with(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them hold each of words (sorted hashes)."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # the examples' words: MAX_POSTINGS bounds them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        n = np.zeros(len(words) + 1, np.int64)  # the last counts documents
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n[[place[w] for w in tokens(text) if w in place]] += 1
+                own, _ = bag(text)
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                n[at[words[at] == own]] += 1
             n[-1] += batch.num_rows
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
 
-    counts = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
     n = np.zeros(len(words) + 1, np.int64)
-    n[counts.word.to_numpy(np.int64)] = counts.n
-    return int(n[-1]), dict(zip(words, n.tolist(), strict=False))
+    n[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
+    return int(n[-1]), n[:-1]
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Index:
-    """The index of a sample of the labelled documents, with words counted over all of docs."""
+    """The index of a sample of the labelled documents, with words counted over all of docs. Texts are read in Spark's tasks; the driver gets the examples' bags."""
     rows, share = training_rows(docs, labels)
-    examples = [(r.doc_id, r.text, r.toxic) for r in rows.collect()]
-    words = sorted({w for e in examples for w in tokens(e[1])})
-    return fit(examples, share, documents_with(docs, words) if words else None)
+    bags = bags_of(rows)
+    examples = []
+    for batch in bags.select("key", "doc_id", "toxic", "words", "counts").toArrow().to_batches():
+        examples += zip(*(batch.column(i).to_pylist() for i in range(3)), vectors_in(batch), strict=True)
+    words = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e[3][0] for e in examples)]))
+    if not len(words):
+        return Index(prior=share)
+    total, held = documents_with(docs, words)
+    index = build(examples, words, held, total, share)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = {k: i for i, k in enumerate(model.keys.tolist())}
+        for batch in batches:
+            got = model.raws([model.vector(*v) for v in vectors_in(batch)], [place.get(k, -1) for k in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([raw for raw, _ in got], pa.float64()), batch.column(1)], ["raw", "toxic"])
+
+    votes = map_batches(bags.select("key", "toxic", "words", "counts"), vote, "raw double, toxic int").toArrow()  # two numbers an example
+    shared.unpersist()
+    raw, labels = votes.column("raw").to_numpy(), votes.column("toxic").to_numpy().astype(np.float64)
+    weight = np.where(labels > 0, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
+    index.curve = isotonic(raw, labels, np.maximum(weight, 1e-9))
+    return index
 
 
 def toxicity_scores(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score (0 to 1), evidence_ids and evidence_cosines for each row of docs.
 
-    docs needs doc_id and text; other columns are left aside. Null and empty texts, and texts without a word
-    of an example, get the rate of label 1 among such examples and no evidence. Without examples all scores are 0.
-    Repeated rows come back as often as given; ties between examples go to the lower place in the index.
+    docs needs doc_id and text; other columns are left aside. Texts are read whole, however long. Null and empty texts,
+    and texts without a word of an example, get the rate of label 1 among such examples and no evidence. Without
+    examples every score is the share of label 1, 0 if there are no labels. Repeated rows come back as often as
+    given; ties between examples go to the lower place in the index.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # MAX_EXAMPLES and MAX_POSTINGS bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            got = [model.score(t) for t in batch.column(1).to_pylist()]
+            got = [*shared.value.scores(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 ["doc_id", "score", "evidence_ids", "evidence_cosines"],
@@ -272,11 +297,15 @@ def toxicity_scores(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
-    """docs, all columns and repeated rows, without the documents whose score is threshold or more."""
+    """docs, all columns and repeated rows, without the documents whose score is threshold or more.
+
+    Null and empty texts score as toxicity_scores says; with more clean than toxic labels they stay. Texts are read
+    whole. An empty table gives an empty one.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s[0] < threshold for s in shared.value.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

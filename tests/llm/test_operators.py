@@ -272,36 +272,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([p == y for p, y in held]) > 0.9
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(4)
-    words = [f"t{i}" for i in range(30)]
-    examples = [(i, " ".join(rng.choice(words[:15] if i % 2 else words, 12)) + (" bad" * (i % 2)) + (" worse" if i % 6 == 1 else ""), i % 2) for i in range(600)]
-    index = toxicity.fit(examples)
-    assert b"bad" in index.words
-    for _, text, _ in examples[:40]:
-        at, weight = index.vector(toxicity.tokens(text))
-        if len(at):
-            every = weight @ index.dense[at].astype(float)
-            want = sorted(((-c, j) for j, c in enumerate(every) if c > 0))[: toxicity.K]
-            best, cosine = index.nearest(at, weight, toxicity.K)
-            assert np.allclose(-cosine, [c for c, _ in want], atol=1e-6)
-
-
-def test_toxicity_keeps_every_example_and_word(spark):
-    """Examples of both classes, all their words, and word counts over all documents, labelled or not."""
+def brute_force_neighbours(examples, held, total):
+    """A search by hand: unit TF-IDF-RF vectors of (id, words, label) as dicts, and a function from words to sorted (-cosine, ids)."""
+    from collections import Counter
+    from math import log, log2, sqrt
+
+    marks = {y: Counter(w for _, words, label in examples if label == y for w in set(words)) for y in (0, 1)}
+    weight = {w: log((1 + total) / (1 + held[w])) * log2(2 + marks[1][w] / max(1, marks[0][w])) for w in marks[0] | marks[1]}
+
+    def vector(words):
+        v = {w: (1 + log(n)) * weight[w] for w, n in Counter(words).items() if w in weight}
+        size = sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [(i, vector(words)) for i, words, _ in examples]
+
+    def nearest(words):
+        q = vector(words)
+        found = [(sum(x * v.get(w, 0) for w, x in q.items()), i) for i, v in vectors]
+        return sorted((c for c, _ in found if c > 1e-9), reverse=True), {i: c for c, i in found}
+
+    return nearest
+
+
+def test_toxicity_neighbours_equal_brute_force(spark):
+    """Examples of both classes, all words of their whole texts, word counts over all documents, labelled or not; lists long and short, ties."""
+    from collections import Counter
+
     rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice([f"c{j}" for j in range(200)], 20)) + f" own{i}" + " bad" * (i % 3 == 0) for i in range(300)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, "c0 c0 own1") for i in range(50)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
-    index = toxicity.fit_on(docs, labels)
-    assert sorted(index.ids.tolist()) == list(range(300)) and set(index.words) == {w for t in texts for w in t.encode().split()}
-    assert np.isclose(index.idf[index.words[b"own1"]], np.log(351 / 52) + 1) and np.isclose(index.idf[index.words[b"own2"]], np.log(351 / 2) + 1)
-    every = np.stack([index.dense[np.array([w])][0] for w in range(len(index.words))])
-    for text in texts[:60]:
-        at, weight = index.vector(toxicity.tokens(text))
-        best, cosine = index.nearest(at, weight, toxicity.K)
-        assert np.isclose(cosine[0], 1, atol=1e-5) and np.allclose(cosine, np.sort(weight @ every[at])[::-1][: toxicity.K], atol=1e-5)
-    assert {0, 1} == set(index.labels[best].tolist())
+    for spread in (200, 30):  # words rare and frequent
+        texts = [" ".join(rng.choice([f"c{j}" for j in range(spread)], 20)) + f" own{i}" + " bad" * (i % 3 == 0) for i in range(700)] + ["c1 c2 c3 bad"] * 40
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, "c0 c0 own1") for i in range(50)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(740)], "doc_id long, toxic int")
+        index = toxicity.fit_on(docs, labels)
+        assert sorted(index.ids.tolist()) == list(range(740)) and len(index.words) == len({w for t in texts for w in t.split()})
+        assert len(index.starts) == len(index.words) + 1 and (index.row_of >= 0).any() and (index.row_of < 0).any()
+        held = Counter(w for t in texts for w in set(t.split())) + Counter({"c0": 50, "own1": 50})
+        nearest = brute_force_neighbours([(i, t.split(), int(i % 3 == 0)) for i, t in enumerate(texts)], held, 790)
+        queries_ = texts[:60] + texts[-2:] + ["bad", "c5", "nothing known", "", LONG + " c1 bad"]
+        got = [*index.nearest([index.vector(*toxicity.bag(t)) for t in queries_])]
+        for text, (best, cosine) in zip(queries_, got, strict=True):
+            want, by_id = nearest(text.split())
+            assert np.allclose(cosine, want[: toxicity.K], atol=1e-5)
+            assert all(abs(by_id[int(index.ids[j])] - c) < 1e-5 for j, c in zip(best, cosine, strict=True))
 
 
 def test_toxicity_on_awkward_rows(awkward, empty, spark):
