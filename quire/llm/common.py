@@ -34,6 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,14 +42,37 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the machine: the JVM beside this process may need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Bounds of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def size_of(setting: str) -> int:
+    """A setting of rows or bytes as a number: `64MB` and `67108864b` too."""
+    number = setting.rstrip("bBkKmMgG")
+    return int(number) << {"k": 10, "m": 20, "g": 30}.get(setting[len(number) : len(number) + 1].lower(), 0)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df through function in the Python workers, which give freed memory back at a task's end, as they live on beside the JVM's next stages."""
+    """df through function in the Python workers, in batches of at most BATCH_ROWS rows and BATCH_BYTES bytes (a longer row alone).
+
+    A batch is held three times (by the JVM, as Arrow and as Python objects), so its size bounds a task's memory. The
+    workers give freed memory back at a task's end, as they live on beside the JVM's next stages.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < size_of(conf.get(f"spark.sql.execution.arrow.{key}")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -113,10 +137,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         pairs = materialize(_star(pairs))
         now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = pairs.selectExpr("a node", "b component")
     return nodes.union(pairs.selectExpr("b node", "b component").distinct())
+
+
+def extended(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) of the graph that parts (from here, or None) describes, with edges (a, b) added: only links between components are followed."""
+    if parts is None:
+        return materialize(components(edges))
+    of = [parts.selectExpr(f"node {x}", f"component c{x}") for x in "ab"]
+    between = edges.join(of[0], "a", "left").join(of[1], "b", "left").selectExpr("coalesce(ca, a) a", "coalesce(cb, b) b").where("a <> b")
+    more = materialize(components(between))
+    moved = parts.join(more.selectExpr("node component", "component now"), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return materialize(moved.union(more.join(parts, "node", "left_anti").select("node", "component")))

@@ -1,23 +1,24 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds the hashes of its distinct word shingles. Sets are put into size bands whose ends differ
-by the threshold. For a band, two sets similar enough differ in at most k elements. The hash domain is cut into
-first-level partitions of two second-level ones each, 2 * n1 > k in all: some first-level partition has at
-most one difference, so of its subsets of n2 - k2 = 1 second-level partitions at least one is the same in both sets. Its
-content, hashed, is the shared signature. A pair meets in the band of its smaller set, so a set signs for its
-own band and the one below.
+by the threshold. For a band, two sets similar enough differ in at most k elements. The hash domain is cut into n1
+first-level partitions of N2 = 3 second-level ones each, with (K2 + 1) * n1 > k for K2 = 1: some first-level partition
+has at most K2 of its second-level ones touched by a difference, so of its subsets of N2 - K2 = 2 second-level partitions at
+least one is the same in both sets. All three such subsets of each first-level partition are enumerated; a
+subset's content, hashed, is a signature. A pair meets in the band of its smaller set, so a set signs for its own
+band and the one below.
 
 No pair is lost, and few are looked at without need:
 
 * Equal sets are one class and signed once.
-* Signatures of empty partitions would gather strangers. A set with more than k partitions in use shares one of
-  those with each partner, so only sets below that sign their empty partitions too.
-* A set with u > k partitions in use shares at least u - k signatures with each partner. One that shares fewer with
-  all others together has no partner. Any other keeps its rarest signatures only: without the u - k - 1
-  most frequent ones, two partners still have one in common (the prefix filter, with signatures as tokens).
+* Signatures of empty subsets would gather strangers. How many others a set shares with each partner at least follows
+  from what k differences can touch; where that is none, and only there, the empty subsets are signed too.
+* A set that shares fewer signatures with all others together than with each partner has no partner. Any other keeps
+  its rarest signatures only: of what it must share, all but one may be left out, the most frequent first (the
+  prefix filter, with signatures as tokens).
 * Signatures that the same sets have count as one.
 * Each set is compared with one hub of its signatures, then the members of each signature with its hub, then with
-  a second one; components are formed in between, and only pairs that share a signature but lie in different components
+  a second one; components are extended in between, and only pairs that share a signature but lie in different components
   are compared further, at last one by one, those that parity sketches do not show to be too far apart.
 
 Every candidate is checked on its whole sets, in integers.
@@ -26,23 +27,27 @@ Every candidate is checked on its whole sets, in integers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, materialize, mix, shingle_hashes, shuffle_width
+from .common import extended, map_batches, materialize, mix, shingle_hashes, shuffle_width
 
-#: Share of partitions above the k + 1 that the pigeonhole principle needs: the more, the more frequent signatures can be left out.
-SPARE = 1.25
+#: First-level partitions as a multiple of the (k + 1) / (K2 + 1) that the pigeonhole principle needs: the more, the more frequent signatures can be left out.
+SPARE = 1.1
+#: Second-level partitions of a first-level one, those that a difference may touch, and the subsets of the others.
+N2, K2 = 3, 1
+SUBSETS = [*combinations(range(N2), N2 - K2)]
 #: Elements of sets in a round of numpy work.
 ELEMENTS = 1 << 18
 #: 64-bit words in a set's parity sketch, which shows that most pairs are too far apart before their sets are brought together.
 SKETCH = 16
 #: Signatures in a group that one task sorts.
 BUCKET = 1_000_000
-#: Candidates' ids up to this count are broadcast (16 bytes each) to pick their texts; beyond it a shuffled join does.
+#: Candidates' ids up to this count are broadcast (24 bytes each) to pick their texts; beyond it a shuffled join does.
 BROADCAST_IDS = 1_000_000
 
 
@@ -67,52 +72,64 @@ def signatures(sets: list[np.ndarray], num: int, den: int, needs_only: bool = Fa
         at = np.maximum(band, 0)
         k = most[at]
         ok = (band >= 0) & (sizes > 0) & (k > 0) & (sizes <= last[at] * den // num)  # k = 0: equal sets only, which are one class already
-        parts = np.where(ok, 2 * np.ceil(SPARE * (k + 1) / 2).astype(np.int64), 0)
-        start = np.cumsum(parts) - parts
+        n1 = np.where(ok, np.ceil(SPARE * (k + 1) / (K2 + 1)).astype(np.int64), 0)
+        start = np.cumsum(n1) - n1
         here = ok[owner]
         element, of = flat[here], owner[here]
-        where = start[of] + (mix(element ^ mix(at[of].astype(np.uint64), 31), 37) % parts[of].astype(np.uint64)).astype(np.int64)
-        used = np.zeros(int(parts.sum()), bool)
+        where = N2 * start[of] + (mix(element ^ mix(at[of].astype(np.uint64), 31), 37) % (N2 * n1[of]).astype(np.uint64)).astype(np.int64)
+        used = np.zeros(N2 * int(n1.sum()), bool)
         used[where] = True
-        signed = np.repeat(np.arange(len(sets)), parts)
-        in_use = np.bincount(signed[used], minlength=len(sets))
-        need = np.where(ok, np.maximum(in_use - k, 1), 0)
+        used = used.reshape(-1, N2)
+        signed = np.repeat(np.arange(len(sets)), n1)
+        filled = used.sum(axis=1)
+        some, more = (np.bincount(signed[filled >= least], minlength=len(sets)) for least in (1, 2))
+        # A first difference in a partition takes two of its signatures that are not empty, a second one the third, if there is one.
+        need = 2 * some + more - 2 * np.minimum(k, some) - np.minimum(np.maximum(k - some, 0), more)
+        scarce = ok & (need <= 0)
+        need = np.where(ok, np.maximum(need, 1), 0)
         if needs_only:
             yield need, element[:0], of[:0]
             continue
-        content = np.zeros(len(used), dtype=np.uint64)
+        content = np.zeros(used.size, dtype=np.uint64)
         np.add.at(content, where, mix(element, 11))
-        emit = used | (ok & (in_use <= k))[signed]
-        place = (np.arange(len(used)) - np.repeat(start, parts)).astype(np.uint64)
+        content = mix(content, 41).reshape(-1, N2)
+        place = (np.arange(len(signed)) - np.repeat(start, n1)).astype(np.uint64)
         base = mix(mix(at[signed].astype(np.uint64), 23) ^ place, 29)
-        yield need, mix(mix(content[emit], 41) ^ base[emit], 43), signed[emit]
+        sig, of = [], []
+        for i, subset in enumerate(SUBSETS):
+            emit = used[:, subset].any(axis=1) | scarce[signed]
+            both = base[emit] + np.uint64(i)
+            for j in subset:
+                both = mix(both ^ content[emit, j], 43)
+            sig.append(both)
+            of.append(signed[emit])
+        yield need, np.concatenate(sig), np.concatenate(of)
 
 
 def set_key(s: np.ndarray, seed: int) -> int | None:
     return int(mix(s, seed).sum(dtype=np.uint64).view(np.int64)) if len(s) else None
 
 
-def rounds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
-    """doc_id, text_key and shingles of rows (doc_id, text_key, text), about ELEMENTS shingles at a time."""
-    ids, keys, sets, held = [], [], [], 0
+def rounds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """The columns before the text of rows (..., text), and the texts' shingles, about ELEMENTS of them at a time."""
+    heads, sets, held = [], [], 0
     for batch in batches:
-        for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids.append(doc)
-            keys.append(key)
+        for *head, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            heads.append(head)
             sets.append(shingle_hashes(text, width))
             held += len(sets[-1])
             if held >= ELEMENTS:
-                yield ids, keys, sets
-                ids, keys, sets, held = [], [], [], 0
-    if ids:
-        yield ids, keys, sets
+                yield [*zip(*heads, strict=True)], sets
+                heads, sets, held = [], [], 0
+    if heads:
+        yield [*zip(*heads, strict=True)], sets
 
 
 def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, text_key, n_shingles, a 128-bit key of the set (null for empty sets), and what it needs to share in its own band and the one below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, sets in rounds(batches, width):
+        for (ids, keys), sets in rounds(batches, width):
             (own, _, _), (below, _, _) = signatures(sets, num, den, needs_only=True)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(x, pa.int64()) for x in (ids, keys, [len(s) for s in sets], [set_key(s, 3) for s in sets], [set_key(s, 5) for s in sets])), pa.array(own.astype(np.int32)), pa.array(below.astype(np.int32))],
@@ -123,15 +140,15 @@ def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, width: int, buckets: int, num: int, den: int) -> DataFrame:
-    """(sig, doc, below): the signatures that two or more of docs have, with the keys (k1) of the sets that have them, and whether it is for the band below.
+    """(sig, doc, below): the signatures that two or more of docs (doc, text) have, with the classes that have them, and whether it is for the band below.
 
     A task first looks for repeats among its own rows: of those one goes on to the signature's bucket and the others
     go, by document, past it. So a bucket gets a signature once from each round however many documents share it.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in rounds(batches, width):
-            ids = np.array([set_key(s, 3) or 0 for s in sets], dtype=np.int64)
+        for (ids,), sets in rounds(batches, width):
+            ids = np.array(ids, dtype=np.int64)
             (_, own, own_of), (_, low, low_of) = signatures(sets, num, den)
             sig, doc = np.concatenate([own, low]), ids[np.concatenate([own_of, low_of])]
             flag = np.repeat(np.array([0, 4], np.uint8), [len(own), len(low)])  # 4: for the band below
@@ -193,12 +210,11 @@ def sketch(s: np.ndarray) -> list[int]:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc (the set's key), shingles and sketch."""
+    """doc, shingles and sketch of docs (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in rounds(batches, width):
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s, 3) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles", "sketch"])
+        for (ids,), sets in rounds(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles", "sketch"])
 
     return map_batches(docs, run, "doc long, shingles binary, sketch array<long>")
 
@@ -235,10 +251,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     feats = materialize(features(docs, width, num, den))
     total, volume, ids = feats.agg(F.count("doc_id"), F.coalesce(F.sum("n_shingles"), F.lit(0)), F.countDistinct("doc_id")).first()
-    #: A class is known by its key k1, here doc; first is its first row.
+    # A class of equal sets gets a number of its own, doc, when it is written; first is its first row.
     grouped = feats.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
     classes = grouped.agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("need_0").alias("need_0"), F.first("need_1").alias("need_1"))
-    classes = materialize(classes.selectExpr("k1 doc", "k2", "n_shingles n", "first.doc_id", "first.text_key", "need_0", "need_1"))
+    classes = materialize(classes.selectExpr("monotonically_increasing_id() doc", "k1", "k2", "n_shingles n", "first.doc_id", "first.text_key", "need_0", "need_1"))
     buckets = max(volume // BUCKET, 2 * shuffle_width(spark))
     once = (lambda df, *by: df) if ids == total else (lambda df, *by: df.dropDuplicates([*by]))  # a class is read once unless ids repeat
     shared = materialize(once(shared_signatures(pick(docs, classes, total), width, buckets, num, den), "sig", "doc", "below"))
@@ -249,10 +265,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     fits = f"least(n, m) * {den} >= greatest(n, m) * {num}"
     differ = f"{' + '.join(f'bit_count(sketch[{i}] ^ drawn[{i}])' for i in range(SKETCH))} <= ({den - num} * (n + m)) div {den + num}"
     rows = members.withColumn("component", F.col("doc"))
-    tried = links = None
+    tried = parts = None
     for step in ("nearest", "hub", "hub", "rest"):
-        if links is not None:
-            rows = materialize(still_open(rows, components(links)))
+        if parts is not None:
+            rows = materialize(still_open(rows, parts))
         hubs = rows.groupBy("sig").agg(F.expr("min(struct(xxhash64(doc) p, doc other, n m, component oc))").alias("h")).select("sig", "h.*")
         if step == "rest":  # what the hubs left, one by one
             drawn = rows.join(sets.select("doc", "sketch"), "doc")
@@ -267,19 +283,18 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
         pairs = pairs.selectExpr("least(doc, other) a", "greatest(doc, other) b").distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = materialize(verified(pairs, sets, num, den))
-        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-    parts = components(links).selectExpr("node doc", "component")
-    named = classes.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        tried, parts = pairs if tried is None else tried.union(pairs), extended(parts, found)
+    named = classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(lowest, "component").select("doc", "k2", "n", "component_id"))
-    known = feats.doc_id.isNotNull() & (feats.k1 == named.doc) & (feats.k2 == named.k2) & (feats.n_shingles == named.n)
+    named = materialize(named.join(lowest, "component").select("k1", "k2", "n", "component_id"))
+    known = feats.doc_id.isNotNull() & (feats.k1 == named.k1) & (feats.k2 == named.k2) & (feats.n_shingles == named.n)
     return feats.join(named, known, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
 
-def pick(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """doc_id, text_key and text of the rows of docs that are in ids: at most count ids, broadcast up to BROADCAST_IDS, and shuffled with the texts beyond."""
-    ids = ids.select("doc_id", "text_key")
-    return docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text")
+def pick(docs: DataFrame, classes: DataFrame, count: int) -> DataFrame:
+    """doc and text of the rows of docs that stand for one of classes: at most count ids, broadcast up to BROADCAST_IDS, and shuffled with the texts beyond."""
+    classes = classes.select("doc", "doc_id", "text_key")
+    return docs.join(F.broadcast(classes) if count <= BROADCAST_IDS else classes, ["doc_id", "text_key"]).select("doc", "text")
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
