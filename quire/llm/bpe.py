@@ -25,8 +25,8 @@ from .common import map_batches
 #: Fixed value: how the byte-level scheme cuts text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LONG = 512
-#: Words that a Python worker keeps with their ids.
-CACHE = 400_000
+#: Bytes of words and ids, with what Python adds to each, that a task keeps: known words are not merged again.
+CACHE_BYTES, EACH = 48 << 20, 200
 _NONE = np.int64(1) << 40
 
 
@@ -55,7 +55,11 @@ class Bpe:
         self.keys, self.ranks = keys[order], np.arange(len(keys))[order]
         self.into = np.array([vocab[a + b] for a, b in merges], np.int64)  # by rank
         self.split = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -143,8 +147,8 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit, little-endian) of each text."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
+        if self.held > CACHE_BYTES:
+            self.forget()
         pieces = [self.pieces(t) if t else [] for t in texts]
         cache = self.cache
         new = list({w for p in pieces for w in p if w not in cache})
@@ -154,6 +158,7 @@ class Bpe:
                 cache[w] = np.array([self.added[w]], "<u4").tobytes()
         for w, ids in zip(plain, self.merge_words([w.encode("utf-8", "surrogatepass") for w in plain]), strict=True):
             cache[w] = ids.astype("<u4").tobytes()
+        self.held += sum(len(w) + len(cache[w]) + EACH for w in new)
         return [np.frombuffer(b"".join([cache[w] for w in p]), "<u4") for p in pieces]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -204,6 +209,7 @@ def _encode(docs: DataFrame, path: str, schema: str, columns) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns(model, model.encode(part.column(1).to_pylist()))], names)
+        model.forget()  # the worker lives on beside other stages
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(docs, run, schema)

@@ -26,8 +26,8 @@ TOKENS, DOCUMENTS, END_ID = 4096, 4096, 1
 #: Weights of tokens, document count and attention cost in the score.
 WEIGHTS = (1.0, 0.001, 0.001)
 SHARD = 4096
-#: Words that a Python worker keeps with their ids.
-CACHE = 400_000
+#: Bytes of words and ids, with what Python adds to each, that a task keeps.
+CACHE_BYTES, EACH = 48 << 20, 200
 #: Fixed values, for texts of this alphabet only: there lower case and normal form are simple, and these are the words.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa7\xa9-\xac\xae-\xb3\xb5-\xb7\xb9-\xff]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -43,19 +43,24 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
+        if self.held > CACHE_BYTES:
+            self.forget()
         cache = self.cache
         words = [WORDS.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
         new = list({w for ws in words if ws is not None for w in ws if w not in cache})
         cache.update(zip(new, self.whole(new), strict=True))
+        self.held += sum(len(w) + len(cache[w]) + EACH for w in new)
         out = [None if ws is None else b"".join([cache[w] for w in ws]) for ws in words]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
@@ -86,6 +91,7 @@ def pieces_of(docs: DataFrame, path: str, tokens: int = TOKENS, end_id: int = EN
                     columns.append(pa.array([r[5].astype(np.int64) for r in rows], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        model.forget()  # the worker lives on beside other stages
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)

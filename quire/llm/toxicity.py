@@ -21,11 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, words_of
+from .common import give_back, map_batches, materialize, words_of
 
 #: Documents of each class that serve as examples, at most about, and distinct words of all examples: the bounds of the fitted sample.
 MAX_EXAMPLES, MAX_POSTINGS = 4096, 6_000_000
@@ -161,31 +162,43 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] for p in pools])
 
 
-def build(examples: list[tuple[int, int, int, Vector]], words: np.ndarray, held: np.ndarray, total: int, share: float) -> Index:
-    """The index of examples (key, id, label, bag), without its curve. words: sorted; held: how many of total documents hold each. share: of label 1 among all labelled rows."""
+def build(keys: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bags: Vector, words: np.ndarray, held: np.ndarray, total: int, share: float) -> Index:
+    """The index of examples, without its curve. bags: words and counts of all examples, one after the other, sizes of each.
+
+    words: sorted; held: how many of total documents hold each. share: of label 1 among all labelled rows.
+    """
     out = Index(words=words, prior=share)
-    examples = sorted(examples, key=lambda e: e[0])
-    labels, at = np.array([e[2] for e in examples]), [np.searchsorted(words, e[3][0]) for e in examples]
-    relevant = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(a for a, y in zip(at, labels, strict=True) if y == label)]), minlength=len(words)) for label in (1, 0)]
-    out.weight = np.log((1 + total) / (1 + np.minimum(held, total))) * np.log2(2 + relevant[0] / np.maximum(1, relevant[1])) + 1e-9
-    vectors = [out.vector(*e[3]) for e in examples]
+    at = np.searchsorted(words, bags[0]).astype(np.int32)
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+    toxic = labels[owner] == 1
+    marks = [np.bincount(at[own], minlength=len(words)) for own in (toxic, ~toxic)]
+    out.weight = np.log((1 + total) / (1 + np.minimum(held, total))) * np.log2(2 + marks[0] / np.maximum(1, marks[1])) + 1e-9
+    value = ((1 + np.log(bags[1])) * out.weight[at]).astype(np.float32)
+    value /= np.sqrt(np.bincount(owner, value.astype(np.float64) ** 2, minlength=len(keys)))[owner].astype(np.float32)
     # Examples of a label with the same leading word stand together, so that block maxima are sharp.
-    order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-    out.labels, out.ids, out.keys = labels[order].astype(np.float64), np.array([examples[i][1] for i in order], np.int64), np.array([examples[i][0] for i in order], np.int64)
+    some = np.flatnonzero(sizes)
+    top = np.maximum.reduceat(value, (np.cumsum(sizes) - sizes)[some]) if len(some) else value
+    greatest = np.zeros(len(keys), np.float32)
+    greatest[some] = top
+    leading = np.full(len(keys), len(words))
+    leads = np.flatnonzero(value == greatest[owner])
+    np.minimum.at(leading, owner[leads], at[leads])
+    order = some[np.lexsort((keys[some], leading[some], labels[some]))]
+    out.labels, out.ids, out.keys = labels[order].astype(np.float64), ids[order], keys[order]
+    place = np.zeros(len(keys), np.int32)
+    place[order] = np.arange(len(order))
+    place = place[owner]
     blocks = -(-len(order) // BLOCK)
-    place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-    word = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-    value = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if order else np.zeros(0, np.float32)
-    often = np.flatnonzero(np.bincount(word, minlength=len(words)) > LONG_SHARE * len(order))
+    often = np.flatnonzero(np.bincount(at, minlength=len(words)) > LONG_SHARE * len(order))
     out.row_of = np.full(len(words), -1, np.int32)
     out.row_of[often] = np.arange(len(often))
     out.rows = np.zeros((len(often), blocks * BLOCK), np.float32)
-    row = out.row_of[word]
+    row = out.row_of[at]
     out.rows[row[row >= 0], place[row >= 0]] = value[row >= 0]
     out.tops = out.rows.reshape(len(often), blocks, BLOCK).max(axis=2, initial=0)
-    word, place, value = word[row < 0], place[row < 0], value[row < 0]
-    by = np.lexsort((place, word))
-    out.starts, out.places, out.values = np.searchsorted(word[by], np.arange(len(words) + 1)), place[by].astype(np.int32), value[by]
+    at, place, value = at[row < 0], place[row < 0], value[row < 0]
+    by = np.lexsort((place, at))
+    out.starts, out.places, out.values = np.searchsorted(at[by], np.arange(len(words) + 1)), place[by], value[by]
     return out
 
 
@@ -210,7 +223,7 @@ def bags_of(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [bag(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x.astype("<u8").tobytes() for x in column], pa.binary()) for column in (list(zip(*got, strict=True)) or [(), ()]))], ["doc_id", "toxic", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x.astype(t).tobytes() for x in column], pa.binary()) for t, column in zip(("<u8", "<u4"), [*zip(*got, strict=True)] or [(), ()], strict=True))], ["doc_id", "toxic", "words", "counts"])
 
     bags = map_batches(rows, run, "doc_id long, toxic int, words binary, counts binary").withColumn("key", F.xxhash64("doc_id", "toxic", "words", "counts"))
     bags = materialize(bags.dropDuplicates(["key"]))
@@ -219,7 +232,7 @@ def bags_of(rows: DataFrame) -> DataFrame:
 
 
 def vectors_in(batch: pa.RecordBatch) -> list[Vector]:
-    return [(np.frombuffer(w, "<u8"), np.frombuffer(n, "<u8")) for w, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+    return [(np.frombuffer(w, "<u8"), np.frombuffer(n, "<u4")) for w, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
 
 
 def documents_with(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
@@ -239,7 +252,7 @@ def documents_with(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
 
     counts = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    shared.unpersist()
+    shared.destroy()
     n = np.zeros(len(words) + 1, np.int64)
     n[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
     return int(n[-1]), n[:-1]
@@ -249,14 +262,18 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Index:
     """The index of a sample of the labelled documents, with words counted over all of docs. Texts are read in Spark's tasks; the driver gets the examples' bags."""
     rows, share = training_rows(docs, labels)
     bags = bags_of(rows)
-    examples = []
-    for batch in bags.select("key", "doc_id", "toxic", "words", "counts").toArrow().to_batches():
-        examples += zip(*(batch.column(i).to_pylist() for i in range(3)), vectors_in(batch), strict=True)
-    words = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e[3][0] for e in examples)]))
+    table = bags.select("key", "doc_id", "toxic", "words", "counts").toArrow()
+    keys, ids, labels = (table.column(i).to_numpy() for i in range(3))
+    sizes = pc.binary_length(table.column("words")).to_numpy() // 8
+    flat = tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("words", "<u8"), ("counts", "<u4")))
+    del table
+    words = np.unique(flat[0])
     if not len(words):
         return Index(prior=share)
     total, held = documents_with(docs, words)
-    index = build(examples, words, held, total, share)
+    index = build(keys, ids, labels, sizes, flat, words, held, total, share)
+    del flat
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +284,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Index:
             yield pa.RecordBatch.from_arrays([pa.array([raw for raw, _ in got], pa.float64()), batch.column(1)], ["raw", "toxic"])
 
     votes = map_batches(bags.select("key", "toxic", "words", "counts"), vote, "raw double, toxic int").toArrow()  # two numbers an example
-    shared.unpersist()
+    shared.destroy()
     raw, labels = votes.column("raw").to_numpy(), votes.column("toxic").to_numpy().astype(np.float64)
     weight = np.where(labels > 0, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
     index.curve = isotonic(raw, labels, np.maximum(weight, 1e-9))
