@@ -96,7 +96,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     usable = F.expr("vec_id is not null and label is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)")
-    rows = materialize(vectors.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("key", F.expr("case when usable then sha2(concat_ws(',', label, cast(embedding as array<string>)), 256) end")))
+    rows = materialize(vectors.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("key", F.expr("case when usable then sha2(to_json(struct(label, embedding)), 256) end")))
     plain = rows.where("usable").select("vec_id", "label", "key", F.size("embedding").alias("dim"), "embedding")
     groups = plain.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.first("dim").alias("dim"))
     groups = materialize(groups)
