@@ -45,7 +45,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+    return secret_scan.secret_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), with_text=False))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Index:

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a log-likelihood ratio of two character Markov models for what has no pattern.
 
-One model is trained on random strings (what the patterns found), one on ordinary identifiers (words of the same
-shape that they did not find). A word whose mean log-likelihood ratio a character is high enough is a secret.
+Both are trained from labelled samples: random strings are drawn from the alphabets of keys, with what the patterns found
+in the corpus beside them; ordinary identifiers are all words of the corpus of the same shape that no pattern found. A
+word whose log-likelihood ratio is high enough, by character and in all, is a secret.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so a shorter one never hides a longer one
 KEYS = ("passw", "secret", "token", "api")
-#: What the models judge: words of this alphabet, not shorter, that no other word character touches.
-LEAST = 20
+#: What the models learn from and judge: words of this alphabet, not shorter, that no other word character touches.
+LEAST = 8
 WORD = re.compile(rf"(?<![\w+/=-])[A-Za-z0-9+/_=-]{{{LEAST},}}(?![\w+/=-])")
-SHORTER = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{8,}(?![\w+/=-])")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(ALPHABET) + 1
-#: Mean log-likelihood ratio a character from which a word is a secret, and pseudo-count of a transition.
-THRESHOLD, SMOOTH = 1.0, 0.5
-#: Documents, by hash of the id, from which the models learn: the bound of the fitted sample.
-MAX_TRAINING = 20_000
+#: Log-likelihood ratio by transition and in all from which a word is a secret (so a short word must be the more unlike others), and pseudo-count of a transition.
+THRESHOLD, IN_ALL, SMOOTH = 1.0, 20.0, 0.5
+#: Weight of the single characters' shares beside what follows a character, as a part of a character's mean count: secrets are most of
+#: what follows a rare character, and must not teach that it is ordinary.
+BACKOFF = 0.2
+#: Labelled random strings: so many of each alphabet, of LEAST to 64 characters.
+DRAWN, KEY_ALPHABETS = 1000, (ALPHABET[:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], ALPHABET[:64], ALPHABET[:62] + b"_-", ALPHABET[52:62] + b"abcdef")
 
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
@@ -78,53 +81,72 @@ class Model:
     def score(self, word: str) -> float:
         return float(self.ratio[transitions(word)].mean())
 
+    def is_random(self, word: str) -> bool:
+        if word.isdigit():  # a plain number is no key
+            return False
+        ratio = self.ratio[transitions(word)]
+        total = ratio.sum()
+        return bool(total >= IN_ALL and total >= THRESHOLD * len(ratio))
+
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """Base spans, and the words that the models hold for secrets."""
         text = text or ""
         base = base_spans(text)
         if self.ratio is None:
             return base
-        more = [(m.start(), m.end(), "random") for m in free_words(WORD, text, base) if self.score(m[0]) >= THRESHOLD]
+        more = [(m.start(), m.end(), "random") for m in free_words(WORD, text, base) if self.is_random(m[0])]
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1])) if more else base
 
 
 def fit_counts(random: np.ndarray, ordinary: np.ndarray) -> Model:
     if not random.sum():
         return Model(None)
-    log = [np.log((c + SMOOTH) / (c + SMOOTH).sum(axis=1, keepdims=True)).ravel() for c in (random.reshape(SIZE, SIZE).astype(float), ordinary.reshape(SIZE, SIZE).astype(float))]
+    log = []
+    for c in (random.reshape(SIZE, SIZE).astype(float), ordinary.reshape(SIZE, SIZE).astype(float)):
+        single = (c.sum(axis=0) + SMOOTH) / (c.sum() + SMOOTH * SIZE)
+        shared = BACKOFF * c.sum() / SIZE + SMOOTH * SIZE
+        log.append(np.log((c + shared * single) / (c.sum(axis=1, keepdims=True) + shared)).ravel())
     return Model(log[0] - log[1])
 
 
+def drawn_counts(seed: int = 5) -> np.ndarray:
+    """Transition counts of random strings, labelled so by construction."""
+    rng = np.random.default_rng(seed)
+    sums = np.zeros(SIZE * SIZE, np.int64)
+    for alphabet in KEY_ALPHABETS:
+        for size in rng.integers(LEAST, 65, DRAWN):
+            np.add.at(sums, transitions(rng.choice(np.frombuffer(alphabet, np.uint8), size).tobytes().decode()), 1)
+    return sums
+
+
 def fit(docs: DataFrame) -> Model:
-    """Transition counts over a bounded sample of documents; each task sends two small tables of sums."""
-    docs = docs.select("doc_id", "text")
-    share = min(1.0, MAX_TRAINING / max(1, docs.count()))
-    sample = docs.where("text is not null").where(F.expr(f"pmod(xxhash64(doc_id, 7), 1000000) < {int(share * 1_000_000) + 1}"))
+    """Transition counts over all documents; each task sends two small tables of sums."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 base = base_spans(text)
                 found = [transitions(text[s:e] if k != "assign" else ASSIGN.match(text, s)[2]) for s, e, k in base]
-                plain = [transitions(m[0]) for m in free_words(SHORTER, text, base)]
+                plain = [transitions(m[0]) for m in free_words(WORD, text, base)]
                 for i, parts in enumerate((found, plain)):
                     if parts:
                         sums[i] += np.bincount(np.concatenate(parts), minlength=SIZE * SIZE)
         which, place = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sums[which, place])], ["which", "place", "n"])
 
-    sums = np.zeros((2, SIZE * SIZE), np.int64)
-    for r in map_batches(sample, count, "which int, place int, n long").groupBy("which", "place").agg(F.sum("n").alias("n")).collect():  # 2 * SIZE * SIZE rows at most
+    sums = np.stack([drawn_counts(), np.zeros(SIZE * SIZE, np.int64)])
+    for r in map_batches(texts, count, "which int, place int, n long").groupBy("which", "place").agg(F.sum("n").alias("n")).collect():  # 2 * SIZE * SIZE rows at most
         sums[r.which, r.place] = r.n
     return fit_counts(*sums)
 
 
-def scan_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, secrets (kind, start, end; code points, end exclusive) and redacted text of each row of docs.
+def scan_secrets(docs: DataFrame, model: Model | None = None, with_text: bool = True) -> DataFrame:
+    """doc_id, secrets (kind, start, end; code points, end exclusive) and, with_text, redacted text of each row of docs.
 
     docs needs doc_id and text; other columns are left aside. A null text counts as empty, has no spans and stays null
-    when redacted. Repeated rows come back as often as given. Spans of different kinds may overlap; redaction
+    when redacted. Texts are read whole, however long. Repeated rows come back as often as given. Spans of different kinds may overlap; redaction
     replaces each overlapping run once. The model is fitted on docs unless given.
     """
     model = fit(docs) if model is None else model
@@ -134,16 +156,21 @@ def scan_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             spans = [model.spans(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in x] for x in spans], kind), pa.array([redact(t, x) for t, x in zip(texts, spans, strict=True)], pa.string())], ["doc_id", "secrets", "redacted"]
-            )
+            columns = {"doc_id": batch.column(0), "secrets": pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in x] for x in spans], kind)}
+            if with_text:
+                columns["redacted"] = pa.array([redact(t, x) for t, x in zip(texts, spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(docs, run, "doc_id long, secrets array<struct<kind: string, start: int, end: int>>, redacted string")
+    return map_batches(docs, run, "doc_id long, secrets array<struct<kind: string, start: int, end: int>>" + ", redacted string" * with_text)
 
 
 def redacted_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs, all columns and rows, with the secrets of each text replaced, and n_chars (if there) of a changed text counted anew."""
+    """docs, all columns and rows, with the secrets of each text replaced, and n_chars (if there) of a changed text counted anew.
+
+    Null texts stay null, empty ones empty; long ones are read whole; repeated rows come back as often as given; an empty
+    table gives an empty one.
+    """
     model, names = fit(docs) if model is None else model, docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
