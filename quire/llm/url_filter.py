@@ -15,12 +15,15 @@ from .common import materialize
 
 #: The given rules (verdict, rule); a rule is a host and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Least share of the labelled URLs for a token set, and least confidence and lift of a rule. At most 1 / SUPPORT tokens a token
-#: place can be frequent, which bounds the mined sets and lets the rules be broadcast.
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.8, 1.05
+#: Least share of the labelled URLs for a token set, and least confidence of a rule. At most 1 / SUPPORT tokens a token
+#: place can be frequent, which bounds the mined sets.
+SUPPORT, CONFIDENCE = 0.005, 0.8
+#: A rule's confidence lies above its verdict's share of all labelled URLs by this part of what is left up to 1, at least.
+MARGIN = 0.25
 #: Tokens in the longest rule, the verdict left out.
 LONGEST = 3
-PLACES = 12
+#: Rules up to this count are broadcast (some 200 bytes each); more are joined by shuffle.
+BROADCAST_RULES = 50_000
 
 
 def url_parts(url: str = "url") -> tuple[F.Column, F.Column]:
@@ -44,24 +47,38 @@ def rule_of(host: F.Column, path: F.Column, rules: tuple[tuple[str, str], ...] =
 
 
 def url_tokens(host: F.Column, path: F.Column) -> F.Column:
-    """Distinct tokens of a URL, PLACES of the host and of the path each at most: labels by place from the right, host suffixes, segments."""
+    """Distinct tokens of a whole URL: labels by place from the right, the host's suffix of two labels, segments by place."""
     labels = F.reverse(F.split(host, r"\."))
-    by_place = F.transform(F.slice(labels, 1, PLACES), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
+    by_place = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
     suffix = F.array(F.concat(F.lit("s:"), F.concat_ws(".", F.reverse(F.slice(labels, 1, 2)))))
-    segments = F.transform(F.slice(F.split(path, "/"), 2, PLACES), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
+    parts = F.split(path, "/")
+    segments = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
     return F.filter(F.array_distinct(F.concat(by_place, suffix, segments)), lambda x: ~x.rlike(r"^\w+:$"))
 
 
 def mine_rules(labelled: DataFrame) -> DataFrame:
-    """Rules (id, tokens, n, verdict, confidence, support) from labelled (tokens, verdict), deterministic in their order."""
+    """Rules (id, tokens, n, verdict, confidence, support) from labelled (tokens, verdict), deterministic in their order.
+
+    Tokens that stand in the same URLs are one item, named by the first of them: what is always met together, such as
+    a long shared path, does not multiply the token sets. Without labelled URLs there are no rules.
+    """
     spark = labelled.sparkSession
     schema = "rule_id int, tokens array<string>, n int, verdict string, confidence double, support double"
-    items = labelled.where("size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    total = labelled.count()
+    share = {r.verdict: r["count"] / total for r in labelled.groupBy("verdict").count().collect()}  # two rows
+    if not total:
+        return spark.createDataFrame([], schema)
+    rows = materialize(labelled.where("size(tokens) > 0").withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.expr("sum(pmod(xxhash64(row, 1), 1099511627776))").alias("y"))
+    names = each.where(F.col("n") >= SUPPORT * total).groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")  # at most 1 / SUPPORT a place
+    told = rows.select("row", "verdict", F.explode("tokens").alias("token")).join(F.broadcast(names), "token").groupBy("row", "verdict").agg(F.collect_set("token").alias("tokens"))
+    items = told.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
     if items.isEmpty():
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(items)
-    found = model.associationRules.where(F.expr(f"size(consequent) = 1 and consequent[0] like 'v:%' and size(antecedent) <= {LONGEST} and lift >= {LIFT} and not exists(antecedent, x -> x like 'v:%')"))
-    rows = sorted((tuple(sorted(r.antecedent)), r.consequent[0][2:], r.confidence, r.support) for r in found.collect())  # at most PLACES-fold 1 / SUPPORT frequent tokens make them
+    found = model.associationRules.where(F.expr(f"size(consequent) = 1 and consequent[0] like 'v:%' and size(antecedent) <= {LONGEST} and not exists(antecedent, x -> x like 'v:%')"))
+    rows = sorted((tuple(sorted(r.antecedent)), r.consequent[0][2:], r.confidence, r.support) for r in found.collect())
+    rows = [r for r in rows if r[2] >= share[r[1]] + MARGIN * (1 - share[r[1]]) - 1e-9]
     rows.sort(key=lambda r: (len(r[0]), r[0]))
     kept: dict[tuple, tuple] = {}
     for tokens, verdict, confidence, support in rows:  # a longer rule must beat every shorter one inside it
@@ -95,8 +112,9 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ot
     mined = materialize(mine_rules(labelled))
     index = mined.select(F.explode("tokens").alias("token"), "rule_id", "n", F.col("verdict").alias("mined"), "confidence")
     open_urls = unique.where("said is null").select("host", "path", F.explode("tokens").alias("token"))
+    few = mined.count() <= BROADCAST_RULES
     fired = (
-        open_urls.join(F.broadcast(index), "token").groupBy("host", "path", "rule_id", "n", "mined", "confidence").count().where("count = n")
+        open_urls.join(F.broadcast(index) if few else index, "token").groupBy("host", "path", "rule_id", "n", "mined", "confidence").count().where("count = n")
         .groupBy("host", "path").agg(F.expr("max_by(mined, struct(confidence, n, -rule_id))").alias("mined"))
     )
     fired = materialize(fired)
