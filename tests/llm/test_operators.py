@@ -126,6 +126,14 @@ def test_url_rules_are_mined(spark):
     assert [(r.verdict, r.decided_by) for r in got] == [("block", "mined")]
 
 
+def test_url_mining_bears_long_shared_paths_and_one_sided_labels(spark):
+    """24 shared segments are one item; a verdict that nearly all labelled URLs have still has rules; ties and repeated rows."""
+    deep = "/".join(f"s{i}" for i in range(24))
+    rows = [f"http://h{i % 7}.spam.net/{deep}/x" for i in range(594)] + ["http://a.good.org/fr/b"] * 6 + [f"http://h1.spam.com/{deep}/y", f"http://h1.spam.com/{deep}/y", "http://new.com/"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).where("rule is null").orderBy("page_id").collect()
+    assert [(r.verdict, r.decided_by) for r in got] == [("block", "mined"), ("block", "mined"), ("allow", "default")]
+
+
 def test_fingerprints_by_hand(spark, data):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in queries.op3_fingerprints(spark, data).collect()}
@@ -199,6 +207,12 @@ def test_embeddings_on_awkward_rows(spark):
     assert all(n == 0 for d, n, _, _ in got if d in (3, 4, 5, 6, 7, 9)) and embed_dedup.embedding_dedup(vectors.where("false")).count() == 0
 
 
+def test_embeddings_of_labels_that_look_alike_do_not_link(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [2.0], "a,1.0"), (3, [1.0, 2.0], "a"), (4, [2.0], 'a",1.0')]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
+
+
 def test_packing_holds_every_token_once(spark, data, awkward, empty):
     from tokenizers import Tokenizer
 
@@ -263,6 +277,17 @@ def test_random_words_score_above_ordinary_ones():
     assert min(map(model.score, random[200:])) > max(map(model.score, set(plain)))
 
 
+def test_random_spans_are_found_and_prose_is_left_alone(spark):
+    """Bare keys of 16 to 40 characters in prose, with nothing for the base patterns to learn from."""
+    rng = np.random.default_rng(9)
+    plain = ["customer", "internal", "document", "languages", "configuration", "transformation", "the", "of", "identifier", "2024-05-06", "user_name"]
+    keys = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"), n)) for n in rng.integers(16, 41, 60)]
+    rows = [(i, " ".join([*rng.choice(plain, 20), *([keys[i]] if i < 60 else []), *rng.choice(plain, 5)])) for i in range(3000)]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_digest(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    want = {i: f"random:{rows[i][1].index(keys[i])}:{rows[i][1].index(keys[i]) + len(keys[i])}" for i in range(60)}
+    assert sum(got[i] == want[i] for i in want) >= 57 and not any(got[i] for i in range(60, 3000))
+
+
 def test_toxicity_on_held_out_rows(spark):
     data = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
