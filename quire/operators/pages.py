@@ -13,15 +13,10 @@ from .tree import flatten, numbered
 _REFS = "array<struct<t: string, n: int, g: int>>"
 
 
-def field(key: str, value: str = "value") -> Column:
+def field(key: str, value: str | Column = "value") -> Column:
     return F.get_json_object(value, f"$.{key}")
 
 
-def boxes(media: Column, crop: Column) -> dict[str, Column]:
-    """The boxes of a page: CropBox is the MediaBox unless given, and the others are the CropBox unless given (see page_boxes)."""
-    return {"mediabox": media, "cropbox": F.coalesce(crop, media)}
-
-
 def page_boxes(pages: DataFrame) -> DataFrame:
     """pages (mediabox, cropbox, bleedbox, trimbox, artbox, rotate) with the defaults filled in."""
     crop = F.coalesce("cropbox", "mediabox")
@@ -29,14 +24,22 @@ def page_boxes(pages: DataFrame) -> DataFrame:
 
 
 def page_nodes(objects: DataFrame) -> DataFrame:
-    """Nodes of the page trees: path, obj_no, type, kids and a node's own attributes."""
-    box = lambda key: F.from_json(field(key), "array<double>").alias(key.lower())
+    """Nodes of the page trees: path, obj_no, type, kids and a node's own attributes, which may stand in objects of their own."""
     rows = objects.where("type in ('Pages', 'Page') or value like '%\"Kids\"%'").withColumn("kids_json", field("Kids"))
     rows = resolve(rows, "kids_json", objects, "kids_json")
     kids = F.transform(F.from_json("kids_json", _REFS), lambda k: k["n"])
+    names = ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox", "Rotate")
+    # Few attributes are references: those alone are looked up, in one join for all names.
+    point = F.array_compact(F.array(*(F.when(field("t", field(k)) == "ref", F.struct(F.lit(k).alias("name"), field("n", field(k)).cast("int").alias("to"))) for k in names)))
+    refs = rows.select("path", F.col("obj_no").alias("of"), F.inline(point))
+    targets = objects.select("path", F.col("obj_no").alias("to"), F.col("value").alias("found"))
+    given = refs.join(targets, ["path", "to"]).groupBy("path", F.col("of").alias("obj_no")).agg(F.map_from_entries(F.collect_list(F.struct("name", "found"))).alias("given"))
+    rows = rows.join(given, ["path", "obj_no"], "left")
+    direct = lambda key: F.coalesce(F.try_element_at("given", F.lit(key)), field(key))
+    box = lambda key: F.from_json(direct(key), "array<double>").alias(key.lower())
     return rows.select(
         "path", "obj_no", "type", F.when((F.col("type") == "Pages") | F.col("kids_json").isNotNull(), F.coalesce(kids, F.array().cast("array<int>"))).alias("kids"),
-        field("Resources").alias("resources"), field("Rotate").try_cast("int").alias("rotate"), field("Contents").alias("contents"), *map(box, ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox")),
+        field("Resources").alias("resources"), direct("Rotate").try_cast("int").alias("rotate"), field("Contents").alias("contents"), *map(box, names[:5]),
     )
 
 
@@ -71,17 +74,29 @@ def page_fonts(pages: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def fonts(objects: DataFrame) -> DataFrame:
-    """path, font_obj, subtype, base_font, first_char, last_char, widths, missing_width, cap_height, encoding (tagged JSON), differences and supported."""
+    """path, font_obj, subtype, base_font, first_char, last_char, widths, missing_width, cap_height, char_set (names of an embedded subset's glyphs), base_encoding, differences and supported."""
     rows = objects.where("type = 'Font'").select("path", F.col("obj_no").alias("font_obj"), "subtype", field("BaseFont.v").alias("base_font"), field("FirstChar").try_cast("int").alias("first_char"), field("LastChar").try_cast("int").alias("last_char"), field("Widths").alias("widths"), field("Encoding").alias("encoding"), field("FontDescriptor").alias("descriptor"))
     for c in ("widths", "encoding", "descriptor"):
         rows = resolve(rows, c, objects, c)
     base = F.coalesce(F.when(field("t", "encoding") == "name", field("v", "encoding")), field("BaseEncoding.v", "encoding"), F.lit("StandardEncoding"))
     return rows.select(
         "path", "font_obj", "subtype", "base_font", "first_char", "last_char", F.from_json("widths", "array<double>").alias("widths"), field("MissingWidth", "descriptor").try_cast("double").alias("missing_width"),
-        field("CapHeight", "descriptor").try_cast("double").alias("cap_height"), base.alias("base_encoding"), F.from_json(field("Differences", "encoding"), "array<string>").alias("differences"), F.coalesce(F.col("subtype").isin("Type1", "TrueType", "MMType1"), F.lit(False)).alias("supported"),
+        field("CapHeight", "descriptor").try_cast("double").alias("cap_height"), char_set(field("CharSet.text", "descriptor")).alias("char_set"), base.alias("base_encoding"), F.from_json(field("Differences", "encoding"), "array<string>").alias("differences"), F.coalesce(F.col("subtype").isin("Type1", "TrueType", "MMType1"), F.lit(False)).alias("supported"),
     )
 
 
+def char_set(text: Column) -> Column:
+    """The glyph names of a list such as `/space/A/B`; null if there is none."""
+    return F.filter(F.split(text, r"[/\s]+"), lambda x: x != "")
+
+
+def glyph_text(glyph: Column, listed: Column) -> Column:
+    """A glyph's text: as listed, else by its name: `uni` and UTF-16 units of four hex digits, or `u` and a code point of four to six; null if neither."""
+    units, point = F.regexp_extract(glyph, "^uni((?:[0-9A-F]{4})+)$", 1), F.regexp_extract(glyph, "^u([0-9A-F]{4,6})$", 1)
+    wide = F.lpad(point, 8, "0")
+    return F.coalesce(listed, F.when(units != "", F.decode(F.unhex(units), "UTF-16BE")), F.when((point != "") & (wide <= "0010FFFF"), F.decode(F.unhex(wide), "UTF-32")))
+
+
 def differences(rows: DataFrame, by: list[str], items: str = "differences") -> DataFrame:
     """by, code and glyph of run-length lists: a number sets the code, and each name after it takes the code and moves it on. The last name of a code counts."""
     w = Window.partitionBy(*by).orderBy("at")
@@ -99,7 +114,7 @@ def font_codes(rows: DataFrame) -> DataFrame:
     base = F.broadcast(base_encodings(spark))  # under 1,000 rows
     known = F.when(F.col("base_encoding").isin("MacRomanEncoding", "WinAnsiEncoding", "PDFDocEncoding"), F.col("base_encoding")).otherwise("StandardEncoding")
     plain = rows.select("path", "font_obj", known.alias("encoding")).join(base, "encoding").select("path", "font_obj", "code", "glyph", "text")
-    own = differences(rows.where("size(differences) > 0"), ["path", "font_obj"]).join(F.broadcast(glyph_list(spark)), "glyph", "left")
+    own = differences(rows.where("size(differences) > 0"), ["path", "font_obj"]).join(F.broadcast(glyph_list(spark)), "glyph", "left").withColumn("text", glyph_text(F.col("glyph"), F.col("text")))
     return plain.join(own.select("path", "font_obj", "code"), ["path", "font_obj", "code"], "left_anti").unionByName(own.select("path", "font_obj", "code", "glyph", "text"))
 
 
@@ -117,14 +132,21 @@ def average_width(widths: Column) -> Column:
     return F.coalesce(letters / F.nullif(weight, F.lit(0.0)), F.aggregate(have, F.lit(0.0), lambda s, w: s + w) / F.nullif(F.size(have), F.lit(0)))
 
 
-#: The width of every glyph of the fixed-width standard fonts.
-COURIER_WIDTH = 600.0
+#: The width of every glyph of the fixed-width standard fonts, and of one in a font that has neither widths nor metrics.
+COURIER_WIDTH, PLAIN_WIDTH = 600.0, 500.0
+
+
+def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Fonts (see fonts) with the widths and cap height that metrics (sources.metrics.font_metrics: under 1,000 fonts) has for their name, where they give none."""
+    known = F.broadcast(metrics.select(F.col("font").alias("base_font"), F.struct("first_char", "last_char", "widths").alias("m"), F.col("cap_height").alias("m_cap")))
+    rows, bare = rows.join(known, "base_font", "left"), F.col("widths").isNull()
+    return rows.withColumns({**{c: F.when(bare, F.coalesce(F.col(f"m.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("first_char", "last_char", "widths")}, "cap_height": F.coalesce("cap_height", "m_cap")}).drop("m", "m_cap")
 
 
 def font_tables(rows: DataFrame) -> DataFrame:
     """path, font_obj, texts and widths (arrays of 256, by code), avg_width, space_width, cap_height and supported of each font."""
     codes = font_codes(rows).where("code between 0 and 255").groupBy("path", "font_obj").agg(F.map_from_entries(F.collect_list(F.struct("code", "text"))).alias("by_code"))
-    default = F.when(F.col("base_font").startswith("Courier"), COURIER_WIDTH).otherwise(0.0)
+    default = F.when(F.col("base_font").startswith("Courier"), COURIER_WIDTH).when(F.col("widths").isNull(), PLAIN_WIDTH).otherwise(0.0)
     all_codes = F.sequence(F.lit(0), F.lit(255))
     widths = F.transform(all_codes, lambda c: glyph_width(c, F.coalesce("first_char", F.lit(0)), F.coalesce("last_char", F.lit(-1)), F.col("widths"), F.coalesce("missing_width", default)))
     out = rows.join(codes, ["path", "font_obj"], "left").select("path", "font_obj", F.transform(all_codes, lambda c: F.try_element_at("by_code", c)).alias("texts"), widths.alias("widths"), "cap_height", "supported")

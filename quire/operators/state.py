@@ -73,15 +73,28 @@ def text_cursor(ops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def graphics_state(ops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """ops (opcode, nums, name) with line_width, line_cap, line_join, miter_limit, dash_phase, intent, flatness and depth (of q) after each op."""
+    """ops (opcode, nums, name) with line_width, line_cap, line_join, miter_limit, dash_array, dash_phase, intent, flatness and depth (of q) after each op.
+
+    A Q gives back what was set at its q; a Q without a q changes nothing. What is set between a q and its Q belongs to a
+    frame: an op sees the frames around it, one row for each while this is worked out, and the innermost that has a value counts.
+    dash_array is the op's nums without the last, which is dash_phase.
+    """
     w = so_far(by, order)
-    num = lambda op: F.when(F.col("opcode") == op, F.get("nums", F.lit(0)))
-    return ops.select(
-        "*",
-        *(carried(num(op), default, w).alias(out) for op, out, default in (("w", "line_width", 1.0), ("J", "line_cap", 0.0), ("j", "line_join", 0.0), ("M", "miter_limit", 10.0), ("d", "dash_phase", 0.0), ("i", "flatness", 0.0))),
-        carried(F.when(F.col("opcode") == "ri", F.col("name")), "RelativeColorimetric", w).alias("intent"),
-        F.sum(F.when(F.col("opcode") == "q", 1).when(F.col("opcode") == "Q", -1).otherwise(0)).over(w).alias("depth"),
-    )
+    rows = ops.select(F.struct("*").alias("_op"), *by, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_at"), F.sum(F.when(F.col("opcode") == "q", 1).when(F.col("opcode") == "Q", -1).otherwise(0)).over(w).alias("_sum"))
+    w = so_far(by, ["_at"])
+    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    seen = rows.select(*by, "_at", "_op", "depth", F.explode(F.sequence(F.lit(0).cast("bigint"), "depth")).alias("_level"))
+    own, op = F.col("depth") == F.col("_level"), F.col("_op.opcode")
+    seen = seen.withColumn("_frame", F.sum(F.when(own & (op == "q"), 1).otherwise(0)).over(so_far([*by, "_level"], ["_at"])))
+    frame, nums = so_far([*by, "_level", "_frame"], ["_at"]), F.col("_op.nums")
+    number = lambda key: F.when(own & (op == key), F.get(nums, F.lit(0)))
+    values = {out: (number(key), F.lit(default)) for key, out, default in (("w", "line_width", 1.0), ("J", "line_cap", 0.0), ("j", "line_join", 0.0), ("M", "miter_limit", 10.0), ("i", "flatness", 0.0))}
+    values["dash_array"] = F.when(own & (op == "d"), F.slice(nums, 1, F.greatest(F.size(nums) - 1, F.lit(0)))), F.array().cast("array<double>")
+    values["dash_phase"] = F.when(own & (op == "d"), F.element_at(nums, -1)), F.lit(0.0)
+    values["intent"] = F.when(own & (op == "ri"), F.col("_op.name")), F.lit("RelativeColorimetric")
+    seen = seen.select(*by, "_at", "_op", "depth", "_level", *(F.last(value, ignorenulls=True).over(frame).alias(f"_{out}") for out, (value, _) in values.items()))
+    best = seen.groupBy(*by, "_at").agg(F.first("_op").alias("_op"), F.first("depth").alias("depth"), *(F.max_by(f"_{out}", F.when(F.col(f"_{out}").isNotNull(), F.col("_level"))).alias(f"_{out}") for out in values))
+    return best.select("_op.*", *(F.coalesce(f"_{out}", default).alias(out) for out, (_, default) in values.items()), "depth")
 
 
 def advance(widths: Column, codes: Column, fs: Column, tc: Column, tw: Column, th: Column) -> Column:

@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels below a root, beyond which a tree is not followed.
-MAX_DEPTH = 32
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
+
+
+def held(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> DataFrame:
+    """df, cached, until the end of a surrounding released()."""
+    df = df.persist(level)
+    if (frames := _held.get()) is not None:
+        frames.append(df)
+    return df
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """What plans cache inside is given back at the end: for jobs that run again and again, such as the batches of a stream."""
+    frames: list[DataFrame] = []
+    token = _held.set(frames)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        for df in frames:
+            df.unpersist()
+
+
+#: After so many levels the lineage is cut.
+CUT = 4
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that spark.checkpoint.dir names; a local session without that setting gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
 
 
 def flatten(nodes: DataFrame, roots: DataFrame, inherited: tuple[str, ...] = ()) -> DataFrame:
     """The leaves below roots (tree, node), in order: tree, node, place (positions of children on the way) and inherited columns.
 
     nodes: tree, node, kids (array of nodes, null for a leaf) and the inherited columns, whose nearest non-null value
-    counts. One join on (tree, node) for each level of the deepest tree; a node that is its own ancestor is not followed again.
+    counts. One join on (tree, node) for each level of the deepest tree; a node that is its own ancestor is not followed again, so the levels come to an end.
     """
     carried = [F.coalesce(F.col(f"n.{c}"), F.col(f"f.{c}")).alias(c) for c in inherited]
     nothing = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in inherited]
     front = roots.select("tree", "node", F.array().cast("array<int>").alias("place"), F.array().cast(f"array<{nodes.schema['node'].dataType.simpleString()}>").alias("seen"), *nothing)
     leaves = None
-    for _ in range(MAX_DEPTH):
+    for level in count(1):
         met = front.alias("f").join(nodes.alias("n"), ["tree", "node"]).select("tree", "node", "place", F.array_append("seen", F.col("node")).alias("seen"), "n.kids", *carried)
-        met = met.persist(StorageLevel.DISK_ONLY)
+        met = held(met) if level % CUT else cut(met)
         ends = met.where("kids is null").select("tree", "node", "place", *inherited)
         leaves = ends if leaves is None else leaves.unionByName(ends)
         front = met.where("kids is not null").select("tree", F.col("seen"), "place", *inherited, F.posexplode("kids").alias("at", "node")).where(~F.array_contains("seen", F.col("node")))

@@ -393,8 +393,13 @@ def text_state_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", *(big(c).alias(c) for c in ("tc", "tw", "tl")))
 
 
-@query("""select event_id, coalesce(last_value(case when event_id % 5 = 0 then event_id % 50 end ignore nulls) over w, 1) line_width, coalesce(last_value(case when event_id % 5 = 3 then event_id % 50 end ignore nulls) over w, 0) line_cap, coalesce(last_value(case when event_id % 5 = 4 then event_id % 50 end ignore nulls) over w, 10) miter_limit, cast(sum(case event_id % 5 when 1 then 1 when 2 then -1 else 0 end) over w as bigint) depth
-from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)""")
+@query("""with recursive r as (select user_id, event_id, event_id % 5 k, event_id % 50 v, row_number() over (partition by user_id order by ts, event_id) n from events),
+s as (select distinct user_id, cast(0 as bigint) event_id, cast(0 as bigint) n, cast([1, 0, 10] as bigint[]) now, cast([] as bigint[][]) stack from events
+union all select r.user_id, cast(r.event_id as bigint), r.n,
+case k when 0 then cast([v, now[2], now[3]] as bigint[]) when 3 then cast([now[1], v, now[3]] as bigint[]) when 4 then cast([now[1], now[2], v] as bigint[]) when 2 then case when len(stack) > 0 then stack[len(stack)] else now end else now end,
+case k when 1 then list_append(stack, now) when 2 then stack[1:greatest(len(stack) - 1, 0)] else stack end
+from s join r on r.user_id = s.user_id and r.n = s.n + 1)
+select event_id, now[1] line_width, now[2] line_cap, now[3] miter_limit, cast(len(stack) as bigint) depth from s where n > 0""")
 def graphics_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = state.graphics_state(event_ops(spark, sf_dir, "'w', 'q', 'Q', 'J', 'M'"), ["user_id"], ["ts", "event_id"])
     return got.select("event_id", *(big(c).alias(c) for c in ("line_width", "line_cap", "miter_limit", "depth")))

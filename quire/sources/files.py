@@ -196,9 +196,15 @@ def scan_content(content: bytes | None) -> dict:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """path and content of the files below a folder, up to MAX_FILE bytes each."""
+    """path and content of the files below a folder. Content is null, and not read, if it is longer than MAX_FILE: the scan gives such a file a row with the error `no content`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= MAX_FILE).select("path", "content")
+    return sized(files)
+
+
+def sized(files: DataFrame) -> DataFrame:
+    """path and content of binary files; the content of those over MAX_FILE is null, and only their names are read."""
+    fit = F.col("length") <= MAX_FILE
+    return files.where(fit).select("path", "content").unionByName(files.where(~fit).select("path", F.lit(None).cast("binary").alias("content")))
 
 
 def scan_files(files: DataFrame) -> DataFrame:
@@ -220,13 +226,13 @@ def scan_files(files: DataFrame) -> DataFrame:
 
 
 def documents(scanned: DataFrame) -> DataFrame:
-    """path, version (the catalog's, if it has one), size, root_obj, info, encrypted, n_objects and error of each file."""
+    """path, version (the catalog's, if it has one), size, root_obj, info, file_id (tagged JSON), encrypted, n_objects and error of each file."""
     trailer = lambda key: F.get_json_object("trailer", f"$.{key}")
     root = trailer("Root.n").cast("int")
     catalog = F.get(F.filter("objects", lambda o: o["obj_no"] == root), F.lit(0))["value"]
     info = F.get(F.filter("objects", lambda o: o["obj_no"] == trailer("Info.n").cast("int")), F.lit(0))["value"]
     version = F.coalesce(F.get_json_object(catalog, "$.Version.v"), F.col("version"))
-    return scanned.select("path", version.cast("decimal(3,1)").alias("version"), trailer("Size").cast("int").alias("size"), root.alias("root_obj"), info.alias("info"), F.coalesce(F.col("trailer").like('%"Encrypt"%'), F.lit(False)).alias("encrypted"), F.size("objects").alias("n_objects"), "error")
+    return scanned.select("path", version.cast("decimal(3,1)").alias("version"), trailer("Size").cast("int").alias("size"), root.alias("root_obj"), info.alias("info"), trailer("ID").alias("file_id"), F.coalesce(F.col("trailer").like('%"Encrypt"%'), F.lit(False)).alias("encrypted"), F.size("objects").alias("n_objects"), "error")
 
 
 def xref(scanned: DataFrame) -> DataFrame:

@@ -1,28 +1,29 @@
-"""Streaming ingest: files as they arrive, through the same plans. Nothing is kept from one file to the next."""
+"""Streaming ingest: files as they arrive, through the same plans. Nothing is kept from one batch to the next."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.tree import released
 from ..plans.text import layout_text
-from ..sources.files import MAX_FILE
+from ..sources.files import sized
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.pdf", files_per_batch: int = 1000) -> DataFrame:
     stream = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
-    return stream.load(path).where(F.col("length") <= MAX_FILE).select("path", "content")
+    return sized(stream.load(path))
 
 
 def ingest_text(spark: SparkSession, path: str, out: str, checkpoint: str, plan: Callable[[DataFrame], DataFrame] = layout_text) -> StreamingQuery:
     """Reads what has arrived below path and writes each batch's pages to its own folder below out, so that a batch run again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with released():
+            plan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return file_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

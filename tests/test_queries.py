@@ -7,11 +7,13 @@ import shutil
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+from quire.operators import pages, state, tree
 from quire.plans import text as plans
 from quire.plans.queries import ORACLES, QUERIES
-from quire.sources import writer
+from quire.sources import files, metrics, writer
 from quire.streaming import ingest
 
 
@@ -65,3 +67,62 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     got = sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect())
     shutil.rmtree(tmp_path / "out")
     assert got == sorted(" " * 5 + f"file {i}\n" + " " * 5 + "line" for i in range(3))
+
+
+def test_graphics_state_comes_back(spark):
+    """Q gives back all that its q saw, through empty and nested frames; a Q without a q changes nothing."""
+    ops = ["Q", "5 w", "q", "2 w", "1 J", "q", "q", "3 1 7 d", "Q", "/X ri", "Q", "Q", "9 M", "Q"]
+    rows = []
+    for i, x in enumerate(ops):
+        *operands, op = x.split()
+        rows.append((1, i, op, [float(v) for v in operands if v[0] != "/"], next((v[1:] for v in operands if v[0] == "/"), None)))
+    made = spark.createDataFrame(rows, "page int, at int, opcode string, nums array<double>, name string")
+    got = {r["at"]: r for r in state.graphics_state(made, ["page"], ["at"]).collect()}
+    assert [got[i].line_width for i in range(14)] == [1, 5, 5, 2, 2, 2, 2, 2, 2, 2, 2, 5, 5, 5]
+    assert [got[i].depth for i in range(14)] == [0, 0, 1, 1, 1, 2, 3, 3, 2, 2, 1, 0, 0, 0]
+    assert (got[7].dash_array, got[7].dash_phase, got[8].dash_array, got[8].dash_phase) == ([3.0, 1.0], 7.0, [], 0.0)
+    assert (got[9].intent, got[10].intent, got[11].line_cap, got[13].miter_limit, got[12].opcode) == ("X", "RelativeColorimetric", 0.0, 9.0, "M")
+
+
+def test_attributes_in_objects_of_their_own(spark):
+    page = {"Type": "Page", "Parent": writer.ref(2), "CropBox": writer.ref(6), "Rotate": writer.ref(7)}
+    content = writer.file_bytes({1: {"Type": "Catalog", "Pages": writer.ref(2)}, 2: {"Type": "Pages", "Kids": [writer.ref(3)], "Count": 1, "MediaBox": writer.ref(5)}, 3: page, 5: [0, 0, 300, 400], 6: [10, 10, 200, 200], 7: 90})
+    scanned = files.scan_files(spark.createDataFrame([("x", bytearray(content))], "path string, content binary"))
+    got = pages.pages(scanned, files.objects(scanned)).first()
+    assert (got.mediabox, got.cropbox, got.rotate) == ([0, 0, 300, 400], [10, 10, 200, 200], 90)
+
+
+def test_trees_of_any_depth(spark):
+    nodes = [("t", i, [i + 1]) for i in range(40)] + [("t", 40, None)]
+    made = spark.createDataFrame(nodes, "tree string, node int, kids array<int>")
+    got = tree.flatten(made, spark.createDataFrame([("t", 0)], "tree string, node int")).collect()
+    assert [(r.node, len(r.place)) for r in got] == [(40, 40)]
+
+
+def test_fonts_without_widths_and_glyphs_by_number(spark):
+    rows = spark.createDataFrame([("uni0041",), ("uniD83DDE00",), ("u1F600",), ("zero",), ("union",)], "glyph string")
+    assert [r[0] for r in rows.select(pages.glyph_text(F.col("glyph"), F.lit(None).cast("string"))).collect()] == ["A", "\U0001f600", "\U0001f600", None, None]
+    lines = spark.createDataFrame([("Helvetica", x) for x in ("CapHeight 718", "C 65 ; WX 667 ; N A ; B 0 0 0 0 ;", "C 66 ; WX 660 ; N B ; B 0 0 0 0 ;")], "font string, line string")
+    plain = ("x", 1, "Type1", "Helvetica", None, None, None, None, None, None, "StandardEncoding", None, True)
+    fonts = spark.createDataFrame([plain, ("x", 2, "Type1", "Other", *plain[4:])], "path string, font_obj int, subtype string, base_font string, first_char int, last_char int, widths array<double>, missing_width double, cap_height double, char_set array<string>, base_encoding string, differences array<string>, supported boolean")
+    got = {r.font_obj: r for r in pages.font_tables(pages.with_metrics(fonts, metrics.font_metrics(lines))).collect()}
+    assert (got[1].widths[65], got[1].widths[66], got[1].cap_height, got[2].widths[65]) == (667.0, 660.0, 718.0, pages.PLAIN_WIDTH)
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path, monkeypatch):
+    good = writer.pages_file([TABLE])
+    for name, content in (("good", good), ("bad", b"junk"), ("ops", writer.pages_file([b"BT (open Tj"]))):
+        (tmp_path / f"{name}.pdf").write_bytes(content)
+    (tmp_path / "big.pdf").write_bytes(good + b" " * 5000)
+    monkeypatch.setattr(files, "MAX_FILE", len(good) + 1000)
+    got = {os.path.basename(r.path): (r.part, r.page_index) for r in plans.problems(files.read_files(spark, str(tmp_path))).collect()}
+    assert got == {"bad.pdf": ("file", None), "big.pdf": ("file", None), "ops.pdf": ("operations", 0)}
+
+
+def test_batches_of_a_stream_keep_no_cache(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(writer.pages_file([writer.paint_lines("a", ends=False)]))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for _ in range(2):
+        with tree.released():
+            assert plans.layout_text(files.read_files(spark, str(tmp_path))).count() == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
