@@ -6,6 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.syntax import PDFDOC_FROM, PDFDOC_TO
 
@@ -74,3 +75,8 @@ def base_encodings(spark: SparkSession) -> DataFrame:
 def glyph_list(spark: SparkSession) -> DataFrame:
     """glyph and text of every glyph that a base encoding has."""
     return spark.createDataFrame(sorted({(glyph_name(t), t) for table in tables().values() for t in table.values()}), "glyph string, text string")
+
+
+def char_codes(encoded: DataFrame) -> DataFrame:
+    """encoding, glyph and code: the other way round, the lowest code of each glyph of rows (encoding, code, glyph)."""
+    return encoded.groupBy("encoding", "glyph").agg(F.min("code").alias("code"))

@@ -106,6 +106,11 @@ def encode_hex(data: Column | str) -> Column:
     return F.concat(F.lit("<"), F.hex(col(data)), F.lit(">"))
 
 
+def encode_comment(text: Column | str) -> Column:
+    """%... of text, line ends in it as spaces, and a line end."""
+    return F.concat(F.lit("%"), F.regexp_replace(col(text), r"[\r\n]+", " "), F.lit("\n"))
+
+
 def encode_literal(text: Column | str) -> Column:
     """(...) of text, with backslashes, parentheses and line ends escaped."""
     text = F.regexp_replace(col(text), r"([\\()])", r"\\$1")

@@ -30,9 +30,20 @@ _OPS = pa.schema(
 OPS = "op_idx int, sub_idx int, opcode string, nums array<double>, name string, parts array<struct<hex: string, move: double>>, operands string, ctm array<double>, error string"
 
 
+#: Opcodes that a user has registered: the kind, and the opcode as which plans treat it, if any.
+_registered: dict[str, tuple[str, str | None]] = {}
+
+
+def register_opcode(opcode: str, kind: str = "other", acts_as: str | None = None) -> None:
+    """From now on plans know opcode: optype() gives its kind, and with acts_as it does what that opcode does. A second call replaces the first."""
+    _registered[opcode] = kind, acts_as
+
+
 def optype(opcode: Column) -> Column:
     """An opcode's kind, `other` if it has none."""
     out = F.when(F.lit(False), F.lit(""))
+    for code, (kind, _) in _registered.items():
+        out = out.when(opcode == code, kind)
     for kind, codes in OPCODES.items():
         out = out.when(opcode.isin(*codes), kind)
     return out.otherwise("other")
@@ -94,7 +105,11 @@ def content_ops(contents: DataFrame, *keys: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, whole)
 
-    return contents.select(*keys, F.col("content").cast("binary")).mapInArrow(run, f"{schema}, {OPS}")
+    ops = contents.select(*keys, F.col("content").cast("binary")).mapInArrow(run, f"{schema}, {OPS}")
+    acting = [(code, other) for code, (_, other) in _registered.items() if other]
+    for code, other in acting:
+        ops = ops.withColumn("opcode", F.when(F.col("opcode") == code, other).otherwise(F.col("opcode")))
+    return ops
 
 
 def expand_ops(ops: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, scalars
-from ..functions.encodings import base_encodings
+from ..functions.encodings import base_encodings, char_codes
 from ..operators import layout, pages, state, tree
 from ..sources import files, metrics, writer
 from ..sources.syntax import SyntaxFault, value_at
@@ -405,6 +405,53 @@ def graphics_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", *(big(c).alias(c) for c in ("line_width", "line_cap", "miter_limit", "depth")))
 
 
+@query("""select event_id, coalesce(last_value(case when event_id % 4 = 0 then event_id % 50 end ignore nulls) over w, 100) tz, coalesce(last_value(case when event_id % 4 = 1 then event_id % 50 end ignore nulls) over w, 0) mode, coalesce(last_value(case when event_id % 4 = 2 then event_id % 50 end ignore nulls) over w, 0) rise
+from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)""")
+def text_state_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaling (Tz), rendering mode (Tr) and rise (Ts)."""
+    got = state.text_cursor(event_ops(spark, sf_dir, "'Tz', 'Tr', 'Ts', 'Tj'"), ["user_id"], ["ts", "event_id"])
+    return got.select("event_id", big(F.round(F.col("th") * 100)).alias("tz"), big("mode").alias("mode"), big("rise").alias("rise"))
+
+
+@query("""select event_id, coalesce(last_value(case when event_id % 4 = 0 then event_id % 50 end ignore nulls) over w, 0) line_join, coalesce(last_value(case when event_id % 4 = 1 then event_id % 50 end ignore nulls) over w, 0) flatness, coalesce(last_value(case when event_id % 4 = 2 then event_id % 50 end ignore nulls) over w, 0) dash_phase,
+coalesce(last_value(case when event_id % 4 = 3 then 'Intent' || event_id % 3 end ignore nulls) over w, 'RelativeColorimetric') intent from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)""")
+def graphics_state_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line join (j), flatness (i), dash (d) and rendering intent (ri)."""
+    ops = event_ops(spark, sf_dir, "'j', 'i', 'd', 'ri'").withColumn("name", F.expr("if(event_id % 4 = 3, concat('Intent', event_id % 3), null)"))
+    got = state.graphics_state(ops, ["user_id"], ["ts", "event_id"])
+    return got.select("event_id", *(big(c).alias(c) for c in ("line_join", "flatness", "dash_phase")), "intent")
+
+
+@query(f"""select l_orderkey, l_linenumber, cast(sum(trunc(l_quantity)) over w as bigint) x, cast(sum(l_linenumber) over w as bigint) y
+from {SEGMENTS} window w as (partition by l_orderkey, seg order by {ITEM_ORDER} rows between unbounded preceding and current row)""")
+def tm_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text matrix (Tm) sets the origin that moves (Td) then shift."""
+    ops = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", *ITEMS, "if(l_linenumber = 1, 'Tm', 'Td') opcode", "if(l_linenumber = 1, array(1D, 0D, 0D, 1D, floor(l_quantity) * 1D, 1D), array(floor(l_quantity) * 1D, double(l_linenumber))) nums", "cast(null as string) name")
+    return state.text_cursor(ops, ["l_orderkey"], ITEMS).select("l_orderkey", "l_linenumber", big("lm_e").alias("x"), big("lm_f").alias("y"))
+
+
+@query("select c_custkey, chr(cast(65 + c_custkey % 26 as int)) || chr(cast(12354 + c_custkey % 50 as int)) as text from customer")
+def glyph_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs named by their UTF-16 units."""
+    glyph = F.concat(F.lit("uni"), *(F.lpad(F.hex(F.expr(x)), 4, "0") for x in ("65 + c_custkey % 26", "12354 + c_custkey % 50")))
+    return table(spark, sf_dir, "customer").select("c_custkey", pages.glyph_text(glyph, F.lit(None).cast("string")).alias("text"))
+
+
+@query("select p_partkey, chr(cast(65 + p_partkey % 26 as int)) glyph, cast(65 + p_partkey % 26 as bigint) code from part")
+def char_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes looked up by glyph name."""
+    known = char_codes(base_encodings(spark)).where("encoding = 'WinAnsiEncoding'").select("glyph", big("code").alias("code"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("chr(65 + p_partkey % 26)").alias("glyph"))
+    return rows.join(F.broadcast(known), "glyph").select("p_partkey", "glyph", "code")
+
+
+@query("select n_nationkey, '%' || n_name || ' end' || chr(10) as comment, '<' || hex(n_name) || '>' as hex_string, n_nationkey || ' 0 R' as reference from nation")
+def encoded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, hex strings and references as they are written."""
+    comment = scalars.encode_comment(F.concat("n_name", F.lit("\r\nend")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", comment.alias("comment"), scalars.encode_hex(F.encode("n_name", "UTF-8")).alias("hex_string"), scalars.encode_ref("n_nationkey", F.lit(0)).alias("reference"))
+
+
 @query(f"""select l_orderkey, l_linenumber, cast(sum(case when l_linenumber > 1 then trunc(l_quantity) else 0 end) over w as bigint) x, cast(sum(case when l_linenumber > 1 then l_linenumber else 0 end) over w as bigint) y
 from {SEGMENTS} window w as (partition by l_orderkey, seg order by {ITEM_ORDER} rows between unbounded preceding and current row)""")
 def td_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from quire.operators import pages, state, tree
+from quire.operators import layout, pages, state, tree
 from quire.plans import text as plans
 from quire.plans.queries import ORACLES, QUERIES
 from quire.sources import files, metrics, writer
@@ -126,3 +126,13 @@ def test_batches_of_a_stream_keep_no_cache(spark, tmp_path):
         with tree.released():
             assert plans.layout_text(files.read_files(spark, str(tmp_path))).count() == 1
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_registered_opcodes(spark, monkeypatch):
+    monkeypatch.setattr(layout, "_registered", {})
+    layout.register_opcode("Show", "text showing", acts_as="Tj")
+    layout.register_opcode("Do", "objects")
+    kinds = spark.createDataFrame([("Show",), ("Do",), ("Tf",), ("x",)], "opcode string").select(layout.optype(F.col("opcode"))).collect()
+    assert [k[0] for k in kinds] == ["text showing", "objects", "text state", "other"]
+    made = spark.createDataFrame([("x", bytearray(writer.pages_file([b"BT /F1 10 Tf 0 700 Td (ab) Show ET"])))], "path string, content binary")
+    assert plans.simple_text(made).first().text == "ab"
