@@ -73,8 +73,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return lm_score.score_documents(docs, lm_score.fit(lm_score.marked(docs, _table(spark, sf_dir, "labels"))))
+    return lm_score.score_documents(lm_score.marked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
 QUERIES = {

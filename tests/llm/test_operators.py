@@ -1,8 +1,10 @@
 """The corpus operators against brute force, libraries and held-out rows, and on awkward tables."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -389,20 +391,63 @@ def test_languages_on_awkward_rows(spark, awkward, empty):
     assert {r.lang_pred for r in langid.predict_language(learned, langid.fit(learned.where("lang = 'de'"))).where("doc_id = 1").collect()} == {"de", "und"}
 
 
-def test_language_models_are_distributions(spark, data, awkward, empty):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    models = lm_score.fit(lm_score.marked(docs, spark.read.parquet(f"{data}/labels.parquet")))
-    assert np.allclose(models.unigram.sum(axis=1), 1)
-    words = models.vocab[[0, len(models.vocab) // 2, -1]]
-    for w in lm_score.place(models.vocab, words) + 1:
-        own = (models.pairs >> 32) == w
-        total = models.pair[:, own].sum(axis=1) + models.rest["word"][:, w] * models.unigram.sum(axis=1)
-        assert np.allclose(total, 1)
-    got = {r.doc_id: r for r in lm_score.score_documents(awkward, models).collect()}
-    assert (got[4].n_tokens, got[4].score, got[4].target_loss) == (0, 0.0, None) and got[1].n_tokens == 60
-    assert abs(got[1].score - (got[1].background_loss - got[1].target_loss)) < 1e-9
-    nothing = lm_score.fit(lm_score.marked(empty, spark.read.parquet(f"{data}/labels.parquet")))
-    assert lm_score.score_documents(awkward, nothing).count() == len(AWKWARD) and lm_score.score_documents(empty, models).count() == 0
+def losses_by_hand(rows, corpus, word_share):
+    """(tokens, target loss, background loss) of each (text, target, counted) by dictionaries; also the two models' sums over the vocabulary."""
+    words = [WORD.findall((t or "").translate(ASCII)) for t, _ in corpus]
+    total = [sum(len(w) for w, (_, target) in zip(words, corpus, strict=True) if target), sum(map(len, words))]
+    scale = [min(1.0, total[1 - i] / max(total[i], 1)) for i in (0, 1)]
+    uni, pair, head = ([Counter(), Counter()] for _ in range(3))
+    for w, (_, target) in zip(words, corpus, strict=True):
+        for i in (0, 1) if target else (1,):
+            uni[i].update(w)
+            pair[i].update(zip([None, *w], w, strict=False))
+            head[i].update([None, *w][: len(w)])
+    common = {w for w, n in uni[1].items() if n >= max(2, int(np.ceil(word_share * total[1])))}
+    rarer = len(uni[1]) - len(common) + 1
+    rest = [(total[i] - sum(uni[i][w] for w in common)) / rarer for i in (0, 1)]
+    prob = lambda i, w: (scale[i] * (uni[i][w] if w in common else rest[i]) + 1) / (scale[i] * total[i] + len(common) + rarer)
+    assert all(abs(sum(prob(i, w) for w in common) + rarer * prob(i, None) - 1) < 1e-9 for i in (0, 1))
+    out = []
+    for text, target, counted in rows:
+        w = WORD.findall((text or "").translate(ASCII))
+        own, own_head, loss = Counter(zip([None, *w], w, strict=False)), Counter([None, *w][: len(w)]), []
+        for i in (0, 1):
+            on = counted and (target or i == 1)
+            loss.append(sum(-math.log((scale[i] * (pair[i][k] - own[k] * on) + lm_score.PRIOR * prob(i, k[1])) / (scale[i] * (head[i][k[0]] - own_head[k[0]] * on) + lm_score.PRIOR)) * n for k, n in own.items()))
+        out.append((len(w), loss[0] / len(w), loss[1] / len(w)) if w else (0, None, None))
+    return out
+
+
+def same_losses(got, expected):
+    assert len(got) == len(expected)
+    for r, (n, t, b) in zip(got, expected, strict=True):
+        assert r.n_tokens == n and (r.target_loss is None) == (t is None)
+        assert t is None and r.score == 0 or np.allclose([r.target_loss, r.background_loss, r.score], [t, b, b - t], atol=1e-9)
+
+
+@pytest.mark.parametrize(("share", "part_bytes"), [(lm_score.WORD_SHARE, lm_score.PART_BYTES), (1e-3, 20_000), (1.0, 5_000)])
+def test_language_models_equal_brute_force(spark, data, share, part_bytes):
+    """With the words and bigrams of the query broadcast, with few and with none."""
+    docs = lm_score.marked(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    got = sorted(lm_score.score_documents(docs, None, share, share, part_bytes).collect(), key=lambda r: r.doc_id)
+    same_losses(got, losses_by_hand([(r.text, r.target, True) for r in rows], [(r.text, r.target) for r in rows], share))
+    if share == lm_score.WORD_SHARE:
+        query = sorted(queries.op10_lm_score(spark, data).collect(), key=lambda r: r.doc_id)
+        assert [(r.doc_id, r.n_tokens, round(r.score, 9)) for r in query] == [(r.doc_id, r.n_tokens, round(r.score, 9)) for r in got]
+
+
+def test_language_models_on_awkward_rows_and_another_corpus(spark, data, awkward, empty):
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    own = awkward.withColumn("target", F.expr("doc_id in (1, 7)"))
+    rows = sorted(own.collect(), key=order)
+    same_losses(sorted(lm_score.score_documents(own, None, 1e-2, 1e-2, 50_000).collect(), key=order), losses_by_hand([(r.text, bool(r.target), True) for r in rows], [(r.text, bool(r.target)) for r in rows], 1e-2))
+    corpus = lm_score.marked(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    held = [(r.text, r.target) for r in corpus.collect()]
+    same_losses(sorted(lm_score.score_documents(awkward.withColumn("target", F.lit(True)), corpus).collect(), key=order), losses_by_hand([(r.text, True, False) for r in rows], held, lm_score.WORD_SHARE))
+    none = empty.withColumn("target", F.lit(None).cast("boolean"))
+    assert lm_score.score_documents(none).count() == 0 and lm_score.score_documents(none, corpus).count() == 0
+    assert {round(r.score, 9) for r in lm_score.score_documents(own, none).collect()} == {0.0}
 
 
 def test_components(spark):
