@@ -11,7 +11,7 @@ bigrams are taken out of the counts that score it.
 Words and bigrams of at least WORD_SHARE and PAIR_SHARE of all tokens are few (at most 1 / share of each), so their
 counts are broadcast and scored where the text is read. All others are dealt by bigram to parts of about PART_BYTES of
 text (by first word where that is a rare one), each of which counts and scores its bigrams in one step; no single
-one of them is large. One row a document and part comes back and is summed.
+one of them is large. What a part finds goes back packed, 16 bytes a document that it met, and is summed by document.
 """
 
 from __future__ import annotations
@@ -146,23 +146,24 @@ def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAI
     return Models(vocab, unigram, heads, got.key.to_numpy(np.int64).view(np.uint64), np.stack([got.t, got.n]).astype(np.float64).reshape(2, -1), scale)
 
 
-#: The columns of a message, one after the other: keys, uses in the document, uses of the first word there, document, flags.
+#: The columns of a message, one after the other: keys, uses in the document, uses of the first word there, document, flags; and of an answer.
 _FIELDS = (("key", np.uint64), ("own", np.uint32), ("own_head", np.uint32), ("ref", np.uint64), ("flags", np.uint8))
-_WIDTH = sum(np.dtype(t).itemsize for _, t in _FIELDS)
+_ANSWER = (("ref", np.uint64), ("target", np.float32), ("background", np.float32))
 
 
-def pack(columns: dict[str, np.ndarray], part: slice) -> bytes:
-    return b"".join(columns[name][part].astype(kind).tobytes() for name, kind in _FIELDS)
+def pack(columns: dict[str, np.ndarray], part: slice, fields=_FIELDS) -> bytes:
+    return b"".join(columns[name][part].astype(kind).tobytes() for name, kind in fields)
 
 
-def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    out: dict[str, list[np.ndarray]] = {name: [] for name, _ in _FIELDS}
+def unpack(blobs: list[bytes], fields=_FIELDS) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {name: [] for name, _ in fields}
+    width = sum(np.dtype(kind).itemsize for _, kind in fields)
     for blob in blobs:
-        rows, at = len(blob) // _WIDTH, 0
-        for name, kind in _FIELDS:
+        rows, at = len(blob) // width, 0
+        for name, kind in fields:
             out[name].append(np.frombuffer(blob, kind, rows, at))
             at += rows * np.dtype(kind).itemsize
-    return {name: np.concatenate(v) if v else np.zeros(0, kind) for (name, kind), v in zip(_FIELDS, out.values(), strict=True)}
+    return {name: np.concatenate(v) if v else np.zeros(0, kind) for (name, kind), v in zip(fields, out.values(), strict=True)}
 
 
 def document_ref(doc_id: int | None, text: str | None) -> int:
@@ -180,17 +181,23 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_PARTIAL = "ref long, doc_id long, n_tokens long, copies long, target_loss double, background_loss double"
+#: A document's own row, or a message or answer (blob) to a part.
+_NAMES = ["part", "blob", "ref", "doc_id", "n_tokens", "target_loss", "background_loss"]
+_ROWS = "part int, blob binary, ref long, doc_id long, n_tokens long, target_loss double, background_loss double"
+_TYPES = pa.schema(list(zip(_NAMES, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)))
 
 
-def _partial(ref, doc_id, tokens, copies, loss) -> list[pa.Array]:
-    return [pa.array(np.asarray(ref, np.uint64).view(np.int64)), doc_id, pa.array(tokens, pa.int64()), pa.array(copies, pa.int64()), pa.array(loss[0]), pa.array(loss[1])]
-
-
-_NAMES = ["ref", "doc_id", "n_tokens", "copies", "target_loss", "background_loss"]
+def _packed(columns: dict[str, np.ndarray], part: np.ndarray, fields) -> pa.Table:
+    """A row with the packed columns for each part; part is sorted."""
+    cuts = _starts(part)
+    blobs = [pack(columns, slice(a, b), fields) for a, b in zip(cuts, np.r_[cuts, len(part)][1:], strict=True)]
+    rows = pa.table({"part": pa.array(part[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    for field in list(_TYPES)[2:]:
+        rows = rows.append_column(field, pa.nulls(len(blobs), field.type))
+    return rows
 
 
-def _deal(rows: list[tuple], models: Models, parts: int) -> pa.RecordBatch:
+def _deal(rows: list[tuple], models: Models, parts: int) -> pa.Table:
     """A row for each document with the losses of its broadcast bigrams, and a message for each part with its other bigrams."""
     refs = np.array([document_ref(d, t) for d, t, _, _ in rows], np.uint64)
     sizes = np.array([len(h) for _, _, _, h in rows])
@@ -222,21 +229,14 @@ def _deal(rows: list[tuple], models: Models, parts: int) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     off, part = off[order], part[order]
     columns = {"key": keys[off], "own": own[off], "own_head": own_head[off], "ref": refs[doc[off]], "flags": flags[doc[off]]}
-    cuts = _starts(part)
-    ends = np.r_[cuts, len(part)][1:]
-    blobs = [pack(columns, slice(a, b)) for a, b in zip(cuts, ends, strict=True)]
     kept = np.flatnonzero(flags & SCORED)
-    base = _partial(refs[kept], pa.array([rows[i][0] for i in kept], pa.int64()), sizes[kept], np.ones(len(kept), np.int64), loss[:, kept])
-    none = len(blobs)
-    blank = _partial(np.zeros(none), pa.nulls(none, pa.int64()), np.zeros(none, np.int64), np.zeros(none, np.int64), np.zeros((2, none)))
-    joined = [pa.concat_arrays([a, b]) for a, b in zip(base, blank, strict=True)]
-    to = np.r_[(refs[kept] % np.uint64(parts)).astype(np.int64), part[cuts]]
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([None] * len(kept) + blobs, pa.binary()), *joined], ["part", "blob", *_NAMES])
+    own_rows = [pa.array((refs[kept] % np.uint64(parts)).astype(np.int32)), pa.nulls(len(kept), pa.binary()), pa.array(refs[kept].view(np.int64)), pa.array([rows[i][0] for i in kept], pa.int64()), pa.array(sizes[kept], pa.int64()), pa.array(loss[0, kept]), pa.array(loss[1, kept])]
+    return pa.concat_tables([pa.Table.from_arrays(own_rows, schema=_TYPES), _packed(columns, part, _FIELDS)])
 
 
-def _score_part(table: pa.Table, models: Models) -> pa.Table:
-    """The losses of a part's bigrams by document, and the documents' own rows as they are."""
-    plain = table.filter(table["blob"].is_null()).select(_NAMES)
+def _score_part(table: pa.Table, models: Models, parts: int) -> pa.Table:
+    """The losses of a part's bigrams by document, packed for the documents' parts, and the documents' own rows as they are."""
+    plain = table.filter(table["blob"].is_null()).select(_NAMES).cast(_TYPES)
     m = unpack(table["blob"].drop_null().to_pylist())
     keys, flags, own = m["key"], m["flags"], m["own"].astype(np.float64)
     _, at = np.unique(keys, return_inverse=True)
@@ -250,9 +250,27 @@ def _score_part(table: pa.Table, models: Models) -> pa.Table:
     heads = np.where(rare[on], inside, models.heads[:, np.where(rare[on], np.uint64(0), head[on]).astype(np.int64)])
     loss = models.losses(keys[on], seen, heads, own[on], m["own_head"][on].astype(np.float64), flags[on]) * own[on]
     refs, to = np.unique(m["ref"][on], return_inverse=True)
-    by_doc = [np.bincount(to, x, minlength=len(refs)) for x in loss] if len(on) else np.zeros((2, 0))
-    none = np.zeros(len(refs), np.int64)
-    return pa.concat_tables([plain, pa.Table.from_arrays(_partial(refs, pa.nulls(len(refs), pa.int64()), none, none, by_doc), _NAMES).cast(plain.schema)])
+    by_doc = [np.bincount(to, x, minlength=len(refs)) if len(on) else np.zeros(0) for x in loss]
+    part = (refs % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return pa.concat_tables([plain, _packed({"ref": refs[order], "target": by_doc[0][order], "background": by_doc[1][order]}, part[order], _ANSWER)])
+
+
+def _sum_part(table: pa.Table) -> pa.Table:
+    """The scores of a part's documents from their own rows and all parts' answers."""
+    plain = table.filter(table["blob"].is_null())
+    m = unpack(table["blob"].drop_null().to_pylist(), _ANSWER)
+    own = plain["ref"].to_numpy().view(np.uint64)
+    refs, at, copies = np.unique(own, return_inverse=True, return_counts=True)
+    to = place(refs, m["ref"])  # every answer has its document here
+    tokens = plain["n_tokens"].to_numpy()
+    mean = []
+    for name in ("target", "background"):
+        more = np.bincount(to, m[name], minlength=len(refs)) if len(to) else np.zeros(len(refs))
+        mean.append((plain[f"{name}_loss"].to_numpy() + more[at] / copies[at]) / np.maximum(tokens, 1))
+    none = tokens == 0
+    losses = [pa.array(x, pa.float64(), mask=none) for x in mean]
+    return pa.Table.from_arrays([plain["doc_id"], plain["n_tokens"], *losses, pa.array(np.where(none, 0.0, mean[1] - mean[0]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def score_documents(docs: DataFrame, corpus: DataFrame | None = None, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -278,18 +296,16 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, word_share
                 rows.append((doc_id, text, flag, word_hashes(text)))
                 size += len(rows[-1][3])
                 if size >= _ROUND:
-                    yield _deal(rows, models.value, parts)
+                    yield from _deal(rows, models.value, parts).to_batches()
                     rows, size = [], 0
         if rows:
-            yield _deal(rows, models.value, parts)
+            yield from _deal(rows, models.value, parts).to_batches()
 
     flags = F.expr(f"if(target, {TARGET}, 0) + if(counted, {COUNTED}, 0) + if(scored, {SCORED}, 0)").alias("flags")
-    dealt = map_batches(docs.select("doc_id", "text", flags), deal, f"part int, blob binary, {_PARTIAL}")
-    scored = dealt.groupBy("part").applyInArrow(lambda table: _score_part(table, models.value), _PARTIAL)
-    summed = scored.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"), F.sum("target_loss").alias("t"), F.sum("background_loss").alias("b"))
-    uses = F.expr("nullif(n_tokens * copies, 0)")
-    out = summed.select("doc_id", "n_tokens", (F.col("t") / uses).alias("target_loss"), (F.col("b") / uses).alias("background_loss"), F.explode(F.expr("array_repeat(0, cast(copies as int))")))
-    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)).alias("score"))
+    dealt = map_batches(docs.select("doc_id", "text", flags), deal, _ROWS)
+    answered = dealt.groupBy("part").applyInArrow(lambda table: _score_part(table, models.value, parts), _ROWS)
+    # The answers are for other parts; the column's new name tells Spark so.
+    return answered.withColumnRenamed("part", "shard").groupBy("shard").applyInArrow(lambda table: _sum_part(table), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:

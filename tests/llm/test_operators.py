@@ -422,7 +422,7 @@ def same_losses(got, expected):
     assert len(got) == len(expected)
     for r, (n, t, b) in zip(got, expected, strict=True):
         assert r.n_tokens == n and (r.target_loss is None) == (t is None)
-        assert t is None and r.score == 0 or np.allclose([r.target_loss, r.background_loss, r.score], [t, b, b - t], atol=1e-9)
+        assert t is None and r.score == 0 or np.allclose([r.target_loss, r.background_loss, r.score], [t, b, b - t], atol=1e-6)  # answers are single floats
 
 
 @pytest.mark.parametrize(("share", "part_bytes"), [(lm_score.WORD_SHARE, lm_score.PART_BYTES), (1e-3, 20_000), (1.0, 5_000)])
@@ -434,7 +434,7 @@ def test_language_models_equal_brute_force(spark, data, share, part_bytes):
     same_losses(got, losses_by_hand([(r.text, r.target, True) for r in rows], [(r.text, r.target) for r in rows], share))
     if share == lm_score.WORD_SHARE:
         query = sorted(queries.op10_lm_score(spark, data).collect(), key=lambda r: r.doc_id)
-        assert [(r.doc_id, r.n_tokens, round(r.score, 9)) for r in query] == [(r.doc_id, r.n_tokens, round(r.score, 9)) for r in got]
+        assert [(r.doc_id, r.n_tokens, round(r.score, 6)) for r in query] == [(r.doc_id, r.n_tokens, round(r.score, 6)) for r in got]
 
 
 def test_language_models_on_awkward_rows_and_another_corpus(spark, data, awkward, empty):
