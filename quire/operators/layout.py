@@ -162,7 +162,13 @@ def runs(ops: DataFrame, fonts: DataFrame, by: list[str], fixed_width: bool = Tr
     lowered = F.when(F.col("rise") <= -height, F.col("rise")).otherwise(0.0)
     parts = parts.select("*", text.alias("text"), x0.alias("x0"), x1.alias("x1"), y.alias("y"), slope.alias("slope"))
     basis = F.col("avg_width" if fixed_width else "space_width") / 1000 * F.col("fs") * F.col("th") * m[0]
-    return parts.where("codes is not null").select(*by, *order, "part_idx", "text", "x0", "x1", "y", F.round("slope", 1).alias("slope"), F.round(F.col("y") - lowered - F.col("slope") * F.col("x0"), 1).alias("intercept"), basis.alias("basis"))
+    slope, intercept = line_ids(F.col("slope"), F.col("x0"), F.col("y"), lowered)
+    return parts.where("codes is not null").select(*by, *order, "part_idx", "text", "x0", "x1", "y", slope.alias("slope"), intercept.alias("intercept"), basis.alias("basis"))
+
+
+def line_ids(slope: Column, x: Column, y: Column, lowered: Column | float = 0.0) -> tuple[Column, Column]:
+    """What blocks of one line share: slope and intercept, to one place; lowered: how far a rise moves the block off its line."""
+    return F.round(slope, 1), F.round(y - lowered - slope * x, 1)
 
 
 def spacing(gap: Column, basis: Column, tab_width: float | None = None) -> Column:

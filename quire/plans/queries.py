@@ -85,9 +85,9 @@ def scaled(column: Column) -> Column:
 
 @query("select doc_id, cast(length(hex(text)) as bigint) n_hex, md5(lower(hex(text))) hex_md5, md5(text) text_md5 from documents")
 def hex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hexed = F.lower(F.hex(F.encode("text", "UTF-8")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", hexed.alias("hexed"))
-    return docs.select("doc_id", big(F.length("hexed")).alias("n_hex"), F.md5("hexed").alias("hex_md5"), F.md5(F.unhex("hexed")).alias("text_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", codecs.encode_streams(F.encode("text", "UTF-8"), ["ASCIIHexDecode"]).alias("raw"))
+    docs = docs.select("doc_id", F.rtrim(F.decode("raw", "UTF-8"), F.lit(">")).alias("hexed"), codecs.decode_streams(F.col("raw"), F.array(F.lit("ASCIIHexDecode"))).alias("got"))
+    return docs.select("doc_id", big(F.length("hexed")).alias("n_hex"), F.md5("hexed").alias("hex_md5"), F.md5("got.data").alias("text_md5"))
 
 
 def round_trip(spark: SparkSession, sf_dir: str, filters: list[str], params: list | None = None) -> DataFrame:
@@ -218,10 +218,25 @@ def xref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.rtrim(F.translate("line", "\r\n", "")).alias("line"), "f.position", big("f.generation").alias("generation"), "f.in_use")
 
 
-@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) where n = 1")
+@query("select l_orderkey, cast(2 + l_partkey % 3 as bigint) obj_no, max(l_linenumber)::bigint as value, count(*)::bigint n_entries from lineitem group by all")
 def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(newest).select("user_id", "e.*")
+    """A file for each order, with a revision for each of its lines, which overwrites one of three objects."""
+
+    @F.pandas_udf("binary")
+    def made(lines: pd.Series) -> pd.Series:
+        def one(rows) -> bytes:
+            content = writer.file_bytes({1: {"Type": "Catalog"}})
+            for row in rows:
+                content = writer.file_bytes({row["obj_no"]: row["line"]}, before=content)
+            return content
+
+        return lines.map(one)
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("int").alias("line"), F.expr("cast(2 + l_partkey % 3 as int)").alias("obj_no")).alias("row"))
+    orders = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # an order has a few lines
+    scanned = files.scan_files(orders.select(F.col("l_orderkey").cast("string").alias("path"), made("rows").alias("content")))
+    found = scanned.select("path", F.inline("objects"), F.col("xref").alias("entries")).where("obj_no > 1")
+    return found.select(big("path").alias("l_orderkey"), big("obj_no").alias("obj_no"), big("value").alias("value"), big(F.size(F.filter("entries", lambda x: x["obj_no"] == F.col("obj_no")))).alias("n_entries"))
 
 
 @query("select l_orderkey, l_linenumber, cast(1 as bigint) kind, l_orderkey as a, cast(l_linenumber as bigint) b from lineitem")
@@ -260,8 +275,8 @@ def file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     content = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), made("c_custkey", "c_name", "c_nationkey").alias("content"))
     scanned = files.scan_files(content)
-    return files.documents(scanned.withColumn("error", (F.array_max(F.transform("xref", lambda x: x["revision"])) + 1).cast("string"))).select(
-        big("path").alias("c_custkey"), big("error").alias("n_revisions"), F.get_json_object("info", "$.Title.text").alias("title"), big(F.get_json_object("info", "$.Nation")).alias("nation")
+    return files.documents(scanned).select(
+        big("path").alias("c_custkey"), big("n_revisions").alias("n_revisions"), F.get_json_object("info", "$.Title.text").alias("title"), big(F.get_json_object("info", "$.Nation")).alias("nation")
     )
 
 
@@ -533,7 +548,8 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select l_orderkey, cast(round(round(l_partkey / 7.0::double, 1) * 10) as bigint) intercept, count(*) n, string_agg(l_linenumber::varchar, ',' order by l_linenumber) blocks from lineitem group by 1, 2")
 def line_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.round(F.col("l_partkey") / 7.0, 1) * 10).cast("bigint").alias("intercept"))
+    _, intercept = layout.line_ids(F.lit(0.0), F.lit(0.0), F.col("l_partkey") / 7.0, F.lit(0.0))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(intercept * 10).cast("bigint").alias("intercept"))
     return rows.groupBy("l_orderkey", "intercept").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("blocks"))
 
 

@@ -226,13 +226,13 @@ def scan_files(files: DataFrame) -> DataFrame:
 
 
 def documents(scanned: DataFrame) -> DataFrame:
-    """path, version (the catalog's, if it has one), size, root_obj, info, file_id (tagged JSON), encrypted, n_objects and error of each file."""
+    """path, version (the catalog's, if it has one), size, root_obj, info, file_id (tagged JSON), encrypted, n_objects, n_revisions and error of each file."""
     trailer = lambda key: F.get_json_object("trailer", f"$.{key}")
     root = trailer("Root.n").cast("int")
     catalog = F.get(F.filter("objects", lambda o: o["obj_no"] == root), F.lit(0))["value"]
     info = F.get(F.filter("objects", lambda o: o["obj_no"] == trailer("Info.n").cast("int")), F.lit(0))["value"]
     version = F.coalesce(F.get_json_object(catalog, "$.Version.v"), F.col("version"))
-    return scanned.select("path", version.cast("decimal(3,1)").alias("version"), trailer("Size").cast("int").alias("size"), root.alias("root_obj"), info.alias("info"), trailer("ID").alias("file_id"), F.coalesce(F.col("trailer").like('%"Encrypt"%'), F.lit(False)).alias("encrypted"), F.size("objects").alias("n_objects"), "error")
+    return scanned.select("path", version.cast("decimal(3,1)").alias("version"), trailer("Size").cast("int").alias("size"), root.alias("root_obj"), info.alias("info"), trailer("ID").alias("file_id"), F.coalesce(F.col("trailer").like('%"Encrypt"%'), F.lit(False)).alias("encrypted"), F.size("objects").alias("n_objects"), F.coalesce(F.array_max(F.transform("xref", lambda x: x["revision"])) + 1, F.lit(0)).alias("n_revisions"), "error")
 
 
 def xref(scanned: DataFrame) -> DataFrame:
