@@ -3,7 +3,7 @@
 A sequence has residual tokens, document count and attention cost (sum of squared lengths). Pieces are taken longest
 first; of the open sequences that can take a piece under every constraint, the one with the least weighted residual
 norm after it, or the greatest weighted dot product with it, gets it. Pieces are dealt by hash into shards of
-about SHARD pieces, each packed in a task of its own: only a shard's last sequences stay unfilled.
+about SHARD_SEQUENCES sequences, each packed in a task of its own: only a shard's last sequences stay unfilled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import map_batches, materialize
 TOKENS, DOCUMENTS, END_ID = 4096, 4096, 1
 #: Weights of tokens, document count and attention cost in the score.
 WEIGHTS = (1.0, 0.001, 0.001)
-SHARD = 4096
+#: A shard's tokens, as full sequences, and its most pieces: at least that many short texts share few unfilled sequences.
+SHARD_SEQUENCES, SHARD_PIECES = 512, 65_536
 #: Bytes of words and ids, with what Python adds to each, that a task keeps.
 CACHE_BYTES, EACH = 48 << 20, 200
 #: Fixed values, for texts of this alphabet only: there lower case and normal form are simple, and these are the words.
@@ -136,7 +137,8 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, at
     empty result. Other columns stay.
     """
     pieces = materialize(pieces)
-    shards = max(1, -(-pieces.count() // SHARD))
+    count, held = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    shards = max(1, -(-count // SHARD_PIECES), -(-held // (SHARD_SEQUENCES * tokens)))
     capacity = (float(tokens), float(documents), float(tokens) ** 2 if attention is None else float(attention))
 
     def fill(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
@@ -149,5 +151,10 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, at
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Pieces of docs (doc_id, text), with the sequence and offset of each. A null text is an empty one: the end id alone."""
+    """Pieces of docs (doc_id, text), with the sequence and offset of each.
+
+    A null or empty text is the end id alone. Texts are read whole, however long: what is over a sequence is cut into
+    pieces. Repeated rows and null ids are packed each on its own; ties go by doc_id and piece; other columns are left
+    aside; an empty table gives an empty result.
+    """
     return pack(pieces_of(docs, path))
