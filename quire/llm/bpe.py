@@ -174,7 +174,8 @@ def loaded(path: str) -> Bpe:
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of each row of docs (doc_id, text), by the vocabulary file at path.
 
-    A null or empty text has no ids. Repeated rows come back as often as given; other columns are left aside.
+    A null or empty text has no ids. Texts are encoded whole, however long; of equal ranks the leftmost pair merges first.
+    Repeated rows come back as often as given; other columns are left aside; an empty table gives an empty result.
     """
     return _encode(docs, path, "doc_id long, ids array<long>", lambda _, ids: [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))])
 
@@ -191,7 +192,10 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and hashes of the ids and of the text decoded from them: for corpora whose ids need not be kept."""
+    """doc_id, n_tokens, and hashes of the ids and of the text decoded from them: for corpora whose ids need not be kept.
+
+    Rows are treated as bpe_encode says; a null text has 0 tokens and the hashes of empty ones.
+    """
 
     def digest(model: Bpe, ids: list[np.ndarray]) -> list[pa.Array]:
         sha = lambda b: hashlib.sha256(b).hexdigest()

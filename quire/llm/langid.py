@@ -143,8 +143,8 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) for each row of docs.
 
     docs needs doc_id and text; other columns are left aside. A text that is null or without a letter gets `und` and 0,
-    as does every text if nothing was learned. Repeated rows come back as often as given. Ties between languages
-    go to the first name.
+    as does every text if nothing was learned. Texts are read whole, however long. Repeated rows come back as often as
+    given. Ties between languages go to the first name. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # PLACES weights for each duel
 
@@ -158,7 +158,11 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = KNOWN) -> DataFrame:
-    """docs, all columns and repeated rows, without the documents of no language (`und`) or of a score below least."""
+    """docs, all columns and repeated rows, without the documents of no language (`und`) or of a score below least.
+
+    Texts that are null, empty or without a letter go, as no language is theirs; null ids make no difference; long texts
+    are read whole; an empty table gives an empty one.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,6 +239,13 @@ def test_packing_holds_every_token_once(spark, data, awkward, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_of_short_texts_fills_its_sequences(spark):
+    """Shards go by tokens: many short texts leave about one sequence a shard unfilled."""
+    rows = spark.range(30_000).selectExpr("id doc_id", "0 piece", "0L start", "5 + id % 11 length", "id ids_crc32")
+    got = packing.pack(rows).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.expr("offset + length")).alias("end")).collect()
+    assert all(r.n == r.end <= packing.TOKENS for r in got) and len(got) <= math.ceil(sum(r.n for r in got) / packing.TOKENS) + 1
+
+
 def test_packing_keeps_every_capacity():
     lengths = np.random.default_rng(2).integers(1, 75, 400)
     for rule in ("norm", "dot"):
@@ -380,6 +387,41 @@ def test_languages_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in got if r.held_out and truth[r.doc_id]]) > 0.97
 
 
+def language_by_hand(model, text):
+    """Family, then language, by counting every n-gram and every duel."""
+    b, counts = b" " + text.lower().encode() + b" ", Counter()
+    for n, above, factor in ((1, 0, 0x9E3779B1), (2, 1 << 25, 0x85EBCA6B), (3, 1 << 26, 0xC2B2AE35)):
+        for i in range(len(b) - n + 1):
+            counts[((int.from_bytes(b[i : i + n], "big") + above) * factor % (1 << 32)) >> 19] += 1
+    size = math.sqrt(sum(counts.values()))
+    value = {k: math.sqrt(n) / size for k, n in counts.items()}
+
+    def winner(names):
+        margin = {}
+        for x, y in combinations(names, 2):
+            w = model.pair[x, y]
+            margin[x, y] = sum(w[k] * v for k, v in value.items()) + w[-1]
+            margin[y, x] = -margin[x, y]
+        wins = {x: sum(m > 0 for (a, _), m in margin.items() if a == x) for x in names}
+        best = max(sorted(names), key=lambda x: (wins[x], sum(m for (a, _), m in margin.items() if a == x)))
+        closest = min((m for (a, _), m in margin.items() if a == best), default=None)
+        return best, 1.0 if closest is None else 1 / (1 + math.exp(-4 * closest))
+
+    family, sure = winner(sorted(model.families))
+    language, also = winner(model.families[family])
+    return language, sure * also
+
+
+def test_languages_equal_duels_by_hand(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = queries.language_model(spark, data)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_language(docs, model).collect()}
+    texts = [r for r in docs.collect() if r.text][:60]
+    for r in texts:
+        language, score = language_by_hand(model, r.text)
+        assert got[r.doc_id][0] == language and abs(got[r.doc_id][1] - score) < 1e-6
+
+
 def test_languages_on_awkward_rows(spark, awkward, empty):
     learned = spark.createDataFrame([(i, t, lang) for i in range(20) for t, lang in (("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("x", None), (None, "fr"))], "doc_id long, text string, lang string")
     model = langid.fit(learned)
