@@ -233,6 +233,7 @@ def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lines.map(one)
 
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("int").alias("line"), F.expr("cast(2 + l_partkey % 3 as int)").alias("obj_no")).alias("row"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # small rows, much work: not to be coalesced
     orders = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # an order has a few lines
     scanned = files.scan_files(orders.select(F.col("l_orderkey").cast("string").alias("path"), made("rows").alias("content")))
     found = scanned.select("path", F.inline("objects"), F.col("xref").alias("entries")).where("obj_no > 1")
