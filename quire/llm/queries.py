@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, fingerprints, langid, lm_score, packing, secret_scan, toxicity, url_filter
+from . import audit, bpe, embed_dedup, fingerprints, langid, licenses, lm_score, packing, periodic, secret_scan, toxicity, url_filter
 from .ngram_join import ngram_jaccard_join
+from .oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +77,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(lm_score.marked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_digest(periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), audit.quality_conditions(F.col("text")), duplicate="E")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_url_filter, op3_fingerprints, op4_embedding_dedup, op5_best_fit_packing, op6_secret_scan, op7_toxicity, op8_bpe, op9_language_id, op10_lm_score)
+    for f in (op1_ngram_jaccard_join, op2_url_filter, op3_fingerprints, op4_embedding_dedup, op5_best_fit_packing, op6_secret_scan, op7_toxicity, op8_bpe, op9_language_id, op10_lm_score, op11_periodic_runs, op12_license_scan, op13_filter_audit)
 }
-ORACLES: dict[str, str] = {}
