@@ -108,7 +108,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, conditions: dict[str, Colum
     """The report over docs (doc_id, text, part), one row for each value of part (null: empty), order and step, zeros included.
 
     Names of filters are single letters; see failure_masks for rows that are null, repeated or without doc_id. Texts
-    count whole, however long. Labels that repeat a doc_id count once, those of other documents not at all. Other columns may
+    count whole, however long. Labels that repeat a doc_id count once, those of other documents not at all, and a row without doc_id has none. Other columns may
     have any name. An empty table has no parts and gives an empty result.
     """
     names = "".join([*conditions, *([duplicate] if duplicate else [])])

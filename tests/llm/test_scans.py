@@ -185,7 +185,7 @@ def test_licenses_on_awkward_rows(awkward):
 
 def audit_by_hand(rows, labels):
     """One filter after the other, on the rows themselves."""
-    good, toxic = ({d for d, q, t in labels if (q, t)[i] == 1} for i in (0, 1))
+    good, toxic = ({d for d, q, t in labels if d is not None and (q, t)[i] == 1} for i in (0, 1))
     first = {}
     for d, t, _ in rows:
         if d is not None:
