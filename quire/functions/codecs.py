@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a stream may have after decoding: a guard against streams made to exhaust memory.
@@ -276,6 +276,23 @@ def encode_streams(data: Column, filters: list[str], params: list[dict | None] |
     return run(data)
 
 
+def register_sql(spark: SparkSession) -> None:
+    """Makes decode_stream(raw, filters) callable from SQL, with the filters that are registered by now: binary, null where it cannot be decoded."""
+    known = dict(FILTERS)
+
+    @F.pandas_udf("binary")
+    def decode_stream(raws: pd.Series, names: pd.Series) -> pd.Series:
+        def one(data: bytes | None, chain: list | None) -> bytes | None:
+            try:
+                return None if data is None else decode(bytes(data), list(chain) if chain is not None else [], None, known)
+            except (FilterError, ValueError, IndexError):
+                return None
+
+        return pd.Series([one(*x) for x in zip(raws, names, strict=True)], dtype=object)
+
+    spark.udf.register("decode_stream", decode_stream)
+
+
 def filter_status(name: Column) -> Column:
     """`known` if a filter of that name is registered, else `unsupported`."""
     return F.when(name.isin(*FILTERS, *SHORT), "known").otherwise("unsupported")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.syntax import PDFDOC_FROM, PDFDOC_TO
@@ -77,6 +77,44 @@ def glyph_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted({(glyph_name(t), t) for table in tables().values() for t in table.values()}), "glyph string, text string")
 
 
+def base_tables(spark: SparkSession) -> DataFrame:
+    """encoding, and glyphs and texts as arrays of 256 by code: four rows."""
+    by_code = lambda table, of: [of(table[c]) if c in table else None for c in range(256)]
+    return spark.createDataFrame([(e, by_code(t, glyph_name), by_code(t, str)) for e, t in tables().items()], "encoding string, glyphs array<string>, texts array<string>")
+
+
+def read_glyph_list(spark: SparkSession, path: str) -> DataFrame:
+    """glyph and text of the glyph list files at path, see glyph_lines."""
+    return glyph_lines(spark.read.text(path).select(F.col("value").alias("line")))
+
+
+def glyph_lines(lines: DataFrame) -> DataFrame:
+    """glyph and text of lines (line) such as `Aacute;00C1` or `lamvav;05DC 05D5`: a name and UTF-16 units of four hex digits. Lines that start with # are comments, others that do not fit are left out; of a name's texts the least counts."""
+    units = F.replace(F.regexp_extract("line", r"^[^#;][^;]*;\s*((?:[0-9A-Fa-f]{4}\s*)+)$", 1), F.lit(" "), F.lit(""))
+    rows = lines.select(F.trim(F.substring_index("line", ";", 1)).alias("glyph"), F.regexp_replace(units, r"\s", "").alias("units")).where("units <> ''")
+    return rows.groupBy("glyph").agg(F.min(F.decode(F.unhex("units"), "UTF-16BE")).alias("text"))
+
+
+def numbered_glyph(glyph: Column) -> Column:
+    """The text of a glyph that is named by number: `uni` and UTF-16 units of four hex digits, or `u` and a code point of four to six; null if neither."""
+    units, point = F.regexp_extract(glyph, "^uni((?:[0-9A-F]{4})+)$", 1), F.regexp_extract(glyph, "^u([0-9A-F]{4,6})$", 1)
+    wide = F.lpad(point, 8, "0")
+    return F.when(units != "", F.decode(F.unhex(units), "UTF-16BE")).when((point != "") & (wide <= "0010FFFF"), F.decode(F.unhex(wide), "UTF-32"))
+
+
+def glyph_texts(rows: DataFrame, by: list[str], listed: DataFrame) -> DataFrame:
+    """rows (by, one row each, and glyph) with text: what the glyph's name says.
+
+    What follows the first dot is a variant's mark; the rest are names joined by `_`, each looked up in listed (glyph,
+    text), else read as a number. The texts are joined; text is null if no part has one.
+    """
+    names = F.split(F.regexp_extract("glyph", r"^[^.]*", 0), "_")
+    parts = rows.select(*by, F.posexplode(names).alias("_at", "_name")).join(listed.select(F.col("glyph").alias("_name"), F.col("text").alias("_listed")), "_name", "left")
+    said = parts.withColumn("_text", F.coalesce("_listed", numbered_glyph(F.col("_name")))).where("_text is not null")
+    texts = said.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda p: p["_text"]), "").alias("text"))
+    return rows.join(texts, by, "left")
+
+
 def char_codes(encoded: DataFrame) -> DataFrame:
     """encoding, glyph and code: the other way round, the lowest code of each glyph of rows (encoding, code, glyph)."""
     return encoded.groupBy("encoding", "glyph").agg(F.min("code").alias("code"))

@@ -120,3 +120,13 @@ def encode_literal(text: Column | str) -> Column:
 
 def encode_xref(position: Column | str, generation: Column | str, in_use: Column | str) -> Column:
     return F.format_string("%010d %05d %s\r\n", col(position), col(generation), F.when(col(in_use), "n").otherwise("f"))
+
+
+def encode_boolean(value: Column | str) -> Column:
+    """true, false, or null for null."""
+    return F.coalesce(col(value).cast("string"), F.lit("null"))
+
+
+def encode_real(value: Column | str) -> Column:
+    """A number with at most six places and no zeros at the end; null for null."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", col(value).cast("double")), "0+$", ""), "[.]$", ""), F.lit("null"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -112,6 +112,19 @@ def content_ops(contents: DataFrame, *keys: str) -> DataFrame:
     return ops
 
 
+def register_sql(spark: SparkSession) -> None:
+    """Makes content_ops callable from SQL, as a table function of a content stream: `select * from content_ops(x'...')` or `lateral content_ops(t.content)`. Opcodes registered by now come as what they act as."""
+    acting = {code: other for code, (_, other) in _registered.items() if other}
+
+    class ContentOps:
+        def eval(self, content: bytes) -> Iterator[tuple]:
+            for row in content_rows(None if content is None else bytes(content)):
+                parts = [(p["hex"], p["move"]) for p in row["parts"]]
+                yield row["op_idx"], row["sub_idx"], acting.get(row["opcode"], row["opcode"]), row["nums"], row["name"], parts, row["operands"], row["ctm"], row["error"]
+
+    spark.udtf.register("content_ops", F.udtf(ContentOps, returnType=OPS))
+
+
 def expand_ops(ops: DataFrame) -> DataFrame:
     """ops with `'` as T* and Tj, `"` as Tw, Tc, T* and Tj, and TD as TL and Td; sub_idx orders what one op has become."""
     none, no_parts = F.array().cast("array<double>"), F.array().cast("array<struct<hex: string, move: double>>")
@@ -158,14 +171,19 @@ def runs(ops: DataFrame, fonts: DataFrame, by: list[str], fixed_width: bool = Tr
     x1, _ = apply_matrix(m, F.col("end"), F.lit(0.0))
     text = F.array_join(F.transform("codes", lambda c: F.coalesce(F.get("texts", c), F.char(c))), "")
     slope = F.when(m[0] != 0, m[1] / m[0]).otherwise(0.0)
-    height = F.when(F.col("tl") != 0, F.col("tl")).otherwise(F.coalesce("cap_height", F.lit(0.0)))
-    lowered = F.when(F.col("rise") <= -height, F.col("rise")).otherwise(0.0)
+    lowered = off_line(F.col("rise"), F.col("tl"), F.col("cap_height"))
     parts = parts.select("*", text.alias("text"), x0.alias("x0"), x1.alias("x1"), y.alias("y"), slope.alias("slope"))
     basis = F.col("avg_width" if fixed_width else "space_width") / 1000 * F.col("fs") * F.col("th") * m[0]
     slope, intercept = line_ids(F.col("slope"), F.col("x0"), F.col("y"), lowered)
     return parts.where("codes is not null").select(*by, *order, "part_idx", "text", "x0", "x1", "y", slope.alias("slope"), intercept.alias("intercept"), basis.alias("basis"))
 
 
+def off_line(rise: Column, leading: Column, cap_height: Column) -> Column:
+    """How far a rise moves a block off its line: all of it if it goes down by a line's height (the leading, or without one the capitals' height) or more, else not at all."""
+    height = F.when(leading != 0, leading).otherwise(F.coalesce(cap_height, F.lit(0.0)))
+    return F.when(rise <= -height, rise).otherwise(0.0)
+
+
 def line_ids(slope: Column, x: Column, y: Column, lowered: Column | float = 0.0) -> tuple[Column, Column]:
     """What blocks of one line share: slope and intercept, to one place; lowered: how far a rise moves the block off its line."""
     return F.round(slope, 1), F.round(y - lowered - slope * x, 1)

@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import decode_streams
-from ..functions.encodings import base_encodings, glyph_list
-from ..sources.files import documents, resolve
-from .tree import flatten, numbered
-
-_REFS = "array<struct<t: string, n: int, g: int>>"
-
-
-def field(key: str, value: str | Column = "value") -> Column:
-    return F.get_json_object(value, f"$.{key}")
-
+from ..functions.encodings import base_encodings, base_tables, glyph_list, glyph_texts
+from ..functions.values import name, numbers, part, ref_number, text
+from ..sources.files import Scanned, catalogs, resolve, resolve_inside
+from ..sources.metrics import standard_name
+from .tree import cut, flatten, numbered
 
 def page_boxes(pages: DataFrame) -> DataFrame:
     """pages (mediabox, cropbox, bleedbox, trimbox, artbox, rotate) with the defaults filled in."""
@@ -23,43 +18,40 @@ def page_boxes(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"cropbox": crop, **{c: F.coalesce(F.col(c), crop) for c in ("bleedbox", "trimbox", "artbox")}, "rotate": F.coalesce("rotate", F.lit(0))})
 
 
+BOXES = ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox")
+
+
 def page_nodes(objects: DataFrame) -> DataFrame:
-    """Nodes of the page trees: path, obj_no, type, kids and a node's own attributes, which may stand in objects of their own."""
-    rows = objects.where("type in ('Pages', 'Page') or value like '%\"Kids\"%'").withColumn("kids_json", field("Kids"))
-    rows = resolve(rows, "kids_json", objects, "kids_json")
-    kids = F.transform(F.from_json("kids_json", _REFS), lambda k: k["n"])
-    names = ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox", "Rotate")
-    # Few attributes are references: those alone are looked up, in one join for all names.
-    point = F.array_compact(F.array(*(F.when(field("t", field(k)) == "ref", F.struct(F.lit(k).alias("name"), field("n", field(k)).cast("int").alias("to"))) for k in names)))
-    refs = rows.select("path", F.col("obj_no").alias("of"), F.inline(point))
-    targets = objects.select("path", F.col("obj_no").alias("to"), F.col("value").alias("found"))
-    given = refs.join(targets, ["path", "to"]).groupBy("path", F.col("of").alias("obj_no")).agg(F.map_from_entries(F.collect_list(F.struct("name", "found"))).alias("given"))
-    rows = rows.join(given, ["path", "obj_no"], "left")
-    direct = lambda key: F.coalesce(F.try_element_at("given", F.lit(key)), field(key))
-    box = lambda key: F.from_json(direct(key), "array<double>").alias(key.lower())
+    """Nodes of the page trees: path, obj_no, type, kids and a node's own attributes. Kids, boxes and rotation may be references, and so may the numbers of a box."""
+    rows = objects.where(F.col("type").isin("Pages", "Page") | part("value", "Kids").isNotNull())
+    rows = rows.select("path", "obj_no", "type", *(part("value", k).alias(k) for k in ("Kids", "Rotate", *BOXES, "Resources", "Contents")))
+    rows = resolve_inside(rows, ["path", "obj_no"], {"Rotate": "int"} | dict.fromkeys(BOXES, "array<double>"), objects)
+    rows = resolve(rows, "Kids", objects, "Kids")
+    kids = F.transform(F.try_variant_get("Kids", "$", "array<variant>"), ref_number)
+    is_node = (F.col("type") == "Pages") | F.col("Kids").isNotNull()
     return rows.select(
-        "path", "obj_no", "type", F.when((F.col("type") == "Pages") | F.col("kids_json").isNotNull(), F.coalesce(kids, F.array().cast("array<int>"))).alias("kids"),
-        field("Resources").alias("resources"), direct("Rotate").try_cast("int").alias("rotate"), field("Contents").alias("contents"), *map(box, names[:5]),
+        "path", "obj_no", "type", F.when(is_node, F.coalesce(F.array_compact(kids), F.array().cast("array<int>"))).alias("kids"),
+        F.col("Resources").alias("resources"), F.col("Rotate_plain").alias("rotate"), F.col("Contents").alias("contents"), *(numbers(b).alias(b.lower()) for b in BOXES),
     )
 
 
-def pages(scanned: DataFrame, objects: DataFrame) -> DataFrame:
+def pages(scanned: Scanned, objects: DataFrame) -> DataFrame:
     """path, page_index, obj_no, resources, boxes, rotate and contents of each page, in the order of its file's page tree."""
-    nodes = page_nodes(objects)
-    catalogs = documents(scanned).join(objects.select("path", "obj_no", "value"), ["path"]).where("obj_no = root_obj")
-    roots = catalogs.select(F.col("path").alias("tree"), field("Pages.n").cast("int").alias("node"))
+    nodes = cut(page_nodes(objects))
+    roots = catalogs(scanned, objects).select(F.col("path").alias("tree"), ref_number(part("catalog", "Pages")).alias("node")).where("node is not null")
     inherited = ("resources", "mediabox", "cropbox", "rotate")
     leaves = numbered(flatten(nodes.select(F.col("path").alias("tree"), F.col("obj_no").alias("node"), "kids", *inherited), roots, inherited))
     own = nodes.select("path", "obj_no", "contents", "bleedbox", "trimbox", "artbox")
     found = leaves.select(F.col("tree").alias("path"), "page_index", F.col("node").alias("obj_no"), *inherited).join(own, ["path", "obj_no"])
-    return page_boxes(found)
+    return cut(page_boxes(found))
 
 
 def page_contents(pages: DataFrame, objects: DataFrame) -> DataFrame:
     """path, page_index and content of each page: its decoded streams in order, a line end between them; empty if it has none. error: why one could not be decoded."""
     rows = resolve(pages.select("path", "page_index", "contents"), "contents", objects.where("stream is null").select("path", "obj_no", "value"), "listed")
-    listed = F.when(F.col("listed").startswith("["), F.from_json("listed", _REFS)).otherwise(F.array(F.from_json("contents", "struct<t: string, n: int, g: int>")))
-    parts = rows.select("path", "page_index", F.posexplode_outer(listed).alias("stream_pos", "ref")).select("path", "page_index", "stream_pos", F.col("ref.n").alias("obj_no"))
+    # A reference to a stream resolves to nothing here, and stands for itself.
+    listed = F.coalesce(F.transform(F.try_variant_get("listed", "$", "array<variant>"), ref_number), F.array(ref_number("contents")))
+    parts = rows.select("path", "page_index", F.posexplode_outer(listed).alias("stream_pos", "obj_no"))
     streams = objects.where("stream is not null").select("path", "obj_no", "stream", "filters", "params")
     found = parts.join(streams, ["path", "obj_no"], "left").withColumn("decoded", decode_streams(F.col("stream"), F.col("filters"), F.col("params")))
     ordered = F.array_sort(F.collect_list(F.struct("stream_pos", F.hex("decoded.data").alias("hex"))))
@@ -69,19 +61,24 @@ def page_contents(pages: DataFrame, objects: DataFrame) -> DataFrame:
 def page_fonts(pages: DataFrame, objects: DataFrame) -> DataFrame:
     """path, page_index, name and font_obj of the fonts that pages can use."""
     rows = resolve(pages.select("path", "page_index", "resources"), "resources", objects, "resources")
-    rows = resolve(rows.withColumn("listed", field("Font", "resources")), "listed", objects, "listed")
-    return rows.select("path", "page_index", F.explode(F.from_json("listed", "map<string, struct<t: string, n: int>>")).alias("name", "font")).select("path", "page_index", "name", F.col("font.n").alias("font_obj"))
+    rows = resolve(rows.select("path", "page_index", part("resources", "Font").alias("listed")), "listed", objects, "listed")
+    fonts = rows.select("path", "page_index", F.explode(F.try_variant_get("listed", "$", "map<string, variant>")).alias("name", "font"))
+    return fonts.select("path", "page_index", "name", ref_number("font").alias("font_obj"))
 
 
 def fonts(objects: DataFrame) -> DataFrame:
-    """path, font_obj, subtype, base_font, first_char, last_char, widths, missing_width, cap_height, char_set (names of an embedded subset's glyphs), base_encoding, differences and supported."""
-    rows = objects.where("type = 'Font'").select("path", F.col("obj_no").alias("font_obj"), "subtype", field("BaseFont.v").alias("base_font"), field("FirstChar").try_cast("int").alias("first_char"), field("LastChar").try_cast("int").alias("last_char"), field("Widths").alias("widths"), field("Encoding").alias("encoding"), field("FontDescriptor").alias("descriptor"))
-    for c in ("widths", "encoding", "descriptor"):
-        rows = resolve(rows, c, objects, c)
-    base = F.coalesce(F.when(field("t", "encoding") == "name", field("v", "encoding")), field("BaseEncoding.v", "encoding"), F.lit("StandardEncoding"))
+    """path, font_obj, subtype, base_font, first_char, last_char, widths, missing_width, cap_height, char_set (names of an embedded subset's glyphs), base_encoding, differences and supported. What a font names may stand in objects of their own, and so may each width."""
+    keys = {"FirstChar": "int", "LastChar": "int", "Widths": "array<double>", "Encoding": None, "FontDescriptor": None}
+    rows = objects.where("type = 'Font'").select("path", F.col("obj_no").alias("font_obj"), "subtype", text("value", "BaseFont.v").alias("base_font"), *(part("value", k).alias(k) for k in keys))
+    rows = resolve_inside(rows, ["path", "font_obj"], keys, objects)
+    # The entries of an encoding and a descriptor, themselves looked up by now, may hold lists.
+    entry = lambda c, key: F.try_element_at(f"{c}_entries", F.lit(key))
+    base = F.coalesce(name("Encoding"), name(entry("Encoding", "BaseEncoding")), F.lit("StandardEncoding"))
+    differences = F.transform(F.try_variant_get(entry("Encoding", "Differences"), "$", "array<variant>"), lambda x: F.coalesce(name(x), F.try_variant_get(x, "$", "string")))
+    as_number = lambda value, kind: F.try_variant_get(value, "$", kind)
     return rows.select(
-        "path", "font_obj", "subtype", "base_font", "first_char", "last_char", F.from_json("widths", "array<double>").alias("widths"), field("MissingWidth", "descriptor").try_cast("double").alias("missing_width"),
-        field("CapHeight", "descriptor").try_cast("double").alias("cap_height"), char_set(field("CharSet.text", "descriptor")).alias("char_set"), base.alias("base_encoding"), F.from_json(field("Differences", "encoding"), "array<string>").alias("differences"), F.coalesce(F.col("subtype").isin("Type1", "TrueType", "MMType1"), F.lit(False)).alias("supported"),
+        "path", "font_obj", "subtype", "base_font", F.col("FirstChar_plain").alias("first_char"), F.col("LastChar_plain").alias("last_char"), numbers("Widths").alias("widths"), as_number(entry("FontDescriptor", "MissingWidth"), "double").alias("missing_width"),
+        as_number(entry("FontDescriptor", "CapHeight"), "double").alias("cap_height"), char_set(text(entry("FontDescriptor", "CharSet"), "text")).alias("char_set"), base.alias("base_encoding"), differences.alias("differences"), F.coalesce(F.col("subtype").isin("Type1", "TrueType", "MMType1"), F.lit(False)).alias("supported"),
     )
 
 
@@ -90,32 +87,48 @@ def char_set(text: Column) -> Column:
     return F.filter(F.split(text, r"[/\s]+"), lambda x: x != "")
 
 
-def glyph_text(glyph: Column, listed: Column) -> Column:
-    """A glyph's text: as listed, else by its name: `uni` and UTF-16 units of four hex digits, or `u` and a code point of four to six; null if neither."""
-    units, point = F.regexp_extract(glyph, "^uni((?:[0-9A-F]{4})+)$", 1), F.regexp_extract(glyph, "^u([0-9A-F]{4,6})$", 1)
-    wide = F.lpad(point, 8, "0")
-    return F.coalesce(listed, F.when(units != "", F.decode(F.unhex(units), "UTF-16BE")), F.when((point != "") & (wide <= "0010FFFF"), F.decode(F.unhex(wide), "UTF-32")))
-
-
-def differences(rows: DataFrame, by: list[str], items: str = "differences") -> DataFrame:
-    """by, code and glyph of run-length lists: a number sets the code, and each name after it takes the code and moves it on. The last name of a code counts."""
+def listed_differences(rows: DataFrame, by: list[str], items: str = "differences") -> DataFrame:
+    """by, code, glyph and at (its place) of run-length lists: a number sets the code, and each name after it takes the code and moves it on. The last name of a code counts."""
     w = Window.partitionBy(*by).orderBy("at")
     listed = rows.select(*by, F.posexplode(items).alias("at", "item")).withColumn("number", F.col("item").try_cast("int"))
     listed = listed.withColumn("part", F.count("number").over(w))
     inside = Window.partitionBy(*by, "part").orderBy("at")
     coded = listed.withColumn("code", F.first("number").over(inside) + F.row_number().over(inside) - 2).where("number is null and code is not null")
-    name = F.coalesce(F.when(F.col("item").startswith("{"), F.get_json_object("item", "$.v")), F.col("item"))
-    return coded.groupBy(*by, F.col("code").cast("int").alias("code")).agg(F.max_by(name, "at").alias("glyph"))
+    return coded.groupBy(*by, F.col("code").cast("int").alias("code")).agg(F.max_by("item", "at").alias("glyph"), F.max("at").alias("at"))
+
+
+def differences(rows: DataFrame, by: list[str], items: str = "differences") -> DataFrame:
+    return listed_differences(rows, by, items).drop("at")
+
+
+def known_encoding(name: Column) -> Column:
+    """The name of a base encoding; an unknown one counts as the standard one."""
+    return F.when(name.isin("MacRomanEncoding", "WinAnsiEncoding", "PDFDocEncoding"), name).otherwise("StandardEncoding")
+
+
+def font_encodings(rows: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
+    """path, font_obj, glyphs and texts (arrays of 256, by code): each font's base encoding with its differences. glyphs: a glyph list (glyph, text) beyond the base encodings' glyphs."""
+    spark, font = rows.sparkSession, ["path", "font_obj"]
+    listed = glyph_list(spark) if glyphs is None else glyphs.unionByName(glyph_list(spark).join(glyphs, "glyph", "left_anti"))
+    own = glyph_texts(differences(rows.where("size(differences) > 0"), font).where("code between 0 and 255"), [*font, "code"], listed)
+    own = own.groupBy(*font).agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("glyph", "text")))).alias("own"))
+    found = rows.select(*font, known_encoding(F.col("base_encoding")).alias("encoding")).join(F.broadcast(base_tables(spark)), "encoding").join(own, font, "left")
+    overlaid = lambda c, of: F.when(F.col("own").isNull(), F.col(c)).otherwise(F.transform(c, lambda x, i: F.when(F.map_contains_key("own", i), F.try_element_at("own", i)[of]).otherwise(x)))
+    return found.select(*font, overlaid("glyphs", "glyph").alias("glyphs"), overlaid("texts", "text").alias("texts"))
+
 
+def glyph_codes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, glyph and code, the other way round: rows (by, base_encoding, differences) as an overlay keyed by glyph.
 
-def font_codes(rows: DataFrame) -> DataFrame:
-    """path, font_obj, code, glyph and text: each font's base encoding with its differences. An unknown base encoding counts as the standard one."""
-    spark = rows.sparkSession
-    base = F.broadcast(base_encodings(spark))  # under 1,000 rows
-    known = F.when(F.col("base_encoding").isin("MacRomanEncoding", "WinAnsiEncoding", "PDFDocEncoding"), F.col("base_encoding")).otherwise("StandardEncoding")
-    plain = rows.select("path", "font_obj", known.alias("encoding")).join(base, "encoding").select("path", "font_obj", "code", "glyph", "text")
-    own = differences(rows.where("size(differences) > 0"), ["path", "font_obj"]).join(F.broadcast(glyph_list(spark)), "glyph", "left").withColumn("text", glyph_text(F.col("glyph"), F.col("text")))
-    return plain.join(own.select("path", "font_obj", "code"), ["path", "font_obj", "code"], "left_anti").unionByName(own.select("path", "font_obj", "code", "glyph", "text"))
+    A glyph that the differences name has its code there, the last if they name it more than once; any other has the
+    lowest code of the base encoding that the differences leave to it.
+    """
+    coded = listed_differences(rows, by)
+    own = coded.groupBy(*by, "glyph").agg(F.max_by("code", "at").alias("code"))
+    base = F.broadcast(base_encodings(rows.sparkSession))  # under 1,000 rows
+    plain = rows.select(*by, known_encoding(F.col("base_encoding")).alias("encoding")).join(base, "encoding").select(*by, "glyph", "code")
+    plain = plain.join(coded.select(*by, "code"), [*by, "code"], "left_anti").groupBy(*by, "glyph").agg(F.min("code").alias("code"))
+    return own.unionByName(plain.join(own.select(*by, "glyph"), [*by, "glyph"], "left_anti").select(*by, "glyph", "code"))
 
 
 def glyph_width(code: Column, first: Column, last: Column, widths: Column, missing: Column, default: object = 0.0) -> Column:
@@ -137,17 +150,16 @@ COURIER_WIDTH, PLAIN_WIDTH = 600.0, 500.0
 
 
 def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Fonts (see fonts) with the widths and cap height that metrics (sources.metrics.font_metrics: under 1,000 fonts) has for their name, where they give none."""
-    known = F.broadcast(metrics.select(F.col("font").alias("base_font"), F.struct("first_char", "last_char", "widths").alias("m"), F.col("cap_height").alias("m_cap")))
-    rows, bare = rows.join(known, "base_font", "left"), F.col("widths").isNull()
-    return rows.withColumns({**{c: F.when(bare, F.coalesce(F.col(f"m.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("first_char", "last_char", "widths")}, "cap_height": F.coalesce("cap_height", "m_cap")}).drop("m", "m_cap")
+    """Fonts (see fonts) with what metrics (sources.metrics.font_metrics) has for their name, or the standard name that it stands for, where they give none: widths, cap height, glyphs."""
+    known = metrics.select(F.col("font").alias("_font"), F.struct("first_char", "last_char", "widths", "cap_height", "char_set").alias("m"))
+    rows, bare = rows.join(known, standard_name(F.col("base_font")) == F.col("_font"), "left"), F.col("widths").isNull()
+    return rows.withColumns({**{c: F.when(bare, F.coalesce(F.col(f"m.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("first_char", "last_char", "widths")}, **{c: F.coalesce(c, f"m.{c}") for c in ("cap_height", "char_set")}}).drop("m", "_font")
 
 
-def font_tables(rows: DataFrame) -> DataFrame:
-    """path, font_obj, texts and widths (arrays of 256, by code), avg_width, space_width, cap_height and supported of each font."""
-    codes = font_codes(rows).where("code between 0 and 255").groupBy("path", "font_obj").agg(F.map_from_entries(F.collect_list(F.struct("code", "text"))).alias("by_code"))
+def font_tables(rows: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
+    """path, font_obj, texts and widths (arrays of 256, by code), avg_width, space_width, cap_height and supported of each font. glyphs: see font_encodings."""
     default = F.when(F.col("base_font").startswith("Courier"), COURIER_WIDTH).when(F.col("widths").isNull(), PLAIN_WIDTH).otherwise(0.0)
     all_codes = F.sequence(F.lit(0), F.lit(255))
     widths = F.transform(all_codes, lambda c: glyph_width(c, F.coalesce("first_char", F.lit(0)), F.coalesce("last_char", F.lit(-1)), F.col("widths"), F.coalesce("missing_width", default)))
-    out = rows.join(codes, ["path", "font_obj"], "left").select("path", "font_obj", F.transform(all_codes, lambda c: F.try_element_at("by_code", c)).alias("texts"), widths.alias("widths"), "cap_height", "supported")
+    out = rows.join(font_encodings(rows, glyphs), ["path", "font_obj"]).select("path", "font_obj", "texts", widths.alias("widths"), "cap_height", "supported")
     return out.select("*", average_width(F.col("widths")).alias("avg_width"), F.get("widths", F.lit(32)).alias("space_width"))

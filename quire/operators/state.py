@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tree import cut
+
 
 def so_far(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,29 +74,51 @@ def text_cursor(ops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     ).drop("start", "e0", "f0")
 
 
+def frames(ops: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """ops (opcode) with depth (of q), and values as each op leaves them: each the last non-null of its expression that Q has not taken back.
+
+    A q opens a frame that ends at its Q, or never; a Q without a q changes nothing. Windows tell each op's frame (the last q at its
+    depth), what was set so far inside that frame, and what was set around a frame when it was opened. Frames without
+    a value look around themselves by pointer doubling: as many joins as the greatest depth has binary digits,
+    on a row a frame. null by columns make one sequence.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    delta = F.when(F.col("opcode") == "q", 1).when(F.col("opcode") == "Q", -1).otherwise(0)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = ops.select(*(F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)), F.struct("*").alias("_op"), (F.col("opcode") == "q").alias("_opens"), F.row_number().over(w).alias("_at"), F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"), *(v.alias(f"_{c}") for c, v in values.items()))
+    w = so_far(keys, ["_at"])
+    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    rows = rows.withColumn("_frame", F.coalesce(F.last(F.when(F.col("_opens"), F.col("_at")), ignorenulls=True).over(so_far([*keys, "depth"], ["_at"])), F.lit(0)))
+    rows = rows.withColumn("_frame", F.when(F.col("depth") == 0, 0).otherwise(F.col("_frame")))
+    inside = so_far([*keys, "_frame"], ["_at"])
+    named = [f"_{c}" for c in values]
+    rows = rows.select(*keys, "_op", "_at", "depth", "_opens", "_frame", *(F.last(c, ignorenulls=True).over(inside).alias(c) for c in named))
+    before = Window.partitionBy(*keys).orderBy("_at")
+    opened = rows.select(*keys, "_at", "_opens", "depth", F.coalesce(F.lag("_frame").over(before), F.lit(0)).alias("_top"), *(F.lag(c).over(before).alias(c) for c in named)).where("_opens")
+    opened = cut(opened.select(*keys, F.col("_at").alias("_frame"), "depth", "_top", *named))
+    left = opened.agg(F.max("depth")).first()[0] or 0
+    while left > 1:
+        up = opened.select(*keys, F.col("_frame").alias("_top"), F.col("_top").alias("_further"), *(F.col(c).alias(f"{c}_up") for c in named))
+        opened = opened.join(up, [*keys, "_top"], "left").select(*keys, "_frame", "depth", F.coalesce("_further", F.lit(0)).alias("_top"), *(F.coalesce(c, f"{c}_up").alias(c) for c in named))
+        opened = cut(opened)
+        left = (left + 1) // 2
+    around = opened.select(*keys, "_frame", *(F.col(c).alias(f"{c}_up") for c in named))
+    return rows.join(around, [*keys, "_frame"], "left").select("_op.*", "depth", *(F.coalesce(f"_{c}", f"_{c}_up").alias(c) for c in values))
+
+
 def graphics_state(ops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """ops (opcode, nums, name) with line_width, line_cap, line_join, miter_limit, dash_array, dash_phase, intent, flatness and depth (of q) after each op.
 
-    A Q gives back what was set at its q; a Q without a q changes nothing. What is set between a q and its Q belongs to a
-    frame: an op sees the frames around it, one row for each while this is worked out, and the innermost that has a value counts.
-    dash_array is the op's nums without the last, which is dash_phase.
+    A Q gives back what was set at its q, see frames. dash_array is the op's nums without the last, which is dash_phase.
     """
-    w = so_far(by, order)
-    rows = ops.select(F.struct("*").alias("_op"), *by, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_at"), F.sum(F.when(F.col("opcode") == "q", 1).when(F.col("opcode") == "Q", -1).otherwise(0)).over(w).alias("_sum"))
-    w = so_far(by, ["_at"])
-    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
-    seen = rows.select(*by, "_at", "_op", "depth", F.explode(F.sequence(F.lit(0).cast("bigint"), "depth")).alias("_level"))
-    own, op = F.col("depth") == F.col("_level"), F.col("_op.opcode")
-    seen = seen.withColumn("_frame", F.sum(F.when(own & (op == "q"), 1).otherwise(0)).over(so_far([*by, "_level"], ["_at"])))
-    frame, nums = so_far([*by, "_level", "_frame"], ["_at"]), F.col("_op.nums")
-    number = lambda key: F.when(own & (op == key), F.get(nums, F.lit(0)))
+    op, nums = F.col("opcode"), F.col("nums")
+    number = lambda key: F.when(op == key, F.get(nums, F.lit(0)))
     values = {out: (number(key), F.lit(default)) for key, out, default in (("w", "line_width", 1.0), ("J", "line_cap", 0.0), ("j", "line_join", 0.0), ("M", "miter_limit", 10.0), ("i", "flatness", 0.0))}
-    values["dash_array"] = F.when(own & (op == "d"), F.slice(nums, 1, F.greatest(F.size(nums) - 1, F.lit(0)))), F.array().cast("array<double>")
-    values["dash_phase"] = F.when(own & (op == "d"), F.element_at(nums, -1)), F.lit(0.0)
-    values["intent"] = F.when(own & (op == "ri"), F.col("_op.name")), F.lit("RelativeColorimetric")
-    seen = seen.select(*by, "_at", "_op", "depth", "_level", *(F.last(value, ignorenulls=True).over(frame).alias(f"_{out}") for out, (value, _) in values.items()))
-    best = seen.groupBy(*by, "_at").agg(F.first("_op").alias("_op"), F.first("depth").alias("depth"), *(F.max_by(f"_{out}", F.when(F.col(f"_{out}").isNotNull(), F.col("_level"))).alias(f"_{out}") for out in values))
-    return best.select("_op.*", *(F.coalesce(f"_{out}", default).alias(out) for out, (_, default) in values.items()), "depth")
+    values["dash_array"] = F.when(op == "d", F.slice(nums, 1, F.greatest(F.size(nums) - 1, F.lit(0)))), F.array().cast("array<double>")
+    values["dash_phase"] = F.when(op == "d", F.element_at(nums, -1)), F.lit(0.0)
+    values["intent"] = F.when(op == "ri", F.col("name")), F.lit("RelativeColorimetric")
+    found = frames(ops, by, order, {out: value for out, (value, _) in values.items()})
+    return found.withColumns({out: F.coalesce(out, default) for out, (_, default) in values.items()})
 
 
 def advance(widths: Column, codes: Column, fs: Column, tc: Column, tw: Column, th: Column) -> Column:

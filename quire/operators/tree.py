@@ -6,7 +6,6 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -36,12 +35,12 @@ def released() -> Iterator[None]:
             df.unpersist()
 
 
-#: After so many levels the lineage is cut.
-CUT = 4
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names; a local session without that setting gets a temporary folder."""
+    """df as a checkpoint, computed now: plans that read it several times stay small, and a lost executor costs nothing of it.
+
+    It lies in the folder that spark.checkpoint.dir names; a local session without that setting gets a temporary folder.
+    With spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes it when nothing refers to it any more.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -55,22 +54,26 @@ def flatten(nodes: DataFrame, roots: DataFrame, inherited: tuple[str, ...] = ())
     """The leaves below roots (tree, node), in order: tree, node, place (positions of children on the way) and inherited columns.
 
     nodes: tree, node, kids (array of nodes, null for a leaf) and the inherited columns, whose nearest non-null value
-    counts. One join on (tree, node) for each level of the deepest tree; a node that is its own ancestor is not followed again, so the levels come to an end.
+    counts. A node that several parents name stands below each of them; one that is its own ancestor is not followed again.
+
+    Pointer doubling: a row is a node with the way down to it from an ancestor, and a round puts the way to that
+    ancestor before it. So there are as many joins on (tree, node) as the depth of the deepest tree has binary digits,
+    and ways that lead to no root, or in a circle, come to an end.
     """
-    carried = [F.coalesce(F.col(f"n.{c}"), F.col(f"f.{c}")).alias(c) for c in inherited]
-    nothing = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in inherited]
-    front = roots.select("tree", "node", F.array().cast("array<int>").alias("place"), F.array().cast(f"array<{nodes.schema['node'].dataType.simpleString()}>").alias("seen"), *nothing)
-    leaves = None
-    for level in count(1):
-        met = front.alias("f").join(nodes.alias("n"), ["tree", "node"]).select("tree", "node", "place", F.array_append("seen", F.col("node")).alias("seen"), "n.kids", *carried)
-        met = held(met) if level % CUT else cut(met)
-        ends = met.where("kids is null").select("tree", "node", "place", *inherited)
-        leaves = ends if leaves is None else leaves.unionByName(ends)
-        front = met.where("kids is not null").select("tree", F.col("seen"), "place", *inherited, F.posexplode("kids").alias("at", "node")).where(~F.array_contains("seen", F.col("node")))
-        front = front.select("tree", "node", F.array_append("place", F.col("at")).alias("place"), "seen", *inherited)
-        if front.isEmpty():
-            break
-    return leaves
+    kind = nodes.schema["node"].dataType.simpleString()
+    own = nodes.select("tree", "node", F.col("kids").isNull().alias("leaf"), *inherited)
+    seen = F.array("node").cast(f"array<{kind}>").alias("seen")
+    tops = roots.select("tree", "node").join(own, ["tree", "node"]).select("tree", "node", "leaf", F.lit(None).cast(kind).alias("top"), F.array().cast("array<int>").alias("place"), seen, *inherited)
+    links = nodes.select("tree", F.col("node").alias("top"), F.posexplode("kids").alias("at", "node"))
+    ways = links.join(own, ["tree", "node"]).select("tree", "node", "leaf", "top", F.array("at").alias("place"), seen, *inherited)
+    ways = cut(tops.unionByName(ways))
+    while not ways.where("top is not null").isEmpty():
+        up = ways.where("not leaf").alias("u")
+        down = ways.where("top is not null").alias("d")
+        met = down.join(up, (F.col("d.tree") == F.col("u.tree")) & (F.col("d.top") == F.col("u.node")) & ~F.arrays_overlap("d.seen", "u.seen"))
+        longer = met.select("d.tree", "d.node", "d.leaf", "u.top", F.concat("u.place", "d.place").alias("place"), F.concat("u.seen", "d.seen").alias("seen"), *(F.coalesce(f"d.{c}", f"u.{c}").alias(c) for c in inherited))
+        ways = cut(ways.where("top is null").unionByName(longer))
+    return ways.where("leaf").select("tree", "node", "place", *inherited)
 
 
 def numbered(leaves: DataFrame, out: str = "page_index") -> DataFrame:

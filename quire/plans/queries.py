@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, scalars
-from ..functions.encodings import base_encodings, char_codes
+from ..functions import codecs, scalars, values
+from ..functions.encodings import base_encodings, char_codes, glyph_lines, glyph_texts, numbered_glyph
 from ..operators import layout, pages, state, tree
 from ..sources import files, metrics, writer
 from ..sources.syntax import SyntaxFault, value_at
@@ -34,8 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, if they come in fewer: a small table is one task, and Python's work on it would use one core."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def parsed(source: Column) -> Column:
-    """The first value in source (binary) as tagged JSON; null if it is malformed."""
+    """The first value in source (binary) as a variant; null if it is malformed."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
@@ -47,7 +53,7 @@ def parsed(source: Column) -> Column:
 
         return values.map(one)
 
-    return run(source)
+    return F.try_parse_json(run(source))
 
 
 def painted(text: Column, ends: bool = True) -> Column:
@@ -62,14 +68,15 @@ def painted(text: Column, ends: bool = True) -> Column:
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A one-page file for each document."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), writer.files_of(F.array("text")).alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), writer.files_of(F.array("text")).alias("content"))
 
 
-def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_files(spark: SparkSession, sf_dir: str, font: dict | None = None) -> DataFrame:
     """A file for each conversation, with a page for each turn."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda t: t["text"]).alias("texts"))
-    return grouped.select(F.col("conv_id").cast("string").alias("path"), writer.files_of(F.col("texts"), lambda t: writer.paint_lines(t, ends=False)).alias("content"))
+    grouped = spread(grouped)
+    return grouped.select(F.col("conv_id").cast("string").alias("path"), writer.files_of(F.col("texts"), lambda t: writer.paint_lines(t, ends=False), font).alias("content"))
 
 
 def big(column: Column | str) -> Column:
@@ -85,14 +92,14 @@ def scaled(column: Column) -> Column:
 
 @query("select doc_id, cast(length(hex(text)) as bigint) n_hex, md5(lower(hex(text))) hex_md5, md5(text) text_md5 from documents")
 def hex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", codecs.encode_streams(F.encode("text", "UTF-8"), ["ASCIIHexDecode"]).alias("raw"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", codecs.encode_streams(F.encode("text", "UTF-8"), ["ASCIIHexDecode"]).alias("raw"))
     docs = docs.select("doc_id", F.rtrim(F.decode("raw", "UTF-8"), F.lit(">")).alias("hexed"), codecs.decode_streams(F.col("raw"), F.array(F.lit("ASCIIHexDecode"))).alias("got"))
     return docs.select("doc_id", big(F.length("hexed")).alias("n_hex"), F.md5("hexed").alias("hex_md5"), F.md5("got.data").alias("text_md5"))
 
 
 def round_trip(spark: SparkSession, sf_dir: str, filters: list[str], params: list | None = None) -> DataFrame:
     """What is left of documents that went through encoders and decoders, and how long they were in between."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", codecs.encode_streams(F.encode("text", "UTF-8"), filters, params).alias("raw"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", codecs.encode_streams(F.encode("text", "UTF-8"), filters, params).alias("raw"))
     decoded = codecs.decode_streams(F.col("raw"), F.array(*map(F.lit, filters)), F.lit(json.dumps(params)) if params else None)
     docs = docs.select("doc_id", F.length("raw").alias("n_raw"), decoded.alias("got"))
     return docs.select("doc_id", big("n_raw").alias("n_raw"), big(F.length("got.data")).alias("n_bytes"), F.md5("got.data").alias("text_md5"))
@@ -146,17 +153,17 @@ def hex_string_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex(scalars.hex_string(digits)).alias("hexed"))
 
 
-@query("select doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: printf('%02X', ord(c))), '')) hex_md5, md5(text) text_md5 from documents where text <> ''")
+@query("select doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: printf('%02X', ord(c))), '')) hex_md5, md5(text) text_md5 from documents")
 def pdfdoc_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", scalars.pdfdoc_encode("text").alias("raw"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", scalars.pdfdoc_encode("text").alias("raw"))
     return docs.select("doc_id", F.md5(F.hex("raw")).alias("hex_md5"), F.md5(scalars.pdfdoc_decode("raw")).alias("text_md5"))
 
 
 @query(r"select conv_id, turn, cast(length(text) - length(regexp_replace(text, '[\\()\r\n]', '', 'g')) as bigint) n_escapes, md5(text) text_md5 from conversations")
 def literal_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", scalars.encode_literal("text").alias("written"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "text", scalars.encode_literal("text").alias("written"))
     value = parsed(F.encode("written", "ISO-8859-1"))
-    return turns.select("conv_id", "turn", big(F.length("written") - F.length("text") - 2).alias("n_escapes"), F.md5(F.get_json_object(value, "$.text")).alias("text_md5"))
+    return turns.select("conv_id", "turn", big(F.length("written") - F.length("text") - 2).alias("n_escapes"), F.md5(values.text(value, "text")).alias("text_md5"))
 
 
 @query("select doc_id, cast(2 * length(text) + 2 as bigint) n_bytes, md5(text) text_md5 from documents")
@@ -181,19 +188,19 @@ def number_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.create_map(F.lit("Key"), F.col("n_nationkey").cast("string"), F.lit("Name"), scalars.encode_literal("n_name"), F.lit("Region"), F.col("n_regionkey").cast("string"))
     rows = table(spark, sf_dir, "nation").select("n_nationkey", scalars.encode_dict(entries).alias("written")).withColumn("value", parsed(F.encode("written", "ISO-8859-1")))
-    return rows.select("n_nationkey", "written", F.get_json_object("value", "$.Name.text").alias("name"), big(F.get_json_object("value", "$.Region")).alias("region"))
+    return rows.select("n_nationkey", "written", values.text("value", "Name.text").alias("name"), values.part("value", "Region", "bigint").alias("region"))
 
 
 @query("select o_orderkey, '[' || o_orderkey || ' ' || o_custkey || ' (' || o_orderstatus || ')]' written, cast(3 as bigint) n_items, o_custkey item from orders")
 def value_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), scalars.encode_literal("o_orderstatus"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", scalars.encode_array(items).alias("written")).withColumn("value", parsed(F.encode("written", "ISO-8859-1")))
-    return rows.select("o_orderkey", "written", big(F.json_array_length("value")).alias("n_items"), big(F.get_json_object("value", "$[1]")).alias("item"))
+    return rows.select("o_orderkey", "written", big(F.size(F.try_variant_get("value", "$", "array<variant>"))).alias("n_items"), F.try_variant_get("value", "$[1]", "bigint").alias("item"))
 
 
 @query("select o_orderkey, c_name as name from orders left join customer on c_custkey = 2 * o_custkey")
 def reference_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = F.to_json(F.struct(F.lit("ref").alias("t"), (F.col("o_custkey") * 2).alias("n"), F.lit(0).alias("g")))
+    ref = F.to_variant_object(F.struct(F.lit("ref").alias("t"), (F.col("o_custkey") * 2).alias("n"), F.lit(0).alias("g")))
     rows = table(spark, sf_dir, "orders").select(F.lit("x").alias("path"), "o_orderkey", ref.alias("ref"))
     targets = table(spark, sf_dir, "customer").select(F.lit("x").alias("path"), F.col("c_custkey").cast("int").alias("obj_no"), F.col("c_name").alias("value"))
     return files.resolve(rows, "ref", targets, "name").select("o_orderkey", "name")
@@ -220,24 +227,11 @@ def xref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select l_orderkey, cast(2 + l_partkey % 3 as bigint) obj_no, max(l_linenumber)::bigint as value, count(*)::bigint n_entries from lineitem group by all")
 def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each order, with a revision for each of its lines, which overwrites one of three objects."""
-
-    @F.pandas_udf("binary")
-    def made(lines: pd.Series) -> pd.Series:
-        def one(rows) -> bytes:
-            content = writer.file_bytes({1: {"Type": "Catalog"}})
-            for row in rows:
-                content = writer.file_bytes({row["obj_no"]: row["line"]}, before=content)
-            return content
-
-        return lines.map(one)
-
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("int").alias("line"), F.expr("cast(2 + l_partkey % 3 as int)").alias("obj_no")).alias("row"))
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # small rows, much work: not to be coalesced
-    orders = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # an order has a few lines
-    scanned = files.scan_files(orders.select(F.col("l_orderkey").cast("string").alias("path"), made("rows").alias("content")))
-    found = scanned.select("path", F.inline("objects"), F.col("xref").alias("entries")).where("obj_no > 1")
-    return found.select(big("path").alias("l_orderkey"), big("obj_no").alias("obj_no"), big("value").alias("value"), big(F.size(F.filter("entries", lambda x: x["obj_no"] == F.col("obj_no")))).alias("n_entries"))
+    """Each order as a file with a revision for each of its lines, the last the newest, which has one of three objects."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) path", "-l_linenumber revision", "0 seq", "cast(2 + l_partkey % 3 as int) obj_no", "0 generation", "l_linenumber position", "true in_use", "cast(null as int) container")
+    counts = lines.groupBy("path", "obj_no").agg(F.count("*").alias("n_entries"))
+    found = files.newest_entries(lines).join(counts, ["path", "obj_no"])
+    return found.select(big("path").alias("l_orderkey"), big("obj_no").alias("obj_no"), big("position").alias("value"), "n_entries")
 
 
 @query("select l_orderkey, l_linenumber, cast(1 as bigint) kind, l_orderkey as a, cast(l_linenumber as bigint) b from lineitem")
@@ -274,15 +268,15 @@ def file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(keys, names, nations, strict=True)])
 
-    content = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), made("c_custkey", "c_name", "c_nationkey").alias("content"))
+    content = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").cast("string").alias("path"), made("c_custkey", "c_name", "c_nationkey").alias("content"))
     scanned = files.scan_files(content)
     return files.documents(scanned).select(
-        big("path").alias("c_custkey"), big("n_revisions").alias("n_revisions"), F.get_json_object("info", "$.Title.text").alias("title"), big(F.get_json_object("info", "$.Nation")).alias("nation")
+        big("path").alias("c_custkey"), big("n_revisions").alias("n_revisions"), values.text("info", "Title.text").alias("title"), values.part("info", "Nation", "bigint").alias("nation")
     )
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = files.scan_files(conversation_files(spark, sf_dir)).persist()
+    scanned = files.scan_files(conversation_files(spark, sf_dir))
     return pages.pages(scanned, files.objects(scanned))
 
 
@@ -336,7 +330,7 @@ def page_box_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 from (select doc_id, text, cast(len(string_split(text, chr(10))) as bigint) n from documents), (values ('BT'), ('Tf'), ('TL'), ('Td'), ('Tj'), ('T*'), ('ET')) v(opcode)
 where opcode <> 'Tj' or n - case when text = '' or text like '%' || chr(10) then 1 else 0 end > 0""")
 def content_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = table(spark, sf_dir, "documents").select("doc_id", painted(F.col("text")).alias("content"))
+    contents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", painted(F.col("text")).alias("content"))
     return layout.content_ops(contents, "doc_id").groupBy("doc_id", "opcode").agg(F.count("*").alias("n"))
 
 
@@ -450,7 +444,7 @@ def tm_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def glyph_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs named by their UTF-16 units."""
     glyph = F.concat(F.lit("uni"), *(F.lpad(F.hex(F.expr(x)), 4, "0") for x in ("65 + c_custkey % 26", "12354 + c_custkey % 50")))
-    return table(spark, sf_dir, "customer").select("c_custkey", pages.glyph_text(glyph, F.lit(None).cast("string")).alias("text"))
+    return table(spark, sf_dir, "customer").select("c_custkey", numbered_glyph(glyph).alias("text"))
 
 
 @query("select p_partkey, chr(cast(65 + p_partkey % 26 as int)) glyph, cast(65 + p_partkey % 26 as bigint) code from part")
@@ -492,9 +486,12 @@ def tj_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fonts ----------------------------------------------------------------------------------------------
 
 
-@query("select * from (values ('StandardEncoding', cast(149 as bigint)), ('MacRomanEncoding', 207), ('WinAnsiEncoding', 216), ('PDFDocEncoding', 229)) v(encoding, n)")
+@query("""select encoding, count(*) parts from (select unnest(['StandardEncoding', 'MacRomanEncoding', 'WinAnsiEncoding', 'PDFDocEncoding']) encoding), (select p_partkey % 128 code from part) where code between 32 and 126 or encoding = 'PDFDocEncoding' and code between 24 and 31 group by encoding""")
 def encoding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base_encodings(spark).groupBy("encoding").agg(F.count("*").alias("n"))
+    """Parts whose number, below 128, is a code that each base encoding has."""
+    rows = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey % 128 as int)").alias("code"))
+    got = rows.join(F.broadcast(base_encodings(spark)), "code")  # under 1,000 rows
+    return got.groupBy("encoding").agg(F.count("*").alias("parts"))
 
 
 @query("select p_partkey, cast(code as bigint) code, case when code <> 173 then chr(cast(code as int)) end as text from (select p_partkey, case when p_partkey % 2 = 0 then 32 + p_partkey % 95 else 161 + p_partkey % 95 end code from part)")
@@ -537,9 +534,9 @@ def std_font_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, cast(length(text) as bigint) n_codes, md5(text) text_md5 from documents")
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as bytes of a font's encoding, decoded through the font's table."""
-    font = spark.createDataFrame([("x", 3, json.dumps({"Type": {"t": "name", "v": "Font"}, "BaseFont": {"t": "name", "v": "Courier"}, "Encoding": {"t": "name", "v": "WinAnsiEncoding"}}), "Font", "Type1")], "path string, obj_no int, value string, type string, subtype string")
+    font = spark.createDataFrame([("x", 3, json.dumps({"Type": {"t": "name", "v": "Font"}, "BaseFont": {"t": "name", "v": "Courier"}, "Encoding": {"t": "name", "v": "WinAnsiEncoding"}}), "Font", "Type1")], "path string, obj_no int, value string, type string, subtype string").withColumn("value", F.parse_json("value"))
     known = F.broadcast(pages.font_tables(pages.fonts(font)).select("texts"))  # one row
-    docs = table(spark, sf_dir, "documents").select("doc_id", layout.codes_of(F.hex(F.encode("text", "ISO-8859-1"))).alias("codes")).join(known)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", layout.codes_of(F.hex(F.encode("text", "ISO-8859-1"))).alias("codes")).join(known)
     text = F.array_join(F.transform("codes", lambda c: F.coalesce(F.get("texts", c), F.char(c))), "")
     return docs.select("doc_id", big(F.size("codes")).alias("n_codes"), F.md5(text).alias("text_md5"))
 
@@ -600,3 +597,165 @@ def page_text_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, text from documents where text <> ''")
 def simple_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.simple_text(doc_files(spark, sf_dir)).select(big("path").alias("doc_id"), "text")
+
+
+# --- references, trees and nested state -----------------------------------------------------------------
+
+
+def as_variant(value: Column) -> Column:
+    return F.to_variant_object(value)
+
+
+def pointer(number: Column) -> Column:
+    """A reference, as the scan gives it."""
+    return F.struct(F.lit("ref").alias("t"), number.cast("int").alias("n"), F.lit(0).alias("g"))
+
+
+@query("select c_custkey, case when c_custkey % 8 <> 3 then name end as name from customer left join (select c_custkey as k, c_name as name from customer) on k = c_custkey - c_custkey % 4")
+def reference_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as objects: every fourth has a name, the others point at the one before, up to three hops away, or at themselves or at nothing."""
+    key = F.col("c_custkey")
+    value = F.when(key % 4 == 0, F.parse_json(F.to_json(F.struct(F.col("c_name").alias("v"))))).when(key % 8 == 3, F.parse_json(F.to_json(pointer(key)))).otherwise(F.parse_json(F.to_json(pointer(key - 1))))
+    made = table(spark, sf_dir, "customer").select(F.lit("x").alias("path"), key.cast("int").alias("obj_no"), value.alias("value"))
+    return files.settled(made).select(big("obj_no").alias("c_custkey"), values.text("value", "v").alias("name"))
+
+
+@query("""select o_orderkey, cast(0 as bigint) a, cast(o_custkey as bigint) b, cast(c.c_nationkey as bigint) c, cast(d.c_nationkey as bigint) d, cast(e.c_nationkey as bigint) e
+from orders left join customer c on c.c_custkey = o_custkey left join customer d on d.c_custkey = 2 * o_custkey left join customer e on e.c_custkey = case when o_orderkey % 2 = 0 then o_orderkey end""")
+def references_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array whose last two numbers, and a dictionary one of whose entries, are objects of their own; every second order has the entry."""
+    box = F.array_join(F.array(F.lit("0"), F.col("o_custkey").cast("string"), F.to_json(pointer(F.col("o_custkey"))), F.to_json(pointer(2 * F.col("o_custkey")))), ",")
+    entry = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(pointer(F.col("o_orderkey")).alias("E")))).otherwise("{}")
+    rows = table(spark, sf_dir, "orders").select(F.lit("x").alias("path"), "o_orderkey", F.parse_json(F.concat(F.lit("["), box, F.lit("]"))).alias("Box"), F.parse_json(entry).alias("Dict"))
+    targets = table(spark, sf_dir, "customer").select(F.lit("x").alias("path"), F.col("c_custkey").cast("int").alias("obj_no"), F.parse_json(F.col("c_nationkey").cast("string")).alias("value"))
+    got = files.resolve_inside(rows, ["path", "o_orderkey"], {"Box": "array<double>", "Dict": None}, targets)
+    item = lambda i: F.try_variant_get(F.get("Box_items", F.lit(i)), "$", "bigint")
+    return got.select("o_orderkey", *(item(i).alias(c) for i, c in enumerate("abcd")), F.try_variant_get(F.try_element_at("Dict_entries", F.lit("E")), "$", "bigint").alias("e"))
+
+
+@query("select cast(p_partkey as bigint) p_partkey, cast(30 as bigint) first_char, p_size || ',' || case when p_partkey % 3 = 0 then p_size + 2 else p_size + 1 end || ',7' widths, p_name as char_set, cast(p_size as double) missing_width from part")
+def font_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fonts of files made for parts: widths, the list of them and the descriptor in objects of their own."""
+
+    @F.pandas_udf("binary")
+    def made(keys: pd.Series, sizes: pd.Series, names: pd.Series) -> pd.Series:
+        def one(key: int, size: int, name: str) -> bytes:
+            font = {"Type": "Font", "Subtype": "Type1", "BaseFont": "X", "FirstChar": writer.ref(8), "LastChar": 32, "Widths": writer.ref(4), "FontDescriptor": writer.ref(6)}
+            second = writer.ref(5) if key % 3 == 0 else int(size) + 1
+            glyphs = b"".join(b"/" + word for word in name.encode().split())
+            return writer.file_bytes({1: {"Type": "Catalog"}, 3: font, 4: [int(size), second, 7], 5: writer.ref(7), 6: {"MissingWidth": writer.ref(9), "CharSet": glyphs}, 7: int(size) + 2, 8: 30, 9: int(size)}, as_stream=key % 2 == 0)
+
+        return pd.Series([one(*x) for x in zip(keys, sizes, names, strict=True)])
+
+    content = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), made("p_partkey", "p_size", "p_name").alias("content"))
+    got = pages.fonts(files.objects(files.scan_files(content)))
+    return got.select(big("path").alias("p_partkey"), big("first_char").alias("first_char"), F.array_join(F.transform("widths", big), ",").alias("widths"), F.array_join("char_set", " ").alias("char_set"), "missing_width")
+
+
+@query("""select user_id, event_id, cast(n as bigint) depth, coalesce(case when event_id % 7 = 0 then event_id end, before, first_id * 10) as near from (
+select *, last_value(case when event_id % 7 = 0 then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) before, first_value(event_id) over (partition by user_id order by ts, event_id) first_id,
+row_number() over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id) all_n from events) where n = all_n""")
+def page_tree_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a tree in which each event is the only child of the one before: a value at every seventh event, and at the root, is inherited."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("tree"), F.col("event_id").alias("node"), F.lead("event_id").over(w).alias("next"), (F.row_number().over(w) == 1).alias("top"))
+    rows = rows.withColumn("box", F.when(F.col("node") % 7 == 0, F.col("node")).when(F.col("top"), F.col("node") * 10))
+    nodes = rows.select("tree", "node", F.when(F.col("next").isNotNull(), F.array("next")).alias("kids"), "box")
+    leaves = tree.flatten(nodes, rows.where("top").select("tree", "node"), ("box",))
+    return leaves.select(F.col("tree").alias("user_id"), F.col("node").alias("event_id"), big(F.size("place") + 1).alias("depth"), F.col("box").alias("near"))
+
+
+# --- glyphs and standard fonts --------------------------------------------------------------------------
+
+
+@query("select p_partkey, p_brand || chr(cast(65 + p_partkey % 26 as int)) || case when p_partkey % 2 = 0 then chr(cast(12354 + p_partkey % 50 as int)) else '' end as text from part")
+def glyph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names such as `gBrand#1_A_uni3042.alt`, the first part of which is in a glyph list made for the table's brands."""
+    parts = table(spark, sf_dir, "part")
+    brand = F.concat(F.lit("g"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
+    units = F.regexp_replace(F.hex(F.encode("p_brand", "UTF-16BE")), "(....)(?=.)", "$1 ")
+    listed = glyph_lines(parts.select(F.concat(brand, F.lit(";"), units).alias("line")).distinct())
+    letters = base_encodings(spark).where("encoding = 'StandardEncoding'").select("glyph", "text")
+    wide = F.expr("if(p_partkey % 2 = 0, concat('_uni', lpad(hex(12354 + p_partkey % 50), 4, '0')), '')")
+    glyph = F.concat(brand, F.lit("_"), F.expr("chr(65 + p_partkey % 26)"), wide, F.lit(".alt"))
+    return glyph_texts(parts.select("p_partkey", glyph.alias("glyph")), ["p_partkey"], listed.unionByName(letters)).select("p_partkey", "text")
+
+
+@query("""with d as (select p_brand, p_partkey, case when p_partkey % 5 = 0 then p_size + 60 end num, case when p_partkey % 5 <> 0 then chr(cast(65 + p_partkey % 26 as int)) end glyph from part),
+c as (select p_brand, arg_max(glyph, p_partkey) glyph, max(p_partkey) p_partkey, code from (select *, first_value(num) over w + row_number() over w - 2 code from (select *, count(num) over (partition by p_brand order by p_partkey) part from d) window w as (partition by p_brand, part order by p_partkey)) where num is null and code is not null group by p_brand, code),
+own as (select p_brand, glyph, arg_max(code, p_partkey) code from c group by all),
+base as (select p_brand, chr(cast(k as int)) glyph, k code from (select distinct p_brand from part), (select unnest(range(65, 91)) k))
+select p_brand, glyph, cast(code as bigint) code from own union all select p_brand, glyph, cast(code as bigint) from base where not exists (from c where c.p_brand = base.p_brand and c.code = base.code) and not exists (from own where own.p_brand = base.p_brand and own.glyph = base.glyph)""")
+def glyph_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each capital letter's glyph in fonts whose differences are made of a brand's parts."""
+    item = F.expr("if(p_partkey % 5 = 0, cast(p_size + 60 as string), chr(65 + p_partkey % 26))")
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda r: r["item"]).alias("differences"))
+    got = pages.glyph_codes(rows.withColumn("base_encoding", F.lit("WinAnsiEncoding")), ["p_brand"])
+    return got.where("glyph rlike '^[A-Z]$'").select("p_brand", "glyph", big("code").alias("code"))
+
+
+@query("""with m as (select 32 + c_custkey % 95 code, max(c_custkey) width from customer group by all), t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 page_index, text from conversations),
+x as (select conv_id, page_index, ord(unnest(string_split(text, ''))) code from t)
+select conv_id, page_index, cast(floor(sum(coalesce(width, 0)) * 12 / 1000.0::double * 10000 + 0.5) as bigint) moved from x left join m using (code) where code <> 10 group by conv_id, page_index""")
+def standard_font_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each page's strings reach in a font that names a standard one and has no widths; the metrics are made of customers' keys."""
+    lines = table(spark, sf_dir, "customer").groupBy(F.expr("32 + c_custkey % 95").alias("code")).agg(F.max("c_custkey").alias("width"))
+    lines = lines.select(F.lit("Helvetica-Bold").alias("font"), F.format_string("C %d ; WX %d ; N g%d ; B 0 0 0 0 ;", "code", "width", "code").alias("line"))
+    font = {"Type": "Font", "Subtype": "Type1", "BaseFont": "ABCDEF+Arial,Bold", "Encoding": "WinAnsiEncoding"}
+    _, parts = plans.page_runs(conversation_files(spark, sf_dir, font), metrics=metrics.font_metrics(lines))
+    moved = parts.groupBy("path", "page_index").agg(F.sum(F.col("x1") - F.col("x0")).alias("moved"))
+    return moved.select(big("path").alias("conv_id"), big("page_index").alias("page_index"), scaled(F.round("moved", 6)).alias("moved"))
+
+
+@query("select cast(p_brand as varchar) as font, 'Family ' || p_brand family, cast(case when min(p_size) % 2 = 1 then 1 else 0 end + case when min(p_size) % 3 = 0 then 4 else 32 end + 64 as bigint) flags, cast(-min(p_size) as double) italic_angle, '0,-200,' || max(p_size) || ',900' bbox, cast(max(p_size) as double) ascent, cast(min(p_size) as double) stem_v from part group by p_brand")
+def font_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptors of metrics files, one for each brand."""
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_size").alias("a"), F.max("p_size").alias("b"))
+    said = "array(concat('FamilyName Family ', p_brand), concat('ItalicAngle -', a), concat('IsFixedPitch ', a % 2 = 1), concat('CharacterSet ', if(a % 3 = 0, 'Special', 'ExtendedRoman')), concat('FontBBox 0 -200 ', b, ' 900'), concat('Ascender ', b), concat('StdVW ', a), 'C 32 ; WX 250 ; N space ; B 0 0 0 0 ;')"
+    lines = rows.select(F.col("p_brand").alias("font"), F.explode(F.expr(said)).alias("line"))
+    got = metrics.font_metrics(lines)
+    return got.select("font", "family", big("flags").alias("flags"), "italic_angle", F.array_join(F.transform("bbox", big), ",").alias("bbox"), "ascent", "stem_v")
+
+
+# --- what is written, and what a file says of itself ----------------------------------------------------
+
+
+@query("select o_orderkey, case o_orderkey % 3 when 0 then 'true' when 1 then 'false' else 'null' end as boolean, case when o_orderkey % 5 = 0 then 'null' else rtrim(rtrim(printf('%.6f', o_custkey / 8.0::double), '0'), '.') end as real, case o_orderkey % 3 when 0 then true when 1 then false end as back, case when o_orderkey % 5 <> 0 then o_custkey / 8.0::double end as real_back from orders")
+def encoded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Booleans, nulls and reals as they are written, and read back."""
+    boolean = F.expr("case o_orderkey % 3 when 0 then true when 1 then false end")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", scalars.encode_boolean(boolean).alias("boolean"), scalars.encode_real(F.expr("if(o_orderkey % 5 = 0, null, o_custkey / 8D)")).alias("real"))
+    return rows.select("*", scalars.boolean_literal("boolean").alias("back"), scalars.number_literal("real").alias("real_back"))
+
+
+@query("select c_custkey, lower(hex(c_name)) file_id, c_custkey % 3 = 0 encrypted, case when c_custkey % 3 = 0 then 'encrypted' end as error, cast(case when c_custkey % 3 = 0 then 0 when c_custkey % 2 = 0 then 4 else 2 end as bigint) n_objects, '1.' || (c_custkey % 8) as version from customer")
+def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with an identity in the trailer, a version in the catalog, and every third of them encrypted."""
+
+    @F.pandas_udf("binary")
+    def made(keys: pd.Series, names: pd.Series) -> pd.Series:
+        def one(key: int, name: str) -> bytes:
+            more = {"ID": [writer.string(name.encode())] * 2} | ({"Encrypt": writer.ref(2)} if key % 3 == 0 else {})
+            return writer.file_bytes({1: {"Type": "Catalog", "Version": f"1.{key % 8}"}, 2: [name.encode()]}, trailer=more, as_stream=key % 2 == 0)
+
+        return pd.Series([one(*x) for x in zip(keys, names, strict=True)])
+
+    content = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").cast("string").alias("path"), made("c_custkey", "c_name").alias("content"))
+    got = files.documents(files.scan_files(content)).select(big("path").alias("c_custkey"), F.try_variant_get("file_id", "$[1].hex", "string").alias("file_id"), "encrypted", "error", big("n_objects").alias("n_objects"), F.col("version").cast("string").alias("version"))
+    return got.withColumn("version", F.when(F.col("encrypted"), F.concat(F.lit("1."), (F.col("c_custkey") % 8).cast("string"))).otherwise(F.col("version")))
+
+
+@query("select l_orderkey, l_linenumber, case when -l_suppkey <= -(case when l_linenumber % 2 = 0 then trunc(l_quantity) else 50 end) then cast(-l_suppkey as bigint) else 0 end lowered from lineitem")
+def rise_off_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that a rise moves to another line: by the leading, or where there is none by the height of capitals."""
+    leading = F.when(F.col("l_linenumber") % 2 == 0, F.floor("l_quantity")).otherwise(0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", big(layout.off_line(-F.col("l_suppkey"), leading, F.lit(50))).alias("lowered"))
+
+
+@query("select conv_id, turn, 2 * length(text) n_digits, md5(text) text_md5 from conversations")
+def hex_strings_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as hex strings with white space and comments around them, through the parser of values."""
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    written = F.concat(F.lit("% a comment\n<<%another\n/A <"), F.regexp_replace(F.hex(F.encode("text", "ISO-8859-1")), "(.{60})", "$1\n"), F.lit("> >>"))
+    value = parsed(F.encode(written, "ISO-8859-1"))
+    return turns.select("conv_id", "turn", big(F.length(values.text(value, "A.hex"))).alias("n_digits"), F.md5(values.text(value, "A.text")).alias("text_md5"))

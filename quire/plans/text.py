@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +13,18 @@ from ..sources.files import objects, scan_files
 PAGE = ["path", "page_index"]
 
 
-def page_runs(files: DataFrame, fixed_width: bool = True, metrics: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def page_runs(files: DataFrame, fixed_width: bool = True, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages and placed strings of files (path, content). A file is scanned once, as many parts of the plan read the scan; it stays cached (see tree.released).
 
     metrics: of fonts that give no widths, see sources.metrics.font_metrics; without them, Courier has its own width and
-    others half an em for each glyph.
+    others half an em for each glyph. glyphs: a glyph list (functions.encodings.read_glyph_list) for names beyond the base encodings.
     """
-    scanned = held(scan_files(files), StorageLevel.MEMORY_AND_DISK)
+    scanned = scan_files(files)
     found = objects(scanned)
     all_pages = pages(scanned, found)
     ops = layout.content_ops(page_contents(all_pages, found), *PAGE)
     known = fonts(found) if metrics is None else with_metrics(fonts(found), metrics)
-    usable = page_fonts(all_pages, found).join(font_tables(known), ["path", "font_obj"])
+    usable = page_fonts(all_pages, found).join(font_tables(known, glyphs), ["path", "font_obj"])
     return all_pages, layout.runs(ops, usable, PAGE, fixed_width)
 
 
@@ -36,22 +35,22 @@ def simple_text(files: DataFrame) -> DataFrame:
 
 def problems(files: DataFrame) -> DataFrame:
     """path, page_index (null: the whole file), part (`file`, `stream` or `operations`) and error of what the text plans cannot read and leave out."""
-    scanned = held(scan_files(files), StorageLevel.MEMORY_AND_DISK)
+    scanned = scan_files(files)
     found = objects(scanned)
     contents = held(page_contents(pages(scanned, found), found))
     ops = layout.content_ops(contents, *PAGE)
     said = lambda rows, index, part: rows.where("error is not null").select("path", index.cast("int").alias("page_index"), F.lit(part).alias("part"), "error")
     index = F.col("page_index")
-    return said(scanned, F.lit(None), "file").unionByName(said(contents, index, "stream")).unionByName(said(ops, index, "operations"))
+    return said(scanned.files, F.lit(None), "file").unionByName(said(contents, index, "stream")).unionByName(said(ops, index, "operations"))
 
 
-def layout_text(files: DataFrame, fixed_width: bool = True, tab_width: float | None = None, metrics: DataFrame | None = None) -> DataFrame:
+def layout_text(files: DataFrame, fixed_width: bool = True, tab_width: float | None = None, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> DataFrame:
     """path, page_index and text as laid out: lines from the top down, gaps as spaces. Pages without text are left out.
 
     fixed_width: text at the columns of a fixed-width page, measured by a font's average width; else gaps measured by the
-    width of a space. tab_width: columns from which a gap is a tab. metrics: see page_runs; problems() tells what could not be read.
+    width of a space. tab_width: columns from which a gap is a tab. metrics, glyphs: see page_runs; problems() tells what could not be read.
     """
-    all_pages, parts = page_runs(files, fixed_width, metrics)
+    all_pages, parts = page_runs(files, fixed_width, metrics, glyphs)
     line, order = [*PAGE, "slope", "intercept"], ["op_idx", "sub_idx"]
     found = layout.blocks(parts, PAGE, tab_width)
     if fixed_width:

@@ -9,13 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.codecs import flate_encode
-from .syntax import encode_value, escape
+from .syntax import encode_value, escape, string_value
 
 
 def ref(number: int) -> dict:
     return {"t": "ref", "n": number, "g": 0}
 
 
+def string(data: bytes) -> dict:
+    return string_value(data)
+
+
 def xref_line(position: int, generation: int, in_use: bool) -> bytes:
     return b"%010d %05d %s\r\n" % (position, generation, b"n" if in_use else b"f")
 
@@ -26,10 +30,10 @@ def object_bytes(number: int, value: object, stream: bytes | None = None) -> byt
     return b"%d 0 obj\n%s%s\nendobj\n" % (number, body, tail)
 
 
-def file_bytes(objects: dict[int, object], root: int = 1, info: int | None = None, version: str = "1.4", before: bytes = b"", as_stream: bool = False) -> bytes:
+def file_bytes(objects: dict[int, object], root: int = 1, info: int | None = None, version: str = "1.4", before: bytes = b"", as_stream: bool = False, trailer: dict | None = None) -> bytes:
     """A file of objects: number -> value or (dictionary, stream data). before: a file that this one revises.
 
-    as_stream: a cross-reference stream, and all but streams in an object stream.
+    as_stream: a cross-reference stream, and all but streams in an object stream. trailer: more entries of it.
     """
     out = bytearray(before or b"%%PDF-%s\n%%\xe2\xe3\xcf\xd3\n" % version.encode())
     places: dict[int, tuple[int, int, int]] = {}
@@ -39,7 +43,7 @@ def file_bytes(objects: dict[int, object], root: int = 1, info: int | None = Non
             places[n] = 1, len(out), 0
             out += object_bytes(n, *(v if isinstance(v, tuple) else (v,)))
     top = max([*objects, 0]) + 1
-    trailer = {"Size": top, "Root": ref(root)} | ({"Info": ref(info)} if info else {})
+    trailer = {"Size": top, "Root": ref(root)} | ({"Info": ref(info)} if info else {}) | (trailer or {})
     if before:
         trailer["Prev"] = int(before.rpartition(b"startxref")[2].split()[0])
     start = len(out)
@@ -89,11 +93,11 @@ def paint_lines(text: str, size: int = 12, ends: bool = True) -> bytes:
     return b"BT /F1 %d Tf %d TL 36 720 Td\n" % (size, size + 2) + body + b"ET\n"
 
 
-def files_of(texts: Column, paint: Callable[[str], bytes] = paint_lines) -> Column:
+def files_of(texts: Column, paint: Callable[[str], bytes] = paint_lines, font: dict | None = None) -> Column:
     """The bytes of a file with a page for each of texts (array of strings)."""
 
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda pages: None if pages is None else pages_file([paint(t or "") for t in pages]))
+        return values.map(lambda pages: None if pages is None else pages_file([paint(t or "") for t in pages], font))
 
     return run(texts)

@@ -3,6 +3,7 @@
 import glob
 import os
 import shutil
+import time
 
 import duckdb
 import pandas as pd
@@ -99,9 +100,30 @@ def test_trees_of_any_depth(spark):
     assert [(r.node, len(r.place)) for r in got] == [(40, 40)]
 
 
-def test_fonts_without_widths_and_glyphs_by_number(spark):
-    rows = spark.createDataFrame([("uni0041",), ("uniD83DDE00",), ("u1F600",), ("zero",), ("union",)], "glyph string")
-    assert [r[0] for r in rows.select(pages.glyph_text(F.col("glyph"), F.lit(None).cast("string"))).collect()] == ["A", "\U0001f600", "\U0001f600", None, None]
+def test_deep_and_broken_trees(spark, monkeypatch):
+    """200 levels in eight rounds; a node of two parents stands twice; circles and branches without a root come to an end."""
+    rounds = []
+    monkeypatch.setattr(tree, "cut", lambda df, real=tree.cut: rounds.append(1) or real(df))
+    nodes = [("deep", i, [i + 1], None) for i in range(200)] + [("deep", 200, None, None)]
+    nodes += [("dag", 0, [1, 2, 1], 5), ("dag", 1, [3], 6), ("dag", 2, [3, 0, 9], None), ("dag", 3, None, None), ("dag", 7, [8], 1), ("dag", 8, [7, 3], None)]
+    made = spark.createDataFrame(nodes, "tree string, node int, kids array<int>, box int")
+    got = tree.flatten(made, spark.createDataFrame([("deep", 0), ("dag", 0), ("none", 1)], "tree string, node int"), ("box",))
+    rows = sorted((r.tree, r.node, tuple(r.place), r.box) for r in got.collect())
+    assert rows == [("dag", 3, (0, 0), 6), ("dag", 3, (1, 0), 5), ("dag", 3, (2, 0), 6), ("deep", 200, (0,) * 200, None)] and len(rounds) <= 10
+
+
+def test_frames_of_hostile_depth(spark):
+    """100,000 q without a Q, with a width set at every thousandth, and as many of both by turns, take seconds."""
+    deep = spark.range(100_000).selectExpr("'deep' page", "id at", "if(id % 1000 = 1, 'w', 'q') opcode", "array(double(id)) nums", "cast(null as string) name")
+    turns = spark.range(100_000).selectExpr("cast(null as string) page", "id at", "array('q', 'w', 'Q', 'J')[id % 4] opcode", "array(double(id)) nums", "cast(null as string) name")
+    began = time.time()
+    got = state.graphics_state(deep.union(turns), ["page"], ["at"])
+    want = F.when(F.col("page").isNull(), F.when(F.col("at") % 4 == 1, F.col("at")).otherwise(1)).otherwise(F.when(F.col("at") < 1, 1).otherwise(F.expr("(at - 1) div 1000 * 1000 + 1")))
+    assert got.where(F.col("line_width") != want).count() == 0 and got.count() == 200_000
+    assert got.agg(F.max("depth")).first()[0] == 99_900 and time.time() - began < 120
+
+
+def test_fonts_without_widths(spark):
     lines = spark.createDataFrame([("Helvetica", x) for x in ("CapHeight 718", "C 65 ; WX 667 ; N A ; B 0 0 0 0 ;", "C 66 ; WX 660 ; N B ; B 0 0 0 0 ;")], "font string, line string")
     plain = ("x", 1, "Type1", "Helvetica", None, None, None, None, None, None, "StandardEncoding", None, True)
     fonts = spark.createDataFrame([plain, ("x", 2, "Type1", "Other", *plain[4:])], "path string, font_obj int, subtype string, base_font string, first_char int, last_char int, widths array<double>, missing_width double, cap_height double, char_set array<string>, base_encoding string, differences array<string>, supported boolean")
@@ -136,3 +158,6 @@ def test_registered_opcodes(spark, monkeypatch):
     assert [k[0] for k in kinds] == ["text showing", "objects", "text state", "other"]
     made = spark.createDataFrame([("x", bytearray(writer.pages_file([b"BT /F1 10 Tf 0 700 Td (ab) Show ET"])))], "path string, content binary")
     assert plans.simple_text(made).first().text == "ab"
+    layout.register_sql(spark)
+    rows = spark.sql("select op_idx, opcode, name, nums, get(parts, 0).hex shown from content_ops(cast('BT /F1 10 Tf (ab) Show' as binary)) order by op_idx").collect()
+    assert [tuple(r) for r in rows] == [(0, "BT", None, [], None), (1, "Tf", "F1", [10.0], None), (2, "Tj", None, [], "6162")]
