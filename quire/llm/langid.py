@@ -101,13 +101,16 @@ class Model:
 
 
 def training_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """text and lang of about MAX_PER_LANGUAGE documents of each language, by hash of text."""
-    usable = docs.where("text is not null and lang is not null and lang <> 'und'").select("text", "lang")
-    count = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row for each language
+    """text and lang of about MAX_PER_LANGUAGE documents of each language, by hash of text. A text counts once for a language, however often it stands there, so a much copied text is one in the sample and among those that it is drawn from."""
+    usable = docs.where("text is not null and lang is not null and lang <> 'und'")
+    # Equal texts are told by their digests, so that texts need not move; a language is counted by what it has of them.
+    texts = usable.select("lang", F.sha2(F.encode("text", "UTF-8"), 256).alias("_key")).distinct()
+    count = {r.lang: r["count"] for r in texts.groupBy("lang").count().collect()}  # one row for each language
     cut = F.lit(0)
     for lang, n in count.items():
         cut = F.when(F.col("lang") == lang, int(min(1.0, MAX_PER_LANGUAGE / n) * 1_000_000) + 1).otherwise(cut)
-    return usable.where(F.expr(f"pmod(xxhash64(text, {seed}), 1000000)") < cut)
+    drawn = usable.select("text", "lang").where(F.expr(f"pmod(xxhash64(text, {seed}), 1000000)") < cut)
+    return drawn.distinct()
 
 
 def fit(docs: DataFrame) -> Model:

@@ -215,6 +215,85 @@ def test_embeddings_of_labels_that_look_alike_do_not_link(spark):
     assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Rows of one vec_id that differ are vectors of their own: neither gets the other's links."""
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.01], "a"), (3, [0.5, 0.5], "c"), (3, [0.5, 0.51], "c"), (2, [0.01, 1.0], "b"), (9, [5.0, 0.0], "d")]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (9, 0, 9, True)]
+    apart = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>, label string")
+    assert sorted((r.vec_id, r.n_links) for r in embed_dedup.embedding_dedup(apart).collect()) == [(1, 0), (1, 1), (2, 1)]
+
+
+def links_by_hand(v):
+    """Links and components by brute force, over places."""
+    near = [np.flatnonzero(row) for i in range(0, len(v), 1000) for row in v[i : i + 1000] @ v.T >= 0.93]
+    part = np.full(len(v), -1)
+    for i in range(len(v)):
+        if part[i] < 0:
+            ahead = [i]
+            while ahead:
+                at = ahead.pop()
+                if part[at] < 0:
+                    part[at] = i
+                    ahead += near[at].tolist()
+    return np.array([len(x) - 1 for x in near]), part
+
+
+@pytest.mark.parametrize("block", [embed_dedup.BLOCK_VALUES, 64 * 300])  # whole labels, and labels in many blocks
+def test_embeddings_off_centre_and_in_tight_groups(spark, tmp_path, monkeypatch, block):
+    """Vectors with a common mean of any share, and a group whose vectors are all near each other: links, components and kept against brute force."""
+    import pandas as pd
+
+    monkeypatch.setattr(embed_dedup, "BLOCK_VALUES", block)
+    rng, frames, want, at = np.random.default_rng(4), [], {}, 0
+    sizes = (400,) if block < 64 * 1000 else (400, 3000)
+    for size in sizes:
+        for share in (0.0, 0.5, 0.8, 0.85, 0.95):
+            mean = rng.normal(size=64)
+            x = rng.normal(size=(size // 2, 64))
+            x = np.sqrt(share) * mean / np.linalg.norm(mean) + np.sqrt(1 - share) * x / np.linalg.norm(x, axis=1, keepdims=True)
+            near = x + rng.normal(size=x.shape) * 0.045 * rng.random((len(x), 1))
+            v = np.concatenate([x, near])
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            want[at] = size, *links_by_hand(v)
+            frames.append(pd.DataFrame({"vec_id": np.arange(size) + at, "embedding": list(v), "label": f"{size} {share}"}))
+            at += size
+    pd.concat(frames).to_parquet(tmp_path / "vectors.parquet")
+    got = embed_dedup.embedding_dedup(spark.read.parquet(f"file://{tmp_path}/vectors.parquet")).orderBy("vec_id").toPandas()
+    for first, (size, links, part) in want.items():
+        rows = got.iloc[first : first + size]
+        assert (rows.n_links.to_numpy() <= links).all() and rows.n_links.sum() >= 0.95 * links.sum(), (first, size, rows.n_links.sum(), links.sum())
+        if rows.n_links.sum() == links.sum():
+            assert (rows.component_id.to_numpy() == part + first).all() and (rows.kept == (rows.vec_id == rows.component_id)).all()
+    crowd = want[1600]  # 400 vectors of which the mean is 95 %: most pairs are links, and all of them are found
+    assert got.iloc[1600:2000].n_links.sum() == crowd[1].sum() > 90_000 and got.iloc[1600:2000].component_id.nunique() == len(set(crowd[2]))
+
+
+def test_embeddings_of_one_tight_group(spark):
+    """400 vectors around one direction, all linked with each other, beside 3,000 of the same label that are not."""
+    rng = np.random.default_rng(6)
+    one, far = rng.normal(size=64), rng.normal(size=(3000, 64))
+    for rows in (np.zeros((0, 64)), far):
+        v = np.concatenate([one + rng.normal(size=(400, 64)) * 0.1, rows])
+        made = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+        got = embed_dedup.embedding_dedup(made).orderBy("vec_id").limit(400).collect()
+        assert sum(r.n_links for r in got) >= 0.95 * 400 * 399 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_languages_of_much_copied_texts(spark):
+    """A language that is one text many times over is learned, and a text's copies do not crowd out the sample or a task."""
+    words = {"en": "the quick brown fox jumps over the lazy dog and runs away with it", "de": "der schnelle braune fuchs springt über den faulen hund und läuft weg"}
+    rng = np.random.default_rng(3)
+    mixed = lambda lang: " ".join(rng.permutation(words[lang].split())[:9])
+    rows = [("de", mixed("de")) for _ in range(3000)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    for seed in range(3):
+        text = f"{words['en']} {'again ' * seed}"
+        hot = spark.range(50_000).select(F.lit("en").alias("lang"), F.lit(text).alias("text"))
+        drawn = langid.training_rows(docs.union(hot)).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("m")).collect()
+        assert {r.lang: r.n == r.m for r in drawn} == {"en": True, "de": True}
+
+
 def test_packing_holds_every_token_once(spark, data, awkward, empty):
     from tokenizers import Tokenizer
 
