@@ -11,6 +11,7 @@ import json
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -64,39 +65,54 @@ def flate_encode(data: bytes, params: dict | None = None) -> bytes:
     return zlib.compress(predict(data, params or {}), 6)
 
 
+def _lzw_codes(data: bytes, at: int, first: int, early: int, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Up to so many codes from bit `at` on, and where each ends. first: how many codes came since the table was cleared; their number alone gives a code's width."""
+    left, codes, ends = most, [], []
+    skipped, at = at & ~7, at & 7
+    bits = np.unpackbits(np.frombuffer(data[skipped >> 3 : (skipped + at + 12 * most >> 3) + 1], np.uint8))
+    for width in (9, 10, 11, 12):
+        until = (1 << width) - 257 - early if width < 12 else first + left + 1  # codes of this width or less
+        n = min(left, max(0, until - first), (len(bits) - at) // width)
+        if n:
+            places = at + width * np.arange(n)
+            codes.append(bits[places[:, None] + np.arange(width)] @ (1 << np.arange(width - 1, -1, -1)))
+            ends.append(skipped + places + width)
+            at, first, left = at + width * n, first + n, left - n
+        if first < until and width < 12:  # the data end
+            break
+    return (np.concatenate(codes), np.concatenate(ends)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def lzw_decode(data: bytes, params: dict | None = None) -> bytes:
     """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends the data."""
     early, out, size = (params or {}).get("EarlyChange", 1), [], 0
-    table: list[bytes] = []
-    width, held, bits, before = 9, 0, 0, b""
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if not table:
-            table = [bytes([i]) for i in range(256)] + [b"", b""]
-        if code < len(table):
-            now = table[code]
-        elif code == len(table) and before:
-            now = before + before[:1]
+    at = first = 0
+    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, before, ended = list(fresh), b"", False
+    while not ended:
+        codes, ends = _lzw_codes(data, at, first, early)
+        stops = np.flatnonzero(codes >> 1 == 128)  # 256 and 257
+        n = int(stops[0]) if len(stops) else len(codes)
+        for code in codes[:n].tolist():
+            if code < len(table):
+                now = table[code]
+            elif code == len(table) and before:
+                now = before + before[:1]
+            else:
+                raise FilterError("LZW: a code that is not in the table")
+            if before:
+                table.append(before + now[:1])
+            out.append(now)
+            size += len(now)
+            if size > MAX_DECODED:
+                raise FilterError("LZW: the stream is too long")
+            before = now
+        if len(stops):
+            ended = codes[n] == 257
+            table, before, first, at = list(fresh), b"", 0, int(ends[n])
         else:
-            raise FilterError("LZW: a code that is not in the table")
-        if before:
-            table.append(before + now[:1])
-        out.append(now)
-        size += len(now)
-        if size > MAX_DECODED:
-            raise FilterError("LZW: the stream is too long")
-        before = now
-        while width < 12 and len(table) + early >= 1 << width:
-            width += 1
+            ended = not n
+            first, at = first + n, int(ends[-1]) if n else at
     return unpredict(b"".join(out), params or {})
 
 

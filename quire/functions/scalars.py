@@ -60,6 +60,11 @@ def boolean_literal(token: Column | str) -> Column:
     return F.when(col(token) == "true", True).when(col(token) == "false", False)
 
 
+def comment_text(token: Column | str) -> Column:
+    """What a comment says, up to its line's end; null for any other token."""
+    return F.when(col(token).startswith("%"), F.regexp_extract(col(token), r"^%([^\r\n]*)", 1))
+
+
 def int_from_bytes(data: Column | str) -> Column:
     """A big-endian unsigned integer of at most 7 bytes."""
     return F.conv(F.hex(col(data)), 16, 10).cast("bigint")

@@ -39,10 +39,10 @@ def register_opcode(opcode: str, kind: str = "other", acts_as: str | None = None
     _registered[opcode] = kind, acts_as
 
 
-def optype(opcode: Column) -> Column:
-    """An opcode's kind, `other` if it has none."""
+def optype(opcode: Column, more: dict[str, str] | None = None) -> Column:
+    """An opcode's kind, `other` if it has none. more: kinds of opcodes for this plan alone, before those that are registered."""
     out = F.when(F.lit(False), F.lit(""))
-    for code, (kind, _) in _registered.items():
+    for code, kind in {**{code: kind for code, (kind, _) in _registered.items()}, **(more or {})}.items():
         out = out.when(opcode == code, kind)
     for kind, codes in OPCODES.items():
         out = out.when(opcode.isin(*codes), kind)
@@ -162,20 +162,20 @@ def runs(ops: DataFrame, fonts: DataFrame, by: list[str], fixed_width: bool = Tr
     parts = parts.withColumn("codes", F.when(F.col("part.hex").isNotNull(), codes_of(F.col("part.hex"))))
     no_widths = F.array().cast("array<double>")
     moved = F.when(F.col("codes").isNotNull(), advance(F.coalesce("widths", no_widths), F.col("codes"), F.col("fs"), F.col("tc"), F.col("tw"), F.col("th"))).otherwise(number_advance(F.col("part.move"), F.col("fs"), F.col("th")))
-    parts = parts.withColumn("adv", moved)
+    text = F.array_join(F.transform("codes", lambda c: F.coalesce(F.get("texts", c), F.char(c))), "")
+    parts = parts.select("*", moved.alias("adv"), text.alias("text")).drop("texts", "widths", "part", "codes")  # the window sorts rows without a font's tables
     end = F.sum("adv").over(so_far([*by, "line_segment"], [*order, "part_idx"]))
     user = multiply([F.col(c) for c in ("a", "b", "c", "d", "lm_e", "lm_f")], [F.get("ctm", F.lit(i)) for i in range(6)])
     parts = parts.withColumn("end", end).withColumn("m", F.array(*user))
     m = [F.get("m", F.lit(i)) for i in range(6)]
     x0, y = apply_matrix(m, F.col("end") - F.col("adv"), F.lit(0.0))
     x1, _ = apply_matrix(m, F.col("end"), F.lit(0.0))
-    text = F.array_join(F.transform("codes", lambda c: F.coalesce(F.get("texts", c), F.char(c))), "")
     slope = F.when(m[0] != 0, m[1] / m[0]).otherwise(0.0)
     lowered = off_line(F.col("rise"), F.col("tl"), F.col("cap_height"))
-    parts = parts.select("*", text.alias("text"), x0.alias("x0"), x1.alias("x1"), y.alias("y"), slope.alias("slope"))
+    parts = parts.select("*", x0.alias("x0"), x1.alias("x1"), y.alias("y"), slope.alias("slope"))
     basis = F.col("avg_width" if fixed_width else "space_width") / 1000 * F.col("fs") * F.col("th") * m[0]
     slope, intercept = line_ids(F.col("slope"), F.col("x0"), F.col("y"), lowered)
-    return parts.where("codes is not null").select(*by, *order, "part_idx", "text", "x0", "x1", "y", slope.alias("slope"), intercept.alias("intercept"), basis.alias("basis"))
+    return parts.where("text is not null").select(*by, *order, "part_idx", "text", "x0", "x1", "y", slope.alias("slope"), intercept.alias("intercept"), basis.alias("basis"))
 
 
 def off_line(rise: Column, leading: Column, cap_height: Column) -> Column:

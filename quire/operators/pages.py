@@ -107,14 +107,15 @@ def known_encoding(name: Column) -> Column:
 
 
 def font_encodings(rows: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
-    """path, font_obj, glyphs and texts (arrays of 256, by code): each font's base encoding with its differences. glyphs: a glyph list (glyph, text) beyond the base encodings' glyphs."""
+    """rows (fonts, see fonts) with glyphs and texts (arrays of 256, by code): each font's base encoding with its differences. glyphs: a glyph list (glyph, text) beyond the base encodings' glyphs."""
     spark, font = rows.sparkSession, ["path", "font_obj"]
     listed = glyph_list(spark) if glyphs is None else glyphs.unionByName(glyph_list(spark).join(glyphs, "glyph", "left_anti"))
     own = glyph_texts(differences(rows.where("size(differences) > 0"), font).where("code between 0 and 255"), [*font, "code"], listed)
     own = own.groupBy(*font).agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("glyph", "text")))).alias("own"))
-    found = rows.select(*font, known_encoding(F.col("base_encoding")).alias("encoding")).join(F.broadcast(base_tables(spark)), "encoding").join(own, font, "left")
+    base = base_tables(spark).select(F.col("encoding").alias("_encoding"), F.col("glyphs").alias("_glyphs"), F.col("texts").alias("_texts"))
+    found = rows.join(own, font, "left").join(F.broadcast(base), known_encoding(F.col("base_encoding")) == F.col("_encoding"))  # four rows
     overlaid = lambda c, of: F.when(F.col("own").isNull(), F.col(c)).otherwise(F.transform(c, lambda x, i: F.when(F.map_contains_key("own", i), F.try_element_at("own", i)[of]).otherwise(x)))
-    return found.select(*font, overlaid("glyphs", "glyph").alias("glyphs"), overlaid("texts", "text").alias("texts"))
+    return found.select(rows.columns + [overlaid("_glyphs", "glyph").alias("glyphs"), overlaid("_texts", "text").alias("texts")])
 
 
 def glyph_codes(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -161,5 +162,5 @@ def font_tables(rows: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
     default = F.when(F.col("base_font").startswith("Courier"), COURIER_WIDTH).when(F.col("widths").isNull(), PLAIN_WIDTH).otherwise(0.0)
     all_codes = F.sequence(F.lit(0), F.lit(255))
     widths = F.transform(all_codes, lambda c: glyph_width(c, F.coalesce("first_char", F.lit(0)), F.coalesce("last_char", F.lit(-1)), F.col("widths"), F.coalesce("missing_width", default)))
-    out = rows.join(font_encodings(rows, glyphs), ["path", "font_obj"]).select("path", "font_obj", "texts", widths.alias("widths"), "cap_height", "supported")
+    out = font_encodings(rows, glyphs).select("path", "font_obj", "texts", widths.alias("widths"), "cap_height", "supported")
     return out.select("*", average_width(F.col("widths")).alias("avg_width"), F.get("widths", F.lit(32)).alias("space_width"))

@@ -759,3 +759,24 @@ def hex_strings_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.concat(F.lit("% a comment\n<<%another\n/A <"), F.regexp_replace(F.hex(F.encode("text", "ISO-8859-1")), "(.{60})", "$1\n"), F.lit("> >>"))
     value = parsed(F.encode(written, "ISO-8859-1"))
     return turns.select("conv_id", "turn", big(F.length(values.text(value, "A.hex"))).alias("n_digits"), F.md5(values.text(value, "A.text")).alias("text_md5"))
+
+
+@query("select n_nationkey, n_name || ' 100%' as said, cast(null as varchar) as other from nation")
+def comment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments written and read back; other tokens say nothing."""
+    written = scalars.encode_comment(F.concat("n_name", F.lit(" 100%")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalars.comment_text(written).alias("said"), scalars.comment_text(F.concat(F.lit("/"), "n_name")).alias("other"))
+
+
+@query("select event_id, opcode, case opcode when 'Do' then 'external object' when 'Tf' then 'fonts' else coalesce(kind, 'other') end optype from (select event_id, ['BT', 'sh', 'Td', 'cm', 'Tf', 'Do'][event_id % 6 + 1] opcode from events) left join (values ('BT', 'text object'), ('Td', 'text positioning'), ('cm', 'graphics state')) v(o, kind) on o = opcode")
+def opcode_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of opcodes with one of the caller's own, and one that the caller has put elsewhere."""
+    opcode = F.expr("array('BT', 'sh', 'Td', 'cm', 'Tf', 'Do')[event_id % 6]")
+    return table(spark, sf_dir, "events").select("event_id", opcode.alias("opcode")).select("*", layout.optype(F.col("opcode"), {"Do": "external object", "Tf": "fonts"}).alias("optype"))
+
+
+@query("select doc_id, cast(strlen(text) as bigint) n_raw, cast(strlen(text) as bigint) n_bytes, md5(text) text_md5 from documents")
+def registered_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a filter of the caller's own, which turns bytes around."""
+    codecs.register("Turned", lambda data, params: data[::-1], lambda data, params=None: data[::-1])
+    return round_trip(spark, sf_dir, ["Turned"])

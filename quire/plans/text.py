@@ -2,49 +2,57 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..operators.pages import font_tables, fonts, page_contents, page_fonts, pages, with_metrics
 from ..operators.tree import held
-from ..sources.files import objects, scan_files
+from ..sources.files import Scanned, objects, scan_files
 
 PAGE = ["path", "page_index"]
 
 
-def page_runs(files: DataFrame, fixed_width: bool = True, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pages and placed strings of files (path, content). A file is scanned once, as many parts of the plan read the scan; it stays cached (see tree.released).
+def contents(scanned: Scanned) -> tuple[DataFrame, DataFrame]:
+    """Pages (operators.pages.pages) and their content (page_contents) of scanned files, worked out once however often they are asked for."""
+    if "pages" not in scanned.made:
+        found = pages(scanned, objects(scanned))
+        scanned.made |= {"pages": found, "contents": held(page_contents(found, objects(scanned)), StorageLevel.MEMORY_AND_DISK)}
+    return scanned.made["pages"], scanned.made["contents"]
+
+
+def page_runs(files: DataFrame | Scanned, fixed_width: bool = True, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages and placed strings of files (path, content), or of what scan_files made of them.
 
     metrics: of fonts that give no widths, see sources.metrics.font_metrics; without them, Courier has its own width and
     others half an em for each glyph. glyphs: a glyph list (functions.encodings.read_glyph_list) for names beyond the base encodings.
     """
     scanned = scan_files(files)
+    all_pages, streams = contents(scanned)
     found = objects(scanned)
-    all_pages = pages(scanned, found)
-    ops = layout.content_ops(page_contents(all_pages, found), *PAGE)
     known = fonts(found) if metrics is None else with_metrics(fonts(found), metrics)
     usable = page_fonts(all_pages, found).join(font_tables(known, glyphs), ["path", "font_obj"])
-    return all_pages, layout.runs(ops, usable, PAGE, fixed_width)
+    return all_pages, layout.runs(layout.content_ops(streams.select(*PAGE, "content"), *PAGE), usable, PAGE, fixed_width)
 
 
-def simple_text(files: DataFrame) -> DataFrame:
+def simple_text(files: DataFrame | Scanned) -> DataFrame:
     """path, page_index and text: decoded strings in the order they are painted. Pages without text are left out."""
     return layout.simple_text(page_runs(files)[1], PAGE)
 
 
-def problems(files: DataFrame) -> DataFrame:
-    """path, page_index (null: the whole file), part (`file`, `stream` or `operations`) and error of what the text plans cannot read and leave out."""
+def problems(files: DataFrame | Scanned) -> DataFrame:
+    """path, page_index (null: the whole file), part (`file`, `object`, `font`, `stream` or `operations`) and error of what the text plans leave out, or cannot read in full."""
     scanned = scan_files(files)
-    found = objects(scanned)
-    contents = held(page_contents(pages(scanned, found), found))
-    ops = layout.content_ops(contents, *PAGE)
+    streams = contents(scanned)[1]
+    ops = layout.content_ops(streams.select(*PAGE, "content"), *PAGE)
     said = lambda rows, index, part: rows.where("error is not null").select("path", index.cast("int").alias("page_index"), F.lit(part).alias("part"), "error")
-    index = F.col("page_index")
-    return said(scanned.files, F.lit(None), "file").unionByName(said(contents, index, "stream")).unionByName(said(ops, index, "operations"))
+    none, index = F.lit(None), F.col("page_index")
+    odd = fonts(objects(scanned)).where("not supported").select("path", F.concat(F.lit("a font is decoded by its base encoding alone: "), F.coalesce("subtype", F.lit("no subtype"))).alias("error"))
+    return said(scanned.files, none, "file").unionByName(said(objects(scanned), none, "object")).unionByName(said(odd, none, "font")).unionByName(said(streams, index, "stream")).unionByName(said(ops, index, "operations"))
 
 
-def layout_text(files: DataFrame, fixed_width: bool = True, tab_width: float | None = None, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> DataFrame:
+def layout_text(files: DataFrame | Scanned, fixed_width: bool = True, tab_width: float | None = None, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> DataFrame:
     """path, page_index and text as laid out: lines from the top down, gaps as spaces. Pages without text are left out.
 
     fixed_width: text at the columns of a fixed-width page, measured by a font's average width; else gaps measured by the

@@ -281,7 +281,7 @@ class Scanned:
     """Files after step one; the objects are parsed when they are first asked for."""
 
     structure: DataFrame
-    _objects: list[DataFrame] = field(default_factory=list)
+    made: dict[str, DataFrame] = field(default_factory=dict)  # what plans have worked out of it
 
     @property
     def files(self) -> DataFrame:
@@ -291,7 +291,7 @@ class Scanned:
     @property
     def trailers(self) -> DataFrame:
         """path, revision and trailer (a variant)."""
-        return self.structure.where("revision is not null and (size(entries) = 0 or entries[0].seq = 0)").select("path", "revision", F.try_parse_json("trailer").alias("trailer"))
+        return self.structure.where("revision is not null and coalesce(get(entries, 0).seq, 0) = 0").select("path", "revision", F.try_parse_json("trailer").alias("trailer"))
 
     @property
     def entries(self) -> DataFrame:
@@ -304,9 +304,9 @@ class Scanned:
 
     @property
     def objects(self) -> DataFrame:
-        if not self._objects:
-            self._objects.append(settled(cut(parsed_objects(self))))
-        return self._objects[0]
+        if "objects" not in self.made:
+            self.made["objects"] = settled(cut(parsed_objects(self)))
+        return self.made["objects"]
 
 
 def newest_entries(entries: DataFrame) -> DataFrame:
@@ -327,8 +327,10 @@ def sized(files: DataFrame) -> DataFrame:
     return files.where(fit).select("path", "content").unionByName(files.where(~fit).select("path", F.lit(None).cast("binary").alias("content")))
 
 
-def scan_files(files: DataFrame) -> Scanned:
-    """Step one over files (path, content), where a path stands once. Its rows are a checkpoint, as the cross-references and the pieces are read apart."""
+def scan_files(files: DataFrame | Scanned) -> Scanned:
+    """Step one over files (path, content), where a path stands once; what is scanned already stays as it is. Its rows are a checkpoint, as the cross-references and the pieces are read apart."""
+    if isinstance(files, Scanned):
+        return files
     known = dict(codecs.FILTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,8 +401,11 @@ def resolve(rows: DataFrame, reference: str, targets: DataFrame, out: str, by: s
     """rows with `out`: the value of the object of the same path that the variant in `reference` points at.
 
     What is not a reference stays as it is, as `value` of targets then must be a variant too; a reference to nothing gives null.
+    Where no row has a reference, nothing is joined.
     """
     number = values.ref_number(reference)
+    if rows.where(number.isNotNull()).isEmpty():
+        return rows.withColumn(out, F.col(reference) if str(targets.schema["value"].dataType) == "VariantType()" else F.lit(None).cast(targets.schema["value"].dataType))
     found = targets.select(F.col(by).alias("_path"), F.col("obj_no").alias("_obj"), F.col("value").alias("_value"))
     joined = rows.join(found, (F.col(by) == F.col("_path")) & (number == F.col("_obj")), "left")
     kept = F.col(reference) if str(targets.schema["value"].dataType) == "VariantType()" else F.lit(None)
@@ -420,7 +425,9 @@ def resolve_inside(rows: DataFrame, by: list[str], columns: dict[str, str | None
 
     def looked_up(points: Column) -> DataFrame:
         refs = rows.select(*by, F.inline(F.filter(points, lambda p: p["_to"].isNotNull())))
-        found = refs.join(targets, ["path", "_to"], "left").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_found"))).alias("_given"))
+        if refs.isEmpty():
+            return rows.withColumn("_given", F.lit(None).cast("map<string, variant>"))
+        found = refs.join(targets, ["path", "_to"]).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_found"))).alias("_given"))
         return rows.join(found, by, "left")
 
     pointer = lambda name, value: F.struct(name.alias("_name"), values.ref_number(value).alias("_to"))
