@@ -184,46 +184,71 @@ def _paeth(a: int, b: int, c: int) -> int:
     return near[2]
 
 
+def _sums(line: np.ndarray, pixel: int) -> np.ndarray:
+    """Each byte plus all bytes of its place in the pixels before it."""
+    padded = np.zeros(-(-len(line) // pixel) * pixel, np.uint8)
+    padded[: len(line)] = line
+    return np.cumsum(padded.reshape(-1, pixel), axis=0, dtype=np.uint8).ravel()[: len(line)]
+
+
+def _unfilter(how: int, line: np.ndarray, above: np.ndarray, pixel: int) -> np.ndarray:
+    if how == 1:
+        return _sums(line, pixel)
+    if how == 2:
+        return line + above[: len(line)]
+    if how not in (3, 4):
+        return line
+    out, up = bytearray(line.tobytes()), above.tobytes()
+    for i in range(len(out)):  # each byte needs the one before
+        a, b, c = (out[i - pixel], up[i], up[i - pixel]) if i >= pixel else (0, up[i], 0)
+        out[i] = (out[i] + ((a + b) // 2 if how == 3 else _paeth(a, b, c))) & 255
+    return np.frombuffer(bytes(out), np.uint8)
+
+
 def unpredict(data: bytes, params: dict) -> bytes:
     kind, pixel, row = _row(params)
     if kind < 2:
         return data
-    out = bytearray()
+    cells, out = np.frombuffer(data, np.uint8), []
     if kind == 2:  # of each row, sums of 8-bit components
-        for at in range(0, len(data), row):
-            line = bytearray(data[at : at + row])
-            for i in range(pixel, len(line)):
-                line[i] = (line[i] + line[i - pixel]) & 255
-            out += line
-        return bytes(out)
-    above = bytes(row)
-    for at in range(0, len(data), row + 1):
-        how, line = data[at], bytearray(data[at + 1 : at + 1 + row])
-        for i in range(len(line)):
-            a, b, c = line[i - pixel] if i >= pixel else 0, above[i], above[i - pixel] if i >= pixel else 0
-            line[i] = (line[i] + (0, a, b, (a + b) // 2, _paeth(a, b, c))[how if how < 5 else 0]) & 255
-        out += line
-        above = bytes(line).ljust(row, b"\0")
-    return bytes(out)
+        return b"".join(_sums(cells[at : at + row], pixel).tobytes() for at in range(0, len(cells), row))
+    whole = cells[: len(cells) // (row + 1) * (row + 1)].reshape(-1, row + 1)
+    if len(whole) and len(whole) * (row + 1) == len(cells) and (whole[:, 0] == 2).all():  # as cross-reference streams are: sums down the rows
+        return np.cumsum(whole[:, 1:], axis=0, dtype=np.uint8).tobytes()
+    above = np.zeros(row, np.uint8)
+    for at in range(0, len(cells), row + 1):
+        line = _unfilter(int(cells[at]), cells[at + 1 : at + 1 + row], above, pixel)
+        out.append(line.tobytes())
+        above = np.zeros(row, np.uint8)
+        above[: len(line)] = line
+    return b"".join(out)
 
 
 def predict(data: bytes, params: dict) -> bytes:
     kind, pixel, row = _row(params)
     if kind < 2:
         return data
-    out, above = bytearray(), bytes(row)
-    for at in range(0, len(data), row):
-        line = data[at : at + row]
+    cells, out, above = np.frombuffer(data, np.uint8), [], np.zeros(row, np.uint8)
+    if kind in (12, 15) and row and len(cells) % row == 0:
+        lines = cells.reshape(-1, row)
+        up = np.concatenate([np.zeros((1, row), np.uint8), lines[:-1]]) if len(lines) else lines
+        return np.concatenate([np.full((len(lines), 1), 2, np.uint8), lines - up], axis=1).tobytes()
+    for at in range(0, len(cells), row):
+        line = cells[at : at + row]
+        left = np.concatenate([np.zeros(min(pixel, len(line)), np.uint8), line[:-pixel]])
         if kind == 2:
-            out += bytes((x - (line[i - pixel] if i >= pixel else 0)) & 255 for i, x in enumerate(line))
+            out.append((line - left).tobytes())
             continue
-        how = kind - 10 if kind < 15 else 2
-        out.append(how)
-        for i, x in enumerate(line):
-            a, b, c = line[i - pixel] if i >= pixel else 0, above[i], above[i - pixel] if i >= pixel else 0
-            out.append((x - (0, a, b, (a + b) // 2, _paeth(a, b, c))[how]) & 255)
-        above = line.ljust(row, b"\0")
-    return bytes(out)
+        how, up = (kind - 10 if kind < 15 else 2), above[: len(line)]
+        if how == 4:
+            corner = np.concatenate([np.zeros(min(pixel, len(line)), np.uint8), up[:-pixel]])
+            guess = np.array([_paeth(*x) for x in zip(left.tolist(), up.tolist(), corner.tolist(), strict=True)], np.uint8)
+        else:
+            guess = (np.zeros_like(line), left, up, ((left.astype(np.uint16) + up) // 2).astype(np.uint8))[how]
+        out.append(bytes([how]) + (line - guess).tobytes())
+        above = np.zeros(row, np.uint8)
+        above[: len(line)] = line
+    return b"".join(out)
 
 
 #: Filters by name: (decoder, encoder). register() adds to it; a name that is not here passes the data on and is reported.

@@ -133,12 +133,14 @@ def test_fonts_without_widths(spark):
 
 def test_what_cannot_be_read_is_told(spark, tmp_path, monkeypatch):
     good = writer.pages_file([TABLE])
-    for name, content in (("good", good), ("bad", b"junk"), ("ops", writer.pages_file([b"BT (open Tj"]))):
+    for name, content in (("good", good), ("bad", b"junk"), ("ops", writer.pages_file([b"BT (open Tj"])), ("odd", writer.pages_file([TABLE], font={"Type": "Font", "Subtype": "Type3"})), ("lost", good.replace(b"5 0 obj", b"6 0 obj"))):
         (tmp_path / f"{name}.pdf").write_bytes(content)
     (tmp_path / "big.pdf").write_bytes(good + b" " * 5000)
     monkeypatch.setattr(files, "MAX_FILE", len(good) + 1000)
-    got = {os.path.basename(r.path): (r.part, r.page_index) for r in plans.problems(files.read_files(spark, str(tmp_path))).collect()}
-    assert got == {"bad.pdf": ("file", None), "big.pdf": ("file", None), "ops.pdf": ("operations", 0)}
+    scanned = files.scan_files(files.read_files(spark, str(tmp_path)))
+    got = {os.path.basename(r.path): (r.part, r.page_index) for r in plans.problems(scanned).collect()}
+    assert got == {"bad.pdf": ("file", None), "big.pdf": ("file", None), "ops.pdf": ("operations", 0), "odd.pdf": ("font", None), "lost.pdf": ("object", None)}
+    assert {os.path.basename(r.path) for r in plans.simple_text(scanned).collect()} == {"good.pdf", "odd.pdf"}  # of the same scan
 
 
 def test_batches_of_a_stream_keep_no_cache(spark, tmp_path):
