@@ -778,5 +778,5 @@ def opcode_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, cast(strlen(text) as bigint) n_raw, cast(strlen(text) as bigint) n_bytes, md5(text) text_md5 from documents")
 def registered_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through a filter of the caller's own, which turns bytes around."""
-    codecs.register("Turned", lambda data, params: data[::-1], lambda data, params=None: data[::-1])
+    codecs.register("Turned", lambda data, params=None: data[::-1], lambda data, params=None: data[::-1])
     return round_trip(spark, sf_dir, ["Turned"])

@@ -84,6 +84,8 @@ def _string_end(data: bytes, at: int) -> int:
 
 def literal(token: bytes) -> bool | int | float | None:
     """true, false, null, an integer or a real; anything else raises."""
+    if token.isdigit():
+        return int(token)
     if token in (b"true", b"false"):
         return token == b"true"
     if token == b"null":
