@@ -401,11 +401,8 @@ def resolve(rows: DataFrame, reference: str, targets: DataFrame, out: str, by: s
     """rows with `out`: the value of the object of the same path that the variant in `reference` points at.
 
     What is not a reference stays as it is, as `value` of targets then must be a variant too; a reference to nothing gives null.
-    Where no row has a reference, nothing is joined.
     """
     number = values.ref_number(reference)
-    if rows.where(number.isNotNull()).isEmpty():
-        return rows.withColumn(out, F.col(reference) if str(targets.schema["value"].dataType) == "VariantType()" else F.lit(None).cast(targets.schema["value"].dataType))
     found = targets.select(F.col(by).alias("_path"), F.col("obj_no").alias("_obj"), F.col("value").alias("_value"))
     joined = rows.join(found, (F.col(by) == F.col("_path")) & (number == F.col("_obj")), "left")
     kept = F.col(reference) if str(targets.schema["value"].dataType) == "VariantType()" else F.lit(None)
@@ -425,8 +422,6 @@ def resolve_inside(rows: DataFrame, by: list[str], columns: dict[str, str | None
 
     def looked_up(points: Column) -> DataFrame:
         refs = rows.select(*by, F.inline(F.filter(points, lambda p: p["_to"].isNotNull())))
-        if refs.isEmpty():
-            return rows.withColumn("_given", F.lit(None).cast("map<string, variant>"))
         found = refs.join(targets, ["path", "_to"]).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_found"))).alias("_given"))
         return rows.join(found, by, "left")
 
