@@ -29,21 +29,32 @@ WEIGHTS = (1.0, 0.001, 0.001)
 SHARD_SEQUENCES, SHARD_PIECES = 512, 65_536
 #: Bytes of words and ids, with what Python adds to each, that a task keeps.
 CACHE_BYTES, EACH = 48 << 20, 200
+#: New words that are encoded as one text.
+TOGETHER = 100
 #: Fixed values, for texts of this alphabet only: there lower case and normal form are simple, and these are the words.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa7\xa9-\xac\xae-\xb3\xb5-\xb7\xb9-\xff]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
 class WordTokenizer:
-    """The ids of the library's tokenizer at path. In plain texts each distinct word is encoded once and kept."""
+    """The ids of the library's tokenizer at path. In plain texts each distinct word is encoded once and kept.
+
+    New words are encoded many at a time, by the same model without the normalizer, which leaves lower-cased plain words
+    as they are. Where a word ends is told by its last id: that one alone stands for a token with the model's suffix.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.words = Tokenizer(self.library.model)  # shares the model
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab, suffix = self.library.get_vocab(with_added_tokens=False), self.library.model.end_of_word_suffix
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -53,16 +64,27 @@ class WordTokenizer:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these plain words."""
+        out: list[bytes] = []
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.words.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            whole = ids.tobytes()
+            out += [whole[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part) else self.whole(part)
+        return out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
         if self.held > CACHE_BYTES:
             self.forget()
         cache = self.cache
         words = [WORDS.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        new = list({w for ws in words if ws is not None for w in ws if w not in cache})
-        cache.update(zip(new, self.whole(new), strict=True))
+        new = list(set().union(*filter(None, words)).difference(cache))
+        cache.update(zip(new, self.apart(new), strict=True))
         self.held += sum(len(w) + len(cache[w]) + EACH for w in new)
-        out = [None if ws is None else b"".join([cache[w] for w in ws]) for ws in words]
+        out = [None if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in words]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
             out[i] = x

@@ -318,6 +318,21 @@ def test_packing_holds_every_token_once(spark, data, awkward, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_new_words_are_encoded_together():
+    """The ids are the library's, and it gets new words by the hundred, not one by one."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    model, library, rng = packing.WordTokenizer(path), Tokenizer.from_file(path), np.random.default_rng(4)
+    letters = [c for c in map(chr, range(9, 256)) if packing.PLAIN.fullmatch(c)] + [*"  'stremvd</w>"] * 4
+    texts = ["".join(rng.choice(letters, rng.integers(1, 200))).replace("<|", "") for _ in range(2000)] + ["</w> a</w>b don't 're ' it''s", "x" * 5000, "'" * 300, " \t", ""]
+    alone, whole = [], model.whole
+    model.whole = lambda parts: alone.extend(parts) or whole(parts)
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(model.cache) > 5000 and not alone
+
+
 def test_packing_of_short_texts_fills_its_sequences(spark):
     """Shards go by tokens: many short texts leave about one sequence a shard unfilled."""
     rows = spark.range(30_000).selectExpr("id doc_id", "0 piece", "0L start", "5 + id % 11 length", "id ids_crc32")
