@@ -38,6 +38,8 @@ LONG_SHARE = 1 / 8
 TOGETHER, FIRST = 64, 4
 #: Above this share of blocks left, all are read at once.
 MANY = 1 / 4
+#: Words that are counted together: a task sends one row for so many, and the driver gets one row.
+WIDE = 4096
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>*#$%&@|-_~`"
 SLACK = 1e-5  # of single precision
@@ -236,7 +238,7 @@ def vectors_in(batch: pa.RecordBatch) -> list[Vector]:
 
 
 def documents_with(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many of them hold each of words (sorted hashes)."""
+    """How many documents there are, and how many of them hold each of words (sorted hashes). Counts travel as arrays: rows for single words would be most of what the JVMs hold."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # the examples' words: MAX_POSTINGS bounds them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +251,24 @@ def documents_with(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]
                 n[at[words[at] == own]] += 1
             n[-1] += batch.num_rows
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
-
-    counts = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        first = np.flatnonzero(np.diff(some // WIDE, prepend=-1))
+        parts = [np.split(x, first[1:]) for x in ((some % WIDE).astype("<u2"), n[some].astype("<i8"))]
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array((some // WIDE)[first].astype(np.int32)), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in parts)], ["block", "places", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        places, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("places", "<u2"), ("n", "<i8")))
+        sums = np.zeros(WIDE, np.int64)
+        np.add.at(sums, places, n)
+        return pa.table({"block": table.column("block")[:1], "n": pa.array([sums.astype("<i8").tobytes()], pa.binary())})
+
+    tables = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "block int, places binary, n binary")
+    counts = tables.groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
     shared.destroy()
-    n = np.zeros(len(words) + 1, np.int64)
-    n[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
+    n = np.zeros((len(words) // WIDE + 1) * WIDE, np.int64)
+    for block, sums in zip(counts.column("block").to_pylist(), counts.column("n"), strict=True):
+        n[block * WIDE : (block + 1) * WIDE] = np.frombuffer(sums.as_buffer(), "<i8")
+    n = n[: len(words) + 1]
     return int(n[-1]), n[:-1]
 
 

@@ -445,6 +445,22 @@ def test_toxicity_neighbours_equal_brute_force(spark):
             assert all(abs(by_id[int(index.ids[j])] - c) < 1e-5 for j, c in zip(best, cosine, strict=True))
 
 
+def test_documents_are_counted_in_few_rows(spark, monkeypatch):
+    """How many documents hold each word, by hand over several blocks of words; counts come to the driver as a row a block."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 9000, 400)) for _ in range(60)] + [None, "", "w1 w1 w1"]
+    held = Counter(w for t in texts for w in {*(t or "").split()})
+    names = [*held, *(f"absent{i}" for i in range(500))]
+    words = np.array([toxicity.bag(w)[0][0] for w in names], np.uint64)
+    order, seen, whole = np.argsort(words), [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda df: seen.append(whole(df)) or seen[-1])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    total, got = toxicity.documents_with(docs.repartition(5), words[order])
+    assert total == len(texts) and got.tolist() == [held[names[i]] for i in order]
+    assert len(words) > 8192 and seen[0].num_rows == len(words) // 4096 + 1
+    assert toxicity.documents_with(docs.where("false"), words[order])[0] == 0
+
+
 def test_toxicity_on_awkward_rows(awkward, empty, spark):
     labels = spark.createDataFrame([(1, 1), (3, None), (7, 0), (None, 1), (7, 0)], "doc_id long, toxic int")
     for index in (toxicity.fit_on(awkward, labels), toxicity.fit_on(empty, labels), toxicity.fit_on(awkward, labels.where("false"))):
