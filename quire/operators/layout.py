@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.codecs import FILTERS, FilterError, decode
+from ..functions.encodings import tables
 from ..sources.syntax import SyntaxFault, statements
 from .state import advance, apply_matrix, multiply, number_advance, so_far, text_cursor
 
@@ -49,17 +51,9 @@ def optype(opcode: Column, more: dict[str, str] | None = None) -> Column:
     return out.otherwise("other")
 
 
-def content_rows(content: bytes | None) -> Iterator[dict]:
-    """The ops of a content stream. A Q is followed by ops that set the text state again as it was at its q; ctm is what cm has made."""
+def content_steps(content: bytes | None) -> Iterator[tuple[int, int, str, list, list[float], str | None]]:
+    """op_idx, sub_idx, opcode, operands, ctm and error of the ops of a content stream. A Q is followed by ops that set the text state again as it was at its q; ctm is what cm has made."""
     ctm, state, stack = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], dict(_DEFAULTS), []
-
-    def row(i: int, sub: int, key: str, operands: list) -> dict:
-        nums = [float(x) for x in operands if type(x) in (int, float)]
-        name = next((x["v"] for x in operands if isinstance(x, dict) and x.get("t") == "name"), None)
-        shown = operands[0] if key == "TJ" and operands and isinstance(operands[0], list) else operands
-        parts = [{"hex": x["hex"], "move": None} if isinstance(x, dict) else {"hex": None, "move": float(x)} for x in shown if isinstance(x, dict) and x.get("t") == "str" or key == "TJ" and type(x) in (int, float)]
-        return {"op_idx": i, "sub_idx": sub, "opcode": key, "nums": nums, "name": name, "parts": parts, "operands": json.dumps(operands), "ctm": ctm, "error": None}
-
     i = 0
     try:
         for i, (operands, key, _) in enumerate(statements(content or b"", images=True)):
@@ -74,16 +68,37 @@ def content_rows(content: bytes | None) -> Iterator[dict]:
             elif key in state or key == "Tf":
                 state[key] = operands
             if key != "Q" or not stack:
-                yield row(i, 0, key, operands)
+                yield i, 0, key, operands, ctm, None
                 continue
             now = state
             ctm, state = stack.pop()
-            yield row(i, 0, key, operands)
+            yield i, 0, key, operands, ctm, None
             for sub, (k, v) in enumerate(sorted(state.items()), 1):
                 if now.get(k) != v:
-                    yield row(i, sub, k, v)
+                    yield i, sub, k, v, ctm, None
     except SyntaxFault as e:
-        yield row(i + 1, 0, "", []) | {"error": str(e)[:200]}
+        yield i + 1, 0, "", [], ctm, str(e)[:200]
+
+
+def first_name(operands: list) -> str | None:
+    return next((x["v"] for x in operands if isinstance(x, dict) and x.get("t") == "name"), None)
+
+
+def shown(key: str, operands: list) -> list:
+    """What a text-showing op has to show: the items of a TJ's array, else its operands."""
+    return operands[0] if key == "TJ" and operands and isinstance(operands[0], list) else operands
+
+
+def is_string(value: object) -> bool:
+    return isinstance(value, dict) and value.get("t") == "str"
+
+
+def content_rows(content: bytes | None) -> Iterator[dict]:
+    """The ops of a content stream (see content_steps) as rows."""
+    for i, sub, key, operands, ctm, error in content_steps(content):
+        nums = [float(x) for x in operands if type(x) in (int, float)]
+        parts = [{"hex": x["hex"], "move": None} if isinstance(x, dict) else {"hex": None, "move": float(x)} for x in shown(key, operands) if is_string(x) or key == "TJ" and type(x) in (int, float)]
+        yield {"op_idx": i, "sub_idx": sub, "opcode": key, "nums": nums, "name": first_name(operands), "parts": parts, "operands": json.dumps(operands), "ctm": ctm, "error": error}
 
 
 def content_ops(contents: DataFrame, *keys: str) -> DataFrame:
@@ -239,7 +254,56 @@ def page_text(lines: DataFrame, by: list[str]) -> DataFrame:
     return lines.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
 
 
-def simple_text(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Pages by (by): the text of runs in the order they are painted."""
-    rows = F.array_sort(F.collect_list(F.struct("op_idx", "sub_idx", "part_idx", "text")))
-    return parts.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias("text"))
+def painted(content: bytes, fonts: dict[str, dict[int, str]], acting: list[tuple[str, str]]) -> str | None:
+    """The text of a content stream's strings in the order they are painted, None if it shows none. fonts: texts by code of each font's name; what is not there is Latin-1."""
+    out, texts = [], {}
+    for _, _, opcode, operands, _, _ in content_steps(content):
+        key = opcode
+        for code, other in acting:
+            key = other if key == code else key
+        if key == "Tf":
+            name = first_name(operands)
+            texts = texts if name is None else fonts.get(name, {})
+        elif key in OPCODES["text showing"]:
+            out += [bytes.fromhex(x["hex"]).decode("latin-1").translate(texts) for x in shown(opcode, operands) if is_string(x)]
+    return "".join(out) if out else None
+
+
+def simple_text(contents: DataFrame, by: list[str]) -> DataFrame:
+    """by and text of pages: their strings in the order they are painted; pages without any are left out.
+
+    contents: by, streams (stream, filters and params of each) and fonts (name, encoding, own: code and text). A page is one row from its
+    streams to its text: ops, places and tables of fonts are neither made into rows nor dealt.
+    """
+    acting = [(code, other) for code, (_, other) in _registered.items() if other]
+    known, base = dict(FILTERS), tables()
+    kinds = to_arrow_schema(contents.select(*by).schema)
+    whole = pa.schema([*kinds, ("text", pa.string())])
+
+    def decoded(s: dict | None) -> bytes:
+        try:
+            return decode(s["stream"], s["filters"] or [], json.loads(s["params"]) if s["params"] else None, known) if s and s["stream"] is not None else b""
+        except (FilterError, ValueError, IndexError):
+            return b""
+
+    def texts(font: dict) -> dict[int, str]:
+        own = {o["code"]: chr(o["code"]) if o["text"] is None else o["text"] for o in font["own"] or ()}
+        return base[font["encoding"]] | own if own else base[font["encoding"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *keys, streams, fonts = (c[i].as_py() for c in batch.columns)
+                text = painted(b"\n".join(map(decoded, streams)), {f["name"]: texts(f) for f in fonts or ()}, acting)
+                if text is not None:
+                    rows.append((*keys, text))
+                    size += len(text)
+                if size > 1 << 23 or len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), whole, strict=True)], schema=whole)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), whole, strict=True)], schema=whole)
+
+    schema = ", ".join(f"`{k}` {contents.schema[k].dataType.simpleString()}" for k in by)
+    return contents.select(*by, "streams", "fonts").mapInArrow(run, f"{schema}, text string")

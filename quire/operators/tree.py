@@ -22,6 +22,13 @@ def held(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> DataFra
     return df
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """df, held on disk (compressed, where a checkpoint is not) and computed now, so that jobs which read it side by side don't wait for each other's parts."""
+    df = held(df)
+    df.count()
+    return df
+
+
 @contextmanager
 def released() -> Iterator[None]:
     """What plans cache inside is given back at the end: for jobs that run again and again, such as the batches of a stream."""

@@ -7,19 +7,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layout
-from ..operators.pages import font_tables, fonts, page_contents, page_fonts, pages, with_metrics
+from ..operators.pages import font_codes, font_tables, fonts, page_contents, page_fonts, page_streams, pages, with_metrics
 from ..operators.tree import held
 from ..sources.files import Scanned, objects, scan_files
 
 PAGE = ["path", "page_index"]
 
 
-def contents(scanned: Scanned) -> tuple[DataFrame, DataFrame]:
-    """Pages (operators.pages.pages) and their content (page_contents) of scanned files, worked out once however often they are asked for."""
+def pages_of(scanned: Scanned) -> DataFrame:
+    """Pages (operators.pages.pages) of scanned files, worked out once however often they are asked for."""
     if "pages" not in scanned.made:
-        found = pages(scanned, objects(scanned))
-        scanned.made |= {"pages": found, "contents": held(page_contents(found, objects(scanned)), StorageLevel.MEMORY_AND_DISK)}
-    return scanned.made["pages"], scanned.made["contents"]
+        scanned.made["pages"] = pages(scanned, objects(scanned))
+    return scanned.made["pages"]
+
+
+def contents(scanned: Scanned) -> tuple[DataFrame, DataFrame]:
+    """Pages of scanned files and their content (page_contents), worked out once however often they are asked for."""
+    found = pages_of(scanned)
+    if "contents" not in scanned.made:
+        scanned.made["contents"] = held(page_contents(found, objects(scanned)), StorageLevel.MEMORY_AND_DISK)
+    return found, scanned.made["contents"]
 
 
 def page_runs(files: DataFrame | Scanned, fixed_width: bool = True, metrics: DataFrame | None = None, glyphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +45,11 @@ def page_runs(files: DataFrame | Scanned, fixed_width: bool = True, metrics: Dat
 
 def simple_text(files: DataFrame | Scanned) -> DataFrame:
     """path, page_index and text: decoded strings in the order they are painted. Pages without text are left out."""
-    return layout.simple_text(page_runs(files)[1], PAGE)
+    scanned = scan_files(files)
+    all_pages, found = pages_of(scanned), objects(scanned)
+    usable = page_fonts(all_pages, found).join(font_codes(found), ["path", "font_obj"])
+    usable = usable.groupBy(*PAGE).agg(F.collect_list(F.struct("name", "encoding", "own")).alias("fonts"))
+    return layout.simple_text(page_streams(all_pages, found, usable), PAGE)
 
 
 def problems(files: DataFrame | Scanned) -> DataFrame:

@@ -13,6 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, values
 from ..functions.codecs import FilterError, decode, decode_streams
-from ..operators.tree import cut, held
+from ..operators.tree import computed, cut, held
 from .syntax import SyntaxFault, statements, value_at
 
 #: Largest file that is scanned.
@@ -278,24 +279,25 @@ def _object_size(row: dict) -> int:
 
 @dataclass
 class Scanned:
-    """Files after step one; the objects are parsed when they are first asked for."""
+    """Files after step one; the objects are parsed when they are first asked for, and then the rows of step one, with the files' bytes, are given back."""
 
     structure: DataFrame
+    listed: DataFrame  # of structure, what is not a piece: rows without the files' bytes
     made: dict[str, DataFrame] = field(default_factory=dict)  # what plans have worked out of it
 
     @property
     def files(self) -> DataFrame:
         """path, version, startxref and error of each file."""
-        return self.structure.where("revision is null and piece is null").select("path", "version", "startxref", "error")
+        return self.listed.where("revision is null").select("path", "version", "startxref", "error")
 
     @property
     def trailers(self) -> DataFrame:
         """path, revision and trailer (a variant)."""
-        return self.structure.where("revision is not null and coalesce(get(entries, 0).seq, 0) = 0").select("path", "revision", F.try_parse_json("trailer").alias("trailer"))
+        return self.listed.where("revision is not null and coalesce(get(entries, 0).seq, 0) = 0").select("path", "revision", F.try_parse_json("trailer").alias("trailer"))
 
     @property
     def entries(self) -> DataFrame:
-        return self.structure.where("revision is not null").select("path", "revision", "readable", F.inline("entries"))
+        return self.listed.where("revision is not null").select("path", "revision", "readable", F.inline("entries"))
 
     @property
     def newest(self) -> DataFrame:
@@ -305,7 +307,8 @@ class Scanned:
     @property
     def objects(self) -> DataFrame:
         if "objects" not in self.made:
-            self.made["objects"] = settled(cut(parsed_objects(self)))
+            self.made["objects"] = settled(parsed_objects(self))
+            self.structure.unpersist()
         return self.made["objects"]
 
 
@@ -328,7 +331,7 @@ def sized(files: DataFrame) -> DataFrame:
 
 
 def scan_files(files: DataFrame | Scanned) -> Scanned:
-    """Step one over files (path, content), where a path stands once; what is scanned already stays as it is. Its rows are a checkpoint, as the cross-references and the pieces are read apart."""
+    """Step one over files (path, content), where a path stands once; what is scanned already stays as it is. Its rows are held on disk, as the cross-references and the pieces are read apart."""
     if isinstance(files, Scanned):
         return files
     known = dict(codecs.FILTERS)
@@ -337,7 +340,8 @@ def scan_files(files: DataFrame | Scanned) -> Scanned:
         rows = (row for batch in batches for path, content in zip(batch.column(0), batch.column(1), strict=True) for row in structure(path.as_py(), content.as_py(), known))
         yield from _batched(rows, lambda r: len(r.get("data") or b"") + 32 * len(r.get("entries", ())), _structure_batch)
 
-    return Scanned(cut(files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, STRUCTURE)))
+    whole = computed(files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, STRUCTURE))
+    return Scanned(whole, computed(whole.where("piece is null").drop("piece", "base", "data")))
 
 
 def parsed_objects(scanned: Scanned) -> DataFrame:
@@ -351,26 +355,31 @@ def parsed_objects(scanned: Scanned) -> DataFrame:
 
     located = live.where("container is null").groupBy("path", F.expr(f"position div {PIECE}").alias("piece")).agg(wanted)  # as many as fit into a piece
     pieces = scanned.structure.where("piece is not null").select("path", "piece", "base", "data")
-    direct = held(located.join(pieces, ["path", "piece"], "left").select("path", "base", "data", "wanted").mapInArrow(parse, OBJECT), StorageLevel.MEMORY_AND_DISK)
+    parsed = located.join(pieces, ["path", "piece"], "left").select("path", "base", "data", "wanted").mapInArrow(parse, OBJECT)
+    kept = ["path", "obj_no", "generation", "position", "type", "subtype", F.try_parse_json("json").alias("value"), "stream", "filters", "params", "error"]
+    direct = computed(parsed.select(*kept, "length_obj", "up_to_end"))
+    kept[6] = "value"
+    out = [direct.where("length_obj is null").select(kept)]
 
     # Streams whose length is an object of its own: cut where it says, if the end follows there, else before the first word that may be the end.
-    lengths = direct.where(r"stream is null and json rlike '^[0-9]{1,9}$'").select("path", F.col("obj_no").alias("length_obj"), F.col("json").cast("int").alias("_n"))
-    open_ended = direct.where("length_obj is not null").join(lengths, ["path", "length_obj"], "left")
-    follows = F.decode(F.expr("substring(stream, _n + 1, 32)"), "ISO-8859-1").rlike(r"^[\x00\t\n\x0c\r ]*endstream")
-    kept = [c for c in direct.columns if c not in ("length_obj", "up_to_end")]
-    cut = open_ended.withColumn("stream", F.when(follows, F.expr("substring(stream, 1, _n)")).otherwise(F.expr("substring(stream, 1, cast(up_to_end as int))"))).select(kept)
-    direct = direct.where("length_obj is null").select(kept).unionByName(cut)
+    if direct.agg(F.count("length_obj")).first()[0]:
+        number = F.to_json("value")
+        lengths = direct.where("stream is null").where(number.rlike("^[0-9]{1,9}$")).select("path", F.col("obj_no").alias("length_obj"), number.cast("int").alias("_n"))
+        open_ended = direct.where("length_obj is not null").join(lengths, ["path", "length_obj"], "left")
+        follows = F.decode(F.expr("substring(stream, _n + 1, 32)"), "ISO-8859-1").rlike(r"^[\x00\t\n\x0c\r ]*endstream")
+        ended = F.when(follows, F.expr("substring(stream, 1, _n)")).otherwise(F.expr("substring(stream, 1, cast(up_to_end as int))"))
+        out.append(computed(open_ended.withColumn("stream", ended).select(kept)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for i in range(batch.num_rows) for row in members(*(c[i].as_py() for c in batch.columns)))
         yield from _batched(rows, _object_size, _object_batch)
 
-    inside = live.where("container is not null").groupBy("path", "container").agg(wanted)
-    holders = direct.where("stream is not null").select("path", F.col("obj_no").alias("container"), "json", decode_streams(F.col("stream"), F.col("filters"), F.col("params")).alias("d"))
-    found = inside.join(holders, ["path", "container"], "left").select("path", "json", "d.data", "wanted", "d.error").mapInArrow(split, OBJECT)
-    found = held(found.select(kept), StorageLevel.MEMORY_AND_DISK)
-    rest = [c for c in kept if c != "json"]
-    return direct.unionByName(found).select(*rest[:6], F.try_parse_json("json").alias("value"), *rest[6:])
+    if not scanned.entries.where("container is not null").isEmpty():
+        inside = live.where("container is not null").groupBy("path", "container").agg(wanted)
+        holders = reduce(DataFrame.unionByName, out).where("stream is not null").select("path", F.col("obj_no").alias("container"), F.to_json("value").alias("json"), decode_streams(F.col("stream"), F.col("filters"), F.col("params")).alias("d"))
+        found = inside.join(holders, ["path", "container"], "left").select("path", "json", "d.data", "wanted", "d.error").mapInArrow(split, OBJECT)
+        out.append(computed(found.withColumn("value", F.try_parse_json("json")).select(kept)))
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- references -----------------------------------------------------------------------------------------
@@ -384,9 +393,9 @@ def settled(objects: DataFrame) -> DataFrame:
     """
     number = values.ref_number("value")
     edges = objects.where(number.isNotNull()).select("path", "obj_no", number.alias("to"))
-    if edges.isEmpty():
-        return objects
     left = edges.count()
+    if not left:
+        return objects
     while left:  # as many rounds as the longest chain has binary digits; what is in a circle stays in it and is given up
         onward = edges.select("path", F.col("obj_no").alias("to"), F.col("to").alias("further"))
         edges = cut(edges.join(onward, ["path", "to"], "left").select("path", "obj_no", F.coalesce("further", "to").alias("to")))
