@@ -365,7 +365,7 @@ def parsed_objects(scanned: Scanned) -> DataFrame:
     if direct.agg(F.count("length_obj")).first()[0]:
         number = F.to_json("value")
         lengths = direct.where("stream is null").where(number.rlike("^[0-9]{1,9}$")).select("path", F.col("obj_no").alias("length_obj"), number.cast("int").alias("_n"))
-        open_ended = direct.where("length_obj is not null").join(lengths, ["path", "length_obj"], "left")
+        open_ended = direct.where("length_obj is not null").join(lengths.hint("merge"), ["path", "length_obj"], "left")
         follows = F.decode(F.expr("substring(stream, _n + 1, 32)"), "ISO-8859-1").rlike(r"^[\x00\t\n\x0c\r ]*endstream")
         ended = F.when(follows, F.expr("substring(stream, 1, _n)")).otherwise(F.expr("substring(stream, 1, cast(up_to_end as int))"))
         out.append(computed(open_ended.withColumn("stream", ended).select(kept)))
@@ -377,7 +377,7 @@ def parsed_objects(scanned: Scanned) -> DataFrame:
     if not scanned.entries.where("container is not null").isEmpty():
         inside = live.where("container is not null").groupBy("path", "container").agg(wanted)
         holders = reduce(DataFrame.unionByName, out).where("stream is not null").select("path", F.col("obj_no").alias("container"), F.to_json("value").alias("json"), decode_streams(F.col("stream"), F.col("filters"), F.col("params")).alias("d"))
-        found = inside.join(holders, ["path", "container"], "left").select("path", "json", "d.data", "wanted", "d.error").mapInArrow(split, OBJECT)
+        found = inside.join(holders.hint("merge"), ["path", "container"], "left").select("path", "json", "d.data", "wanted", "d.error").mapInArrow(split, OBJECT)
         out.append(computed(found.withColumn("value", F.try_parse_json("json")).select(kept)))
     return reduce(DataFrame.unionByName, out)
 
@@ -388,22 +388,29 @@ def parsed_objects(scanned: Scanned) -> DataFrame:
 def settled(objects: DataFrame) -> DataFrame:
     """objects, where one whose value is a reference has the value that the chain of references ends at: null if it ends at nothing or in itself.
 
-    Pointer jumping: a round doubles the hops that each reference spans. Files have few such objects or none; then
-    nothing is joined.
+    Pointer jumping: a round doubles the hops that each reference spans, and ends when no reference got further. Files have few
+    such objects or none; then nothing is joined. A round's rows are a checkpoint, so that its plan does not hold all rounds before,
+    and held on top: a checkpoint's estimated size is the product of what was joined for it, a number whose digits would double
+    with each round and fill the driver's memory; of held rows the true size is known.
     """
     number = values.ref_number("value")
-    edges = objects.where(number.isNotNull()).select("path", "obj_no", number.alias("to"))
+    edges = computed(cut(objects.where(number.isNotNull()).select("path", "obj_no", number.alias("to"))))
     left = edges.count()
     if not left:
+        edges.unpersist()
         return objects
-    while left:  # as many rounds as the longest chain has binary digits; what is in a circle stays in it and is given up
-        onward = edges.select("path", F.col("obj_no").alias("to"), F.col("to").alias("further"))
-        edges = cut(edges.join(onward, ["path", "to"], "left").select("path", "obj_no", F.coalesce("further", "to").alias("to")))
-        left >>= 1
-    ends = edges.join(objects.select("path", F.col("obj_no").alias("to"), F.col("value").alias("_end")), ["path", "to"], "left")
+    while left:  # at most as many rounds as the longest chain has binary digits; what is in a circle stays in it and is given up
+        onward = edges.select("path", F.col("obj_no").alias("to"), F.col("to").alias("further")).hint("merge")
+        further = edges.join(onward, ["path", "to"], "left").select("path", "obj_no", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved"))
+        before, edges = edges, computed(cut(further))
+        left = left >> 1 if edges.agg(F.bool_or("moved")).first()[0] else 0
+        before.unpersist()
+    ends = edges.select("path", "obj_no", "to").join(objects.select("path", F.col("obj_no").alias("to"), F.col("value").alias("_end")), ["path", "to"], "left")
     ends = ends.select("path", "obj_no", F.when(values.ref_number("_end").isNull(), F.col("_end")).alias("_end"), F.lit(True).alias("_was"))
-    joined = objects.join(ends, ["path", "obj_no"], "left")
-    return cut(joined.withColumn("value", F.when(F.col("_was"), F.col("_end")).otherwise(F.col("value"))).select(objects.columns))
+    joined = objects.join(ends.hint("merge"), ["path", "obj_no"], "left")
+    settled = cut(joined.withColumn("value", F.when(F.col("_was"), F.col("_end")).otherwise(F.col("value"))).select(objects.columns))
+    edges.unpersist()
+    return settled
 
 
 def resolve(rows: DataFrame, reference: str, targets: DataFrame, out: str, by: str = "path") -> DataFrame:
@@ -426,12 +433,12 @@ def resolve_inside(rows: DataFrame, by: list[str], columns: dict[str, str | None
     become their objects' values, null for those that point at nothing: arrays are array<variant> in
     `<column>_items`, dictionaries map<string, variant> in `<column>_entries`. Only references are exploded and joined, those of all columns at once.
     """
-    targets = objects.select("path", F.col("obj_no").alias("_to"), F.col("value").alias("_found"))
+    targets = objects.select("path", F.col("obj_no").alias("_to"), F.col("value").alias("_found")).hint("merge")  # as held rows without their values are estimated far too small
     no_points = F.array().cast("array<struct<_name: string, _to: int>>")
 
     def looked_up(points: Column) -> DataFrame:
         refs = rows.select(*by, F.inline(F.filter(points, lambda p: p["_to"].isNotNull())))
-        found = refs.join(targets, ["path", "_to"]).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_found"))).alias("_given"))
+        found = refs.hint("merge").join(targets, ["path", "_to"]).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_found"))).alias("_given"))
         return rows.join(found, by, "left")
 
     pointer = lambda name, value: F.struct(name.alias("_name"), values.ref_number(value).alias("_to"))

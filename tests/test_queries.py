@@ -200,3 +200,12 @@ def test_strings_of_several_streams_and_fonts(spark):
     content = writer.file_bytes(made)
     got = {r.page_index: r.text for r in plans.simple_text(spark.createDataFrame([("x", bytearray(content))], "path string, content binary")).collect()}
     assert got == {0: "ab\n\nc", 1: "\ufb01\u0416CDA\u0416\x80", 2: ""}
+
+
+def test_estimates_stay_small(spark):
+    """A thousand references are followed in as many rounds as they need, and the plan's estimated size is a number of few digits, not one whose digits double with each round."""
+    made = spark.range(2000).selectExpr("'x' path", "cast(id as int) obj_no", "parse_json(if(id < 1000, concat('{\"t\":\"ref\",\"n\":', if(id < 8, id + 1, id + 1000), '}'), string(id))) value")
+    got = files.settled(made)
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 1000
+    want = {i: 1008 if i < 9 else i + 1000 if i < 1000 else i for i in range(2000)}
+    assert {r.obj_no: int(r.v) for r in got.selectExpr("obj_no", "try_variant_get(value, '$', 'string') v").collect()} == want
